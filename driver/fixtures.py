@@ -61,3 +61,45 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_name").alias("entity_name"),
         F.lpad(F.col("s_nationkey").cast("string"), 4, "0").alias("sic"),
         F.col("s_acctbal").alias("market_cap"))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten times the smallest amount per company and return flag as a revenue segment, whole dollars."""
+    rows = table(spark, sf_dir, "lineitem")
+    return (rows.groupBy(ticker_of(F.col("l_suppkey")).alias("ticker"),
+                         F.concat(F.lit("Line "), "l_returnflag").alias("label"))
+            .agg(F.floor(F.min("l_extendedprice") * 10).cast("double").alias("value")))
+
+
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One close per order priority and day."""
+    return (table(spark, sf_dir, "orders")
+            .groupBy(F.col("o_orderpriority").alias("ticker"),
+                     F.col("o_orderdate").cast("date").alias("date"))
+            .agg(F.max_by("o_totalprice", "o_orderkey").alias("close")))
+
+
+def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("ticker"),
+        F.col("o_orderdate").cast("date").alias("period_end"),
+        F.col("o_custkey").cast("double").alias("val"),
+        F.col("o_orderdate").cast("date").alias("filed"),
+        F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("accn"))
+
+
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as filings of customers."""
+    return table(spark, sf_dir, "orders").select(
+        ticker_of(F.col("o_custkey")).alias("ticker"), F.col("o_custkey").alias("cik"),
+        F.when(F.col("o_orderstatus") == "F", "10-K").when(F.col("o_orderstatus") == "O", "10-Q")
+        .otherwise("8-K").alias("form"),
+        F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("accession_number"),
+        F.col("o_orderdate").cast("date").alias("filing_date"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers who ask for a company: most keys are unknown to the registry."""
+    raw = F.concat(F.lit(" s"), F.lpad(F.col("c_custkey").cast("string"), 5, "0"), F.lit(" "))
+    odd = F.when(F.col("c_acctbal") < 0, F.concat(F.lit("s-"), F.col("c_custkey").cast("string")))
+    return table(spark, sf_dir, "customer").select(F.coalesce(odd, raw).alias("ticker"))

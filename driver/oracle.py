@@ -1,11 +1,10 @@
-"""Independent SQL for each registered query, run by another engine."""
+"""SQL of another engine: the shared chain from facts to flags, and the queries on it."""
 
 from __future__ import annotations
 
+from driver.registry import ORACLE
 from tallyforge.taxonomy import LINE_ITEMS, TAGS, taxonomy_values
 
-ORACLE: dict[str, str] = {}
-
 TAX = f"""tax(tag_id, tag, line_item, statement, kind, tag_rank) as (values {taxonomy_values()})"""
 
 FACTS = f"""b as (

@@ -1,34 +1,18 @@
-"""The registered queries, each over whole driver tables."""
+"""Queries over facts, statements, ratios and flags, each over whole driver tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driver import fixtures as fx
+from driver.registry import iso, query
 from tallyforge.operators import facts as facts_ops
 from tallyforge.operators import flags as flag_ops
 from tallyforge.operators import ratios as ratio_ops
 from tallyforge.operators import statements as stmt_ops
 from tallyforge.operators.facts import ANNUAL, QUARTERLY
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-
-
-def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
-
-
-def iso(df: DataFrame) -> DataFrame:
-    """Dates as ISO text, the form in which results are compared and served."""
-    return df.select(*[F.col(f.name).cast("string") if f.dataType.typeName() == "date"
-                       else F.col(f.name) for f in df.schema.fields])
-
-
 def annual_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stmt_ops.build_statements(fx.facts(spark, sf_dir), [ANNUAL])
 

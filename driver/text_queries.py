@@ -1,0 +1,327 @@
+"""Document text, search, segments and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driver import fixtures as fx
+from driver.registry import checked, iso
+from tallyforge.functions.text import with_text
+from tallyforge.operators import conversations as conv
+from tallyforge.operators import documents, segments
+
+# White space as in strip(), for the other engine's regular expressions.
+_WS = (r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+
+
+def _strip(sql: str) -> str:
+    return f"regexp_replace({sql}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _tidy(sql: str) -> str:
+    """The cleaner's last steps: quotes and no-break spaces, blanks, line ends, trim."""
+    out = f"translate({sql}, chr(160) || chr(8217), ' ''')"
+    out = f"regexp_replace({out}, '[ \\t]+', ' ', 'g')"
+    out = f"regexp_replace({out}, ' ?\\n ?', chr(10), 'g')"
+    return _strip(f"regexp_replace({out}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def _unescape(sql: str) -> str:
+    for name, char in (("quot", "'\"'"), ("lt", "'<'"), ("gt", "'>'"), ("copy", "chr(169)"),
+                       ("middot", "chr(183)"), ("amp", "'&'")):
+        sql = f"replace({sql}, '&{name};', {char})"
+    return sql
+
+
+_NO_BLOCKS = ("regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<head.*?</head>', ' ', 'g')")
+_LINES = f"regexp_replace({_NO_BLOCKS}, '(?i)</?(p|div|br|tr|li|h[1-6]|table|td)[^>]*>', chr(10), 'g')"
+_TEXT = _tidy(_unescape(f"regexp_replace({_LINES}, '<[^>]+>', ' ', 'g')"))
+
+
+@checked(f"select page_id, {_TEXT} as text from pages")
+def html_to_text(spark, sf_dir):
+    return with_text(fx.table(spark, sf_dir, "pages"), "html").select("page_id", "text")
+
+
+# ---- chunks -----------------------------------------------------------------------
+
+def _chunks(text_sql: str, separator: str) -> str:
+    """SQL list of chunks of a text, by a fold over its paragraphs."""
+    paragraphs = (f"list_filter(list_transform(string_split({text_sql}, {separator}), "
+                  f"lambda p: {_strip('p')}), lambda p: p <> '')")
+    full = "(acc.buf <> '' and length(acc.buf) + length(x.buf) + 2 > 1400)"
+    buf = f"(case when {full} or acc.buf = '' then x.buf else acc.buf || chr(10) || chr(10) || x.buf end)"
+    out = f"(case when {full} then list_append(acc.out, acc.buf) else acc.out end)"
+    n = f"(case when length({buf}) > 2800 then cast(ceil((length({buf}) - 2800) / 1400.0) as bigint) else 0 end)"
+    step = (f"{{'out': {out} || list_transform(range(0, {n}), lambda i: substr({buf}, i * 1400 + 1, 1400)), "
+            f"'buf': substr({buf}, {n} * 1400 + 1)}}")
+    return (f"list_reduce(list_transform({paragraphs}, lambda p: {{'out': []::varchar[], 'buf': p}}), "
+            f"lambda acc, x: {step}, {{'out': []::varchar[], 'buf': ''}})")
+
+
+_DOC_CHUNKS = f"""packed as (select doc_id, source, {_chunks('text', 'chr(10)')} as r from documents),
+lists as (select doc_id, source, case when r.buf <> '' then list_append(r.out, r.buf) else r.out end as c from packed),
+chunks as (select doc_id, source, generate_subscripts(c, 1) - 1 as chunk_id, unnest(c) as chunk_text from lists)"""
+
+
+def _document_filings(spark, sf_dir):
+    """Documents as filings of their source, dated by their id."""
+    return fx.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("ticker"), F.col("doc_id").alias("cik"),
+        F.when(F.col("lang").isin("en", "de"), "10-K").otherwise("10-Q").alias("form"),
+        F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("accession_number"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 1000).cast("int"))
+        .alias("filing_date"), "text", "doc_id")
+
+
+def _document_chunks(spark, sf_dir):
+    filings = _document_filings(spark, sf_dir)
+    return documents.chunk_table(
+        filings.withColumn("mdna_text", F.col("text")).withColumn("extraction_ok", F.lit(True)),
+        separator="\n")
+
+
+@checked(f"with {_DOC_CHUNKS} select doc_id, cast(chunk_id as bigint) as chunk_id, chunk_text from chunks")
+def doc_chunks(spark, sf_dir):
+    return _document_chunks(spark, sf_dir).select(
+        F.col("accession_number").cast("bigint").alias("doc_id"),
+        F.col("chunk_id").cast("bigint").alias("chunk_id"), "chunk_text")
+
+
+# ---- sections ---------------------------------------------------------------------
+
+def _filing_markup(spark, sf_dir):
+    """Each document inside the markup of a filing, behind a table of contents."""
+    filings = _document_filings(spark, sf_dir)
+    escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    annual = F.col("form") == "10-K"
+    start = F.when(annual, "Item 7. Management&rsquo;s Discussion").otherwise("ITEM 2 - Management&#8217;s Discussion")
+    end = F.when(annual, "Item 7A. Quantitative Disclosures").otherwise("Item 4: Controls")
+    html = F.concat(F.lit("<html><head><title>Filing</title></head><body><p>"), start,
+                    F.lit("</p><p>"), end, F.lit("</p><div>"), start, F.lit("</div><p>"), escaped,
+                    F.lit("</p><h2>"), end, F.lit("</h2><p>"), escaped, F.lit("</p></body></html>"))
+    return filings.withColumn("html", html)
+
+
+_HEADING = "(case when lang in ('en', 'de') then 'Item 7. Management''s Discussion' else 'ITEM 2 - Management''s Discussion' end)"
+_SECTIONS = f"""filed as (select *, case when lang in ('en', 'de') then '10-K' else '10-Q' end as form,
+  lpad(cast(doc_id as varchar), 10, '0') as accession_number,
+  cast(date '2020-01-01' + cast(doc_id % 1000 as int) as varchar) as filing_date,
+  {_tidy(f"{_HEADING} || chr(10) || chr(10) || text")} as body,
+  {_HEADING} || chr(10) || chr(10) || (case when lang in ('en', 'de') then 'Item 7A. Quantitative Disclosures'
+    else 'Item 4: Controls' end) || chr(10) || chr(10) as contents from documents),
+sections as (select *, case when length(body) >= 2000 then substr(body, 1, 400000)
+  -- A short body: the contents entry opens the only candidate that is long enough.
+  when length(contents || body) >= 2000 then contents || body end as mdna_text from filed)"""
+
+
+@checked(f"""with {_SECTIONS} select source as ticker, form, accession_number, filing_date, mdna_text,
+cast(coalesce(length(mdna_text), 0) as bigint) as char_count, mdna_text is not null as extraction_ok from sections""")
+def section_extract(spark, sf_dir):
+    return iso(documents.mdna_table(_filing_markup(spark, sf_dir)).drop("cik"))
+
+
+@checked(f"""with {_SECTIONS},
+packed as (select *, {_chunks('mdna_text', 'chr(10) || chr(10)')} as r from sections where mdna_text is not null),
+lists as (select *, case when r.buf <> '' then list_append(r.out, r.buf) else r.out end as c from packed)
+select source as ticker, form, accession_number, filing_date,
+       cast(generate_subscripts(c, 1) - 1 as bigint) as chunk_id, unnest(c) as chunk_text from lists""")
+def mdna_chunks(spark, sf_dir):
+    chunks = documents.chunk_table(documents.mdna_table(_filing_markup(spark, sf_dir)))
+    return iso(chunks.withColumn("chunk_id", F.col("chunk_id").cast("bigint")))
+
+
+@checked(f"""with {_SECTIONS}
+select source as ticker, accession_number, filing_date,
+       cast(coalesce(length(mdna_text), 0) as bigint) as char_count, mdna_text is not null as extraction_ok
+from sections where form = '10-K'
+qualify row_number() over (partition by source order by filing_date desc, accession_number desc) <= 2""")
+def filing_sections(spark, sf_dir):
+    """Document pipeline: the two newest annual filings of each company."""
+    docs = _filing_markup(spark, sf_dir).select("accession_number", "html")
+    newest = documents.filing_documents(_document_filings(spark, sf_dir).drop("text"), docs)
+    return iso(documents.mdna_table(newest).select(
+        "ticker", "accession_number", "filing_date", "char_count", "extraction_ok"))
+
+
+# ---- search -----------------------------------------------------------------------
+
+@checked(f"""with {_DOC_CHUNKS},
+dated as (select *, cast(date '2020-01-01' + cast(doc_id % 1000 as int) as varchar) as filing_date,
+          lower(chunk_text) as low from chunks),
+asked as (select item_id as request_id, 'src' || cast(item_id % 20 as varchar) as source,
+          list_filter(string_split(lower(text), ' '), lambda w: w <> '') as words from benchmark),
+scored as (select request_id, filing_date, doc_id, chunk_id, chunk_text,
+  len(list_filter(words, lambda w: contains(low, w))) as score
+  from asked a join dated d on d.source = a.source)
+select request_id, row_number() over (partition by request_id
+         order by score desc, filing_date desc, chunk_id, doc_id) as rank,
+       filing_date, cast(score as bigint) as score, doc_id, cast(chunk_id as bigint) as chunk_id,
+       substr(chunk_text, 1, 1200) as excerpt
+from scored where score > 0 qualify rank <= 6""")
+def keyword_search(spark, sf_dir):
+    """Whole benchmark texts as queries over the chunks of one source each."""
+    requests = fx.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("request_id"),
+        F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("ticker"),
+        F.col("text").alias("query"))
+    found = documents.search_passages(requests, _document_chunks(spark, sf_dir))
+    return iso(found.select(
+        "request_id", "rank", "filing_date", "score",
+        F.col("accession_number").cast("bigint").alias("doc_id"),
+        F.col("chunk_id").cast("bigint").alias("chunk_id"), "excerpt"))
+
+
+# ---- segments -----------------------------------------------------------------------
+
+_AXIS_P, _AXIS_S = segments.AXES
+
+
+def _context(cid: str, members: list[tuple[str, str]], start, end):
+    body = "".join(f'<xbrldi:explicitMember dimension="{a}">\n {m} </xbrldi:explicitMember>'
+                   for a, m in members)
+    return F.concat(F.lit(f'<xbrli:context id="{cid}"><xbrli:segment>{body}</xbrli:segment>'
+                          "<xbrli:period><xbrli:startDate>"), start.cast("string"),
+                    F.lit("</xbrli:startDate><xbrli:endDate>"), end.cast("string"),
+                    F.lit("</xbrli:endDate></xbrli:period></xbrli:context>"))
+
+
+def _fact(cid: str, value, scale: str = "3", name: str = "us-gaap:Revenues", sign=None):
+    return F.concat(F.lit(f'<ix:nonFraction name="{name}" contextRef="{cid}" scale="{scale}"'),
+                    sign if sign is not None else F.lit(""), F.lit(' decimals="-3"><b>'),
+                    value, F.lit("</b></ix:nonFraction>\n"))
+
+
+def _order_markup(spark, sf_dir):
+    """An inline-markup filing per order; status P has no product breakdown."""
+    end = F.col("o_orderdate").cast("date")
+    start, old = F.date_sub(end, 364), F.date_sub(end, 365)
+    year_before = F.date_sub(end, 729)
+    quarter = F.date_sub(end, 90)
+    price = F.format_number(F.floor("o_totalprice"), 0)
+    key = F.col("o_custkey").cast("string")
+    sign = F.when(F.col("o_orderstatus") == "F", F.lit(' sign="-"')).otherwise(F.lit(""))
+    product = F.concat(
+        _context("p1", [(_AXIS_P, "us-gaap:WrongMember")], start, end),
+        _context("p1", [(_AXIS_P, "us-gaap:ProductMember")], start, end),
+        _context("p2", [(_AXIS_P, "acme:SmartHomeMember")], start, end),
+        _context("p3", [(_AXIS_P, "us-gaap:ProductMember")], year_before, old),
+        _context("p4", [(_AXIS_P, "us-gaap:ServiceMember")], quarter, end))
+    html = F.concat(
+        F.lit("<html>"), F.when(F.col("o_orderstatus") != "P", product).otherwise(F.lit("")),
+        _context("s1", [(_AXIS_S, "acme:CloudServicesSegmentMember")], start, end),
+        _context("n1", [(_AXIS_P, "us-gaap:ProductMember"), (_AXIS_S, "acme:NestedMember")], start, end),
+        _fact("p1", price), _fact("p2", key, "6", sign=sign), _fact("p1", F.lit("1")),
+        _fact("p3", F.lit("77")), _fact("p4", F.lit("88")), _fact("n1", F.lit("99")),
+        _fact("s1", F.concat(key, F.lit(".5")), "0"), _fact("p2", F.lit("5"), name="us-gaap:Assets"),
+        _fact("p2", F.lit("(12)")), F.lit("</html>"))
+    return fx.table(spark, sf_dir, "orders").select("o_orderkey", html.alias("html"))
+
+
+@checked("""with o as (select *, cast(o_orderdate as date) as d,
+  cast(cast(o_orderdate as date) - 364 as varchar) as period_start,
+  cast(cast(o_orderdate as date) as varchar) as period_end from orders)
+select o_orderkey, 'srt:ProductOrServiceAxis' as axis, 'us-gaap:ProductMember' as member, 'Product' as label,
+       floor(o_totalprice) * 1000.0::double as value, period_start, period_end
+from o where o_orderstatus <> 'P'
+union all
+select o_orderkey, 'srt:ProductOrServiceAxis', 'acme:SmartHomeMember', 'Smart Home',
+       case when o_orderstatus = 'F' then -1 else 1 end * cast(o_custkey as double) * 1000000, period_start, period_end
+from o where o_orderstatus <> 'P'
+union all
+select o_orderkey, 'us-gaap:StatementBusinessSegmentsAxis', 'acme:CloudServicesSegmentMember', 'Cloud Services',
+       cast(o_custkey || '.5' as double), period_start, period_end
+from o where o_orderstatus = 'P'""")
+def segment_revenue(spark, sf_dir):
+    return iso(segments.segment_revenue(_order_markup(spark, sf_dir), "html", ("o_orderkey",)))
+
+
+# ---- conversations --------------------------------------------------------------------
+
+def _turns(spark, sf_dir):
+    """Turns with planted calls: every assistant turn of even length calls two functions.
+
+    A call's result is a turn of role ``tool``.
+    """
+    base = fx.table(spark, sf_dir, "conversations").withColumn("n", F.length("text"))
+    calls = (F.col("role") == "assistant") & (F.col("n") % 2 == 0)
+    ids = [F.concat_ws("-", F.lit("c"), "conv_id", "turn", F.lit(str(i))) for i in (1, 2)]
+    good = F.to_json(F.struct(F.concat(F.lit(" s"), F.col("n").cast("string")).alias("p_ticker"),
+                              F.lit("IS").alias("p_statement")))
+    arguments = [good, F.when(F.col("n") % 3 == 0, "{oops").otherwise(F.lit('{"p_query": "cash"}'))]
+    names = ["get_statements", "search_mdna"]
+    listed = F.to_json(F.array(*[F.struct(
+        i.alias("id"), F.lit("function").alias("type"),
+        F.struct(F.lit(f).alias("name"), a.alias("arguments")).alias("function"))
+        for i, f, a in zip(ids, names, arguments)]))
+    spoken = F.when((F.col("role") == "assistant") & (F.col("n") % 5 == 0),
+                    F.concat(F.lit("get_ratios (p_ticker=X) "), "text")).otherwise(F.col("text"))
+    none = F.lit(None).cast("string")
+    said = base.select("conv_id", (F.col("turn") * 10).alias("turn"), "role", spoken.alias("text"),
+                       F.when(calls, listed).alias("tool_calls"), none.alias("tool_call_id"))
+    results = base.filter(calls).select(
+        "conv_id", F.col("turn"), F.lit("tool").alias("role"), "n",
+        F.posexplode(F.array(*ids)).alias("pos", "tool_call_id")).select(
+        "conv_id", (F.col("turn") * 10 + 1 + F.col("pos")).alias("turn"), "role",
+        F.when(F.col("pos") == 0, F.lit("")).otherwise(F.lit("[1]")).alias("text"),
+        none.alias("tool_calls"), "tool_call_id")
+    return said.unionByName(results)
+
+
+_SPOKEN = """spoken as (select conv_id, turn * 10 as turn, role, length(text) as n,
+  case when role = 'assistant' and length(text) % 5 = 0 then 'get_ratios (p_ticker=X) ' || text else text end as text,
+  role = 'assistant' and length(text) % 2 = 0 as calls,
+  'c-' || conv_id || '-' || turn as cid from conversations)"""
+
+
+@checked(f"""with {_SPOKEN} select conv_id, turn, text from spoken
+where role = 'assistant' and (text like 'get_ratios (%'
+  or regexp_matches(text, '(get_statements|get_ratios|get_anomalies|list_companies|ingest_company|get_pipeline_status|search_mdna)\\s*\\(|/ipython|<\\|python_tag\\|>|<\\|eom\\|>'))""")
+def pseudo_tool_turns(spark, sf_dir):
+    return conv.pseudo_call_turns(_turns(spark, sf_dir)).select("conv_id", "turn", "text")
+
+
+@checked(f"""with {_SPOKEN}, ranked as (
+  select *, row_number() over (partition by conv_id order by turn desc) as rn
+  from spoken where role in ('user', 'assistant'))
+select conv_id, turn, role, text from ranked
+where rn between 2 and 7 and not (role = 'assistant' and text like 'get_ratios (%')""")
+def context_window(spark, sf_dir):
+    return conv.usable_context(_turns(spark, sf_dir)).select("conv_id", "turn", "role", "text")
+
+
+@checked(f"""with {_SPOKEN} select conv_id, turn, cast(0 as bigint) as pos, cid || '-1' as call_id,
+  'get_statements' as name, 'S' || n as p_ticker, cast(2 as bigint) as n_arguments, '[]' as result from spoken where calls
+union all
+select conv_id, turn, 1, cid || '-2', 'search_mdna', null,
+  case when n % 3 = 0 then 0 else 1 end, '[1]' from spoken where calls""")
+def audit_trail(spark, sf_dir):
+    trail = conv.audit_trail(_turns(spark, sf_dir))
+    return trail.select(
+        "conv_id", "turn", "pos", "call_id", "name",
+        F.upper(F.trim(F.try_element_at("arguments", F.lit("p_ticker")))).alias("p_ticker"),
+        F.size("arguments").cast("bigint").alias("n_arguments"), "result")
+
+
+@checked(f"""with {_SPOKEN} select conv_id, cast(2 * count(*) filter (where calls) as bigint) as n_tool_calls,
+  'S' || arg_max(n, turn) filter (where calls) as focus_ticker from spoken group by conv_id""")
+def conversation_summary(spark, sf_dir):
+    return conv.conversation_summary(_turns(spark, sf_dir))
+
+
+@checked(r"""select conv_id, turn, case when turn % 3 = 0 then text
+  when turn % 3 = 1 then regexp_replace(text || chr(10) || 'end', '^ +| +$', '', 'g') else text end as content
+from conversations""")
+def content_text(spark, sf_dir):
+    """Plain text, a list of parts and a JSON string, by turn."""
+    parts = F.to_json(F.array(
+        F.struct(F.lit("reasoning").alias("type"), F.lit("hidden").alias("text")),
+        F.struct(F.lit("text").alias("type"), F.col("text").alias("text")),
+        F.struct(F.lit("output_text").alias("type"), F.lit("").alias("text")),
+        F.struct(F.lit(None).cast("string").alias("type"), F.lit("end").alias("text"))))
+    quoted = F.to_json(F.struct(F.col("text").alias("t")))
+    quoted = F.substring(quoted, 6, F.length(quoted) - 6)
+    raw = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, parts) \
+        .otherwise(quoted)
+    return (fx.table(spark, sf_dir, "conversations").withColumn("raw", raw)
+            .select("conv_id", "turn", conv.content_text(F.col("raw")).alias("content")))

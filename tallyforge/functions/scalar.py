@@ -39,13 +39,12 @@ def fiscal_label(period_end: Column) -> Column:
 
 def percent_label(v: Column) -> Column:
     """Signed percentage with one decimal."""
-    return F.coalesce(F.format_string("%+.1f%%", v * 100), F.lit(MISSING)) \
-        if v is not None else F.lit(MISSING)
+    shown = F.call_function("format_number", v * 100, F.lit("+0.0;-0.0"))
+    return F.coalesce(F.concat(shown, F.lit("%")), F.lit(MISSING))
 
 
 def change_label(cur: Column, base: Column) -> Column:
-    value = change(cur, base)
-    return F.when(value.isNull(), F.lit(MISSING)).otherwise(F.format_string("%+.1f%%", value * 100))
+    return percent_label(change(cur, base))
 
 
 def cik10(cik: Column) -> Column:

@@ -7,9 +7,10 @@ table, which a pandas UDF resolves for the texts that need it.
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -38,32 +39,49 @@ def _unescape_all(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
-def unescape(text: Column, full: bool = True) -> Column:
-    """Entities to characters.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``.
 
-    Texts with common entities only stay in the JVM.  With ``full`` the others
-    (and no one else: the rest is sent as null) go through the entity table.
+    A one-element transform: unlike a projected column, the optimizer cannot
+    copy the expression into the places (or lambdas) where it is used.
     """
-    common = text
+    return F.transform(F.array(value), body)[0]
+
+
+def _common(text: Column) -> Column:
+    out = text
     for name in COMMON_ENTITIES:
-        common = F.replace(common, F.lit(f"&{name};"), F.lit(html.unescape(f"&{name};")))
-    common = F.when(F.contains(text, F.lit("&")), common).otherwise(text)
-    if not full:
-        return common
-    return F.coalesce(_unescape_all(F.when(text.rlike(_UNCOMMON), text)), common)
-
-
-def html_to_text(markup: Column, full_entities: bool = True) -> Column:
-    """Filing markup to plain text that keeps the paragraph breaks."""
-    t = F.regexp_replace(markup, DROPPED_BLOCKS, " ")
-    t = F.regexp_replace(t, BLOCK_TAGS, "\n")
-    t = F.regexp_replace(t, ANY_TAG, " ")
-    t = unescape(t, full_entities)
-    t = F.translate(t, "\u00a0\u2019", " '")
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(html.unescape(f"&{name};")))
+    return out
+
+
+def unescape(text: Column) -> Column:
+    """Common entities to characters, without leaving the JVM."""
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), _common(t)).otherwise(t))
+
+
+def with_text(df: DataFrame, markup: str, out: str = "text",
+              full_entities: bool = True) -> DataFrame:
+    """Adds the plain text of a markup column; paragraph breaks are kept.
+
+    The stages are columns of their own and each is used more than once by the
+    next, so Spark evaluates every stage once.  Texts with common entities only
+    stay in the JVM; with ``full_entities`` the others go through the entity
+    table of a pandas UDF, which sees null for all the rest.
+    """
+    bare = F.regexp_replace(F.col(markup), DROPPED_BLOCKS, " ")
+    bare = F.regexp_replace(bare, BLOCK_TAGS, "\n")
+    rows = df.withColumn("_bare", F.regexp_replace(bare, ANY_TAG, " "))
+    plain = F.when(F.contains("_bare", F.lit("&")), _common(F.col("_bare"))) \
+        .otherwise(F.col("_bare"))
+    if full_entities:
+        rare = F.when(F.col("_bare").rlike(_UNCOMMON), F.col("_bare"))
+        plain = F.coalesce(_unescape_all(rare), plain)
+    t = F.translate(plain, "\u00a0\u2019", " '")
     t = F.regexp_replace(t, "[ \t]+", " ")
     t = F.regexp_replace(t, " ?\n ?", "\n")
     t = F.regexp_replace(t, "\n{3,}", "\n\n")
-    return strip(t)
+    return rows.withColumn(out, strip(t)).drop("_bare")
 
 
 # Heading patterns (start, end) per form, and size limits.
@@ -116,7 +134,6 @@ def chunk_text(text: Column, target: int = CHUNK_TARGET, separator: str = "\n\n"
         return cut(F.when(full, F.array_append(out, buf)).otherwise(out), joined)
 
     def cut(out: Column, buf: Column) -> Column:
-        # One-element transforms bind a value once instead of repeating its expression.
         def split_long(x: Column) -> Column:
             over = F.length(x["buf"]) - 2 * target
             n = F.ceil(over / target).cast("int")
@@ -126,8 +143,7 @@ def chunk_text(text: Column, target: int = CHUNK_TARGET, separator: str = "\n\n"
                 F.substring(x["buf"], n * target + 1, F.length(x["buf"])).alias("buf"))
             ).otherwise(x)
 
-        bound = F.array(F.struct(out.alias("out"), buf.alias("buf")))
-        return F.transform(bound, split_long)[0]
+        return let(F.struct(out.alias("out"), buf.alias("buf")), split_long)
 
     return F.aggregate(paragraphs, empty, pack, lambda acc: F.when(
         acc["buf"] != "", F.array_append(acc["out"], acc["buf"])).otherwise(acc["out"]))

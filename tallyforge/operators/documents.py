@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import (CHUNK_TARGET, chunk_text, extract_section, html_to_text,
-                                       keyword_score, query_words)
+from tallyforge.functions.text import (CHUNK_TARGET, chunk_text, extract_section, keyword_score,
+                                       query_words, with_text)
 from tallyforge.operators.segments import segment_revenue
 
 TOP_PASSAGES = 6
@@ -35,9 +35,10 @@ def filing_documents(filings: DataFrame, documents: DataFrame, n: int = 2) -> Da
 
 def mdna_table(filing_docs: DataFrame) -> DataFrame:
     """One row per filing with the extracted section; a failure is a row, not an error."""
-    text = extract_section(html_to_text(F.col("html")), F.col("form"))
-    return (filing_docs.select("ticker", "cik", "form", "accession_number", "filing_date",
-                               text.alias("mdna_text"))
+    section = extract_section(F.col("text"), F.col("form"))
+    return (with_text(filing_docs, "html")
+            .select("ticker", "cik", "form", "accession_number", "filing_date",
+                    section.alias("mdna_text"))
             .withColumn("char_count", F.coalesce(F.length("mdna_text"), F.lit(0)).cast("bigint"))
             .withColumn("extraction_ok", F.col("mdna_text").isNotNull()))
 
@@ -50,10 +51,12 @@ def segment_table(filing_docs: DataFrame) -> DataFrame:
 
 def chunk_table(mdna: DataFrame, target: int = CHUNK_TARGET, separator: str = "\n\n") -> DataFrame:
     """Chunks of the successful sections, numbered from 0 inside a filing."""
-    chunks = chunk_text(F.col("mdna_text"), target, separator)
-    return (mdna.filter("extraction_ok")
-            .select("ticker", "form", "filing_date", "accession_number",
-                    F.posexplode(chunks).alias("chunk_id", "chunk_text")))
+    # A condition on the text, not a filter: a filter would be pushed below the
+    # extraction and evaluate it a second time.  A null text yields no chunks.
+    text = F.when(F.col("extraction_ok"), F.col("mdna_text"))
+    return mdna.select("ticker", "form", "filing_date", "accession_number",
+                       F.posexplode(chunk_text(text, target, separator))
+                       .alias("chunk_id", "chunk_text"))
 
 
 def _request_batches(requests: DataFrame, batch: int) -> DataFrame:

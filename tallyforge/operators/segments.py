@@ -9,15 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import strip
+from tallyforge.functions.text import let, strip
 from tallyforge.taxonomy import REVENUE_TAGS
 
 # Markup patterns, axes in order of preference, number format.
-CONTEXT = r'(?is)<xbrli:context[^>]*id="([^"]+)"[^>]*>(.*?)</xbrli:context>'
+CONTEXT = r'(?is)<xbrli:context[^>]*id="[^"]+"[^>]*>.*?</xbrli:context>'
+CONTEXT_ID = r'(?is)\A<xbrli:context[^>]*id="([^"]+)"'
 MEMBER = r'(?i)<xbrldi:explicitMember[^>]*dimension="([^"]+)"[^>]*>\s*([^<\s]+)\s*<'
 START = r"(?i)<xbrli:startDate>([\d\-]+)</xbrli:startDate>"
 END = r"(?i)<xbrli:endDate>([\d\-]+)</xbrli:endDate>"
-FACT = r"(?is)<ix:nonFraction([^>]*)>(.*?)</ix:nonFraction>"
+FACT = r"(?is)<ix:nonFraction[^>]*>.*?</ix:nonFraction>"
+FACT_OPEN = r"(?is)\A<ix:nonFraction([^>]*)>"
 AXES = ["srt:ProductOrServiceAxis", "us-gaap:StatementBusinessSegmentsAxis"]
 NUMBER = r"^\d+(\.\d+)?$"
 MIN_DAYS, MAX_DAYS = 340, 390
@@ -42,26 +44,28 @@ def pretty_member(member: Column) -> Column:
 
 def _contexts(markup: Column) -> Column:
     """Array of (id, axis, member, start, end) of usable single-axis contexts."""
-    def parse(cid: Column, body: Column) -> Column:
-        axes, members = _all(body, MEMBER, 1), _all(body, MEMBER, 2)
+    def parse(piece: Column) -> Column:
+        axes, members = _all(piece, MEMBER, 1), _all(piece, MEMBER, 2)
         return F.struct(
-            cid.alias("id"), F.size(axes).alias("n"),
+            F.regexp_extract(piece, CONTEXT_ID, 1).alias("id"), F.size(axes).alias("n"),
             F.try_element_at(axes, F.lit(1)).alias("axis"),
             F.try_element_at(members, F.lit(1)).alias("member"),
-            F.regexp_extract(body, START, 1).try_cast("date").alias("start"),
-            F.regexp_extract(body, END, 1).try_cast("date").alias("end"))
+            F.regexp_extract(piece, START, 1).try_cast("date").alias("start"),
+            F.regexp_extract(piece, END, 1).try_cast("date").alias("end"))
 
-    parsed = F.zip_with(_all(markup, CONTEXT, 1), _all(markup, CONTEXT, 2), parse)
-    return F.filter(parsed, lambda c: (c["n"] == 1) & c["axis"].isin(AXES)
+    # Most contexts name neither axis; they are dropped before they are parsed.
+    pieces = F.filter(_all(markup, CONTEXT, 0), lambda p: F.contains(p, F.lit(AXES[0]))
+                      | F.contains(p, F.lit(AXES[1])))
+    return F.filter(F.transform(pieces, parse), lambda c: (c["n"] == 1) & c["axis"].isin(AXES)
                     & c["start"].isNotNull() & c["end"].isNotNull())
 
 
 def _facts(markup: Column) -> Column:
     """Array of (context id, value) of readable revenue facts, in document order."""
-    names = [f"us-gaap:{t}" for t in REVENUE_TAGS]
-
-    def parse(attrs: Column, body: Column) -> Column:
-        raw = strip(F.regexp_replace(F.regexp_replace(body, "<[^>]+>", ""), "[, ]", ""))
+    def parse(piece: Column) -> Column:
+        attrs = F.regexp_extract(piece, FACT_OPEN, 1)
+        body = F.regexp_replace(piece, "<[^>]+>", "")
+        raw = strip(F.regexp_replace(body, "[, ]", ""))
         scale = F.coalesce(F.nullif(_attribute(attrs, "scale"), F.lit("")), F.lit("0"))
         number = F.when(raw.rlike(NUMBER), raw.try_cast("double"))
         value = number * F.pow(F.lit(10.0), scale.try_cast("int"))
@@ -69,40 +73,54 @@ def _facts(markup: Column) -> Column:
         return F.struct(_attribute(attrs, "name").alias("name"),
                         _attribute(attrs, "contextRef").alias("cid"), signed.alias("value"))
 
-    parsed = F.zip_with(_all(markup, FACT, 1), _all(markup, FACT, 2), parse)
-    return F.filter(parsed, lambda f: f["name"].isin(names) & f["value"].isNotNull())
+    names = [f"us-gaap:{t}" for t in REVENUE_TAGS]
+    mentioned = "|".join(f'"{n}"' for n in names)
+    pieces = F.filter(_all(markup, FACT, 0), lambda p: p.rlike(mentioned))
+    return F.filter(F.transform(pieces, parse),
+                    lambda f: f["name"].isin(names) & f["value"].isNotNull())
+
+
+def _last_per_id(contexts: Column) -> Column:
+    """A context id used twice keeps its last definition."""
+    return let(F.transform(contexts, lambda c: c["id"]), lambda ids: F.filter(
+        contexts, lambda c, i: F.array_position(
+            F.slice(ids, i + 2, F.size(ids)), c["id"]) == 0))
+
+
+def _first_per_member(rows: Column) -> Column:
+    return let(F.transform(rows, lambda x: x["c"]["member"]), lambda members: F.filter(
+        rows, lambda x, i: F.array_position(members, x["c"]["member"]) == i + 1))
+
+
+def _joined(contexts: Column, facts: Column) -> Column:
+    """Facts with their context, annual periods only; contexts without a fact are skipped."""
+    used = let(F.transform(facts, lambda f: f["cid"]), lambda cids: F.filter(
+        contexts, lambda c: F.array_contains(cids, c["id"])))
+    by_id = let(used, lambda u: let(_last_per_id(u), lambda last: F.map_from_arrays(
+        F.transform(last, lambda c: c["id"]), last)))
+    return let(by_id, lambda m: F.filter(
+        F.transform(facts, lambda f: F.struct(F.try_element_at(m, f["cid"]).alias("c"),
+                                              f["value"].alias("value"))),
+        lambda x: F.datediff(x["c"]["end"], x["c"]["start"]).between(MIN_DAYS, MAX_DAYS)))
+
+
+def _choose(rows: Column) -> Column:
+    """Newest period end, first axis with data, first fact of a member."""
+    def on_axis(newest: Column, axis: str) -> Column:
+        return F.filter(newest, lambda x: x["c"]["axis"] == axis)
+
+    newest = let(F.array_max(F.transform(rows, lambda x: x["c"]["end"])), lambda end: F.filter(
+        rows, lambda x: x["c"]["end"] == end))
+    picked = let(newest, lambda n: let(on_axis(n, AXES[0]), lambda a: F.when(
+        F.size(a) > 0, a).otherwise(on_axis(n, AXES[1]))))
+    return let(picked, _first_per_member)
 
 
 def segment_revenue(docs: DataFrame, markup: str, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, axis, member, label, value, period_start, period_end) per document.
-
-    Annual facts of the newest period end; the first axis with data; the first
-    fact of a member.
-    """
-    rows = docs.select(*keys, _contexts(F.col(markup)).alias("_ctx"),
-                       _facts(F.col(markup)).alias("_facts"))
-    # A context id used twice keeps its last definition.
-    last = F.filter("_ctx", lambda c, i: F.array_position(
-        F.slice(F.transform("_ctx", lambda x: x["id"]), i + 2, F.size("_ctx")), c["id"]) == 0)
-    rows = rows.filter(F.size("_facts") > 0).withColumn("_ctx", last)
-    by_id = F.map_from_arrays(F.transform("_ctx", lambda c: c["id"]), F.col("_ctx"))
-    rows = rows.withColumn("_map", by_id)
-    joined = F.filter(F.transform("_facts", lambda f: F.struct(
-        F.try_element_at("_map", f["cid"]).alias("c"), f["value"].alias("value"))),
-        lambda x: F.datediff(x["c"]["end"], x["c"]["start"]).between(MIN_DAYS, MAX_DAYS))
-    rows = rows.withColumn("_rows", joined)
-    newest = F.array_max(F.transform("_rows", lambda x: x["c"]["end"]))
-    rows = rows.withColumn("_end", newest)
-
-    def on_axis(axis: str) -> Column:
-        return F.filter("_rows", lambda x: (x["c"]["end"] == F.col("_end"))
-                        & (x["c"]["axis"] == axis))
-
-    rows = rows.withColumn("_rows", F.when(F.size(on_axis(AXES[0])) > 0, on_axis(AXES[0]))
-                           .otherwise(on_axis(AXES[1])))
-    first = F.filter("_rows", lambda x, i: F.array_position(
-        F.transform("_rows", lambda y: y["c"]["member"]), x["c"]["member"]) == i + 1)
-    return (rows.select(*keys, F.explode(first).alias("s"))
+    """(keys, axis, member, label, value, period_start, period_end) per document."""
+    parsed = F.struct(_contexts(F.col(markup)).alias("contexts"), _facts(F.col(markup)).alias("facts"))
+    rows = let(parsed, lambda p: let(_joined(p["contexts"], p["facts"]), _choose))
+    return (docs.select(*keys, F.explode(rows).alias("s"))
             .select(*keys, F.col("s.c.axis").alias("axis"), F.col("s.c.member").alias("member"),
                     pretty_member(F.col("s.c.member")).alias("label"),
                     F.col("s.value").alias("value"), F.col("s.c.start").alias("period_start"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,8 +22,8 @@ def newest_per_ticker(docs: DataFrame) -> DataFrame:
                                                   F.col("file_path").desc())
     chosen = (docs.select("ticker", "file_path", "file_time")
               .withColumn("_rn", F.row_number().over(newest))
-              .filter("_rn = 1").select("file_path"))
-    return docs.join(chosen, "file_path", "left_semi")
+              .filter("_rn = 1").select("ticker", "file_path"))
+    return docs.join(chosen, ["ticker", "file_path"], "left_semi")
 
 
 def apply_batch(docs: DataFrame, table: str, buckets: int = BUCKETS,
@@ -32,19 +34,25 @@ def apply_batch(docs: DataFrame, table: str, buckets: int = BUCKETS,
     replace_by_key(flatten_facts(newest), readable, table, buckets=buckets, run_id=run_id)
 
 
-def ingest_available(spark: SparkSession, landing: str, table: str, checkpoint: str,
+def landed_files(spark: SparkSession, landing: str) -> DataFrame:
+    """Stream of whole files named by their ticker: (value, file_path, file_time, ticker)."""
+    return (spark.readStream.format("text").option("wholetext", True).load(landing)
+            .select("value", F.col("_metadata.file_path").alias("file_path"),
+                    F.col("_metadata.file_modification_time").alias("file_time"))
+            .withColumn("ticker", normal_ticker(file_stem(F.col("file_path")))))
+
+
+def ingest_available(stream: DataFrame, table: str, checkpoint: str,
                      buckets: int = BUCKETS) -> StreamingQuery:
     """Process everything that has landed since the last run, then stop.
 
-    Replacing by key makes a replayed batch harmless.
+    Replacing by key makes a replayed batch harmless.  The staging name is made
+    of the checkpoint and the batch, so a batch that failed while publishing is
+    published from its staged rows when Spark replays it.
     """
-    stream = (spark.readStream.format("text").option("wholetext", True).load(landing)
-              .select("value", F.col("_metadata.file_path").alias("file_path"),
-                      F.col("_metadata.file_modification_time").alias("file_time"))
-              .withColumn("ticker", normal_ticker(file_stem(F.col("file_path")))))
-
     def run(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch, table, buckets)
+        run_id = f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}-{batch_id}"
+        apply_batch(batch, table, buckets, run_id)
 
     query = (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())

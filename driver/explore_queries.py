@@ -192,22 +192,36 @@ def income_bridge_steps(spark, sf_dir):
     return iso(income.income_bridge_steps(annual_wide(spark, sf_dir)))
 
 
-@checked(f"""{TO_FLAGS}, shown as (
+_VISIBLE = f"""{TO_FLAGS}, shown as (
   select ticker, period_end from ratios where form = '10-K'
   qualify date_diff('day', period_end, max(period_end) over (partition by ticker)) <= 1898)
 select f.ticker, cast(f.period_end as varchar) as period_end, rule_id, severity,
        'FY' || year(f.period_end) as fy, case severity when 'high' then 1 when 'medium' then 2 else 3 end as severity_rank
 from flags f semi join shown s on s.ticker = f.ticker and s.period_end = f.period_end
-where f.form = '10-K'""")
-def flags_visible(spark, sf_dir):
-    rows = annual_periods(spark, sf_dir)
-    shown = flags.visible_flags(flags.red_flags(rows), periods.recent_periods(rows))
+where f.form = '10-K'"""
+
+
+def _listed(shown):
     return iso(shown.select(
         "ticker", "period_end", "rule_id", "severity",
         F.concat(F.lit("FY"), F.year("period_end").cast("string")).alias("fy"),
         flags.severity_rank(F.col("severity")).cast("int").alias("severity_rank")))
 
 
+@checked(_VISIBLE)
+def flags_visible(spark, sf_dir):
+    """Flags of the visible periods, raised on the visible rows only."""
+    shown = periods.recent_periods(annual_periods(spark, sf_dir))
+    return _listed(flags.sorted_flags(flags.red_flags(shown)))
+
+
+@checked(_VISIBLE)
+def flags_visible_tables(spark, sf_dir):
+    """The same from separate flag and period tables."""
+    rows = annual_periods(spark, sf_dir)
+    return _listed(flags.visible_flags(flags.red_flags(rows), periods.recent_periods(rows)))
+
+
 # ---- industry -------------------------------------------------------------------
 
 _COMPANIES = f"""co as (select {_TICKER.format('s_suppkey')} as ticker, s_suppkey as cik, s_name as entity_name,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -25,11 +25,8 @@ DRIVER_TABLES = ("region nation customer supplier part orders lineitem events do
 
 
 def _scratch(spark) -> str:
-    """A new folder for a query that writes; below the shared folder if one is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root}/run-{spark.sparkContext.applicationId}-{tempfile.mktemp(prefix='', dir='')}"
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    """A new folder, below the shared one, for a query that writes."""
+    return f"{checkpoint_root(spark)}/run-{uuid.uuid4().hex}"
 
 
 # ---- company documents ------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.text import (CHUNK_TARGET, chunk_text, extract_section, keyword_score,
                                        query_words, with_text)
-from tallyforge.operators.segments import segment_revenue
+from tallyforge.operators.segments import segment_array, segment_revenue, unpack_segments
 
 TOP_PASSAGES = 6
 EXCERPT_CHARS = 1200
@@ -33,14 +33,38 @@ def filing_documents(filings: DataFrame, documents: DataFrame, n: int = 2) -> Da
     return recent_filings(filings, n).join(documents, "accession_number", "left")
 
 
+_MDNA_KEYS = ["ticker", "cik", "form", "accession_number", "filing_date"]
+
+
+def _with_status(rows: DataFrame) -> DataFrame:
+    return (rows.withColumn("char_count", F.coalesce(F.length("mdna_text"), F.lit(0)).cast("bigint"))
+            .withColumn("extraction_ok", F.col("mdna_text").isNotNull()))
+
+
 def mdna_table(filing_docs: DataFrame) -> DataFrame:
     """One row per filing with the extracted section; a failure is a row, not an error."""
     section = extract_section(F.col("text"), F.col("form"))
-    return (with_text(filing_docs, "html")
-            .select("ticker", "cik", "form", "accession_number", "filing_date",
-                    section.alias("mdna_text"))
-            .withColumn("char_count", F.coalesce(F.length("mdna_text"), F.lit(0)).cast("bigint"))
-            .withColumn("extraction_ok", F.col("mdna_text").isNotNull()))
+    return _with_status(with_text(filing_docs, "html")
+                        .select(*_MDNA_KEYS, section.alias("mdna_text")))
+
+
+def document_results(filing_docs: DataFrame) -> DataFrame:
+    """Section and segments of each filing in one pass over the markup.
+
+    Segments are taken from the newest filing of a company only.
+    """
+    section = extract_section(F.col("text"), F.col("form"))
+    segments = F.when(F.col("filing_rank") == 1, segment_array(F.col("html")))
+    return with_text(filing_docs, "html").select(
+        *_MDNA_KEYS, section.alias("mdna_text"), segments.alias("segments"))
+
+
+def mdna_of(results: DataFrame) -> DataFrame:
+    return _with_status(results.drop("segments"))
+
+
+def segments_of(results: DataFrame) -> DataFrame:
+    return unpack_segments(results, F.col("segments"), ("ticker", "accession_number"))
 
 
 def segment_table(filing_docs: DataFrame) -> DataFrame:

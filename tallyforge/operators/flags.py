@@ -133,8 +133,12 @@ def flag_heatmap(periods: DataFrame) -> DataFrame:
             .select("ticker", "severity", "fy", "n_flags"))
 
 
+def sorted_flags(flags: DataFrame) -> DataFrame:
+    """Newest period first, then severity by name."""
+    return flags.orderBy("ticker", F.col("period_end").desc(), "severity", "rule_id")
+
+
 def visible_flags(flags: DataFrame, periods: DataFrame) -> DataFrame:
-    """Flags of the periods still shown, newest first, then severity by name."""
+    """Stored flags cut to the periods still shown."""
     shown = periods.select("ticker", "period_end").distinct()
-    return (flags.join(shown, ["ticker", "period_end"], "left_semi")
-            .orderBy("ticker", F.col("period_end").desc(), "severity", "rule_id"))
+    return sorted_flags(flags.join(shown, ["ticker", "period_end"], "left_semi"))

@@ -116,17 +116,29 @@ def _choose(rows: Column) -> Column:
     return let(picked, _first_per_member)
 
 
-def segment_revenue(docs: DataFrame, markup: str, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, axis, member, label, value, period_start, period_end) per document."""
-    parsed = F.struct(_contexts(F.col(markup)).alias("contexts"), _facts(F.col(markup)).alias("facts"))
-    rows = let(parsed, lambda p: let(_joined(p["contexts"], p["facts"]), _choose))
-    return (docs.select(*keys, F.explode(rows).alias("s"))
+def segment_array(markup: Column) -> Column:
+    """Segments of a document: annual facts of the newest period end, on the first
+    axis with data, the first fact of a member."""
+    parsed = F.struct(_contexts(markup).alias("contexts"), _facts(markup).alias("facts"))
+    return let(parsed, lambda p: let(_joined(p["contexts"], p["facts"]), _choose))
+
+
+def unpack_segments(rows: DataFrame, segments: Column, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, axis, member, label, value, period_start, period_end)."""
+    return (rows.select(*keys, F.explode(segments).alias("s"))
             .select(*keys, F.col("s.c.axis").alias("axis"), F.col("s.c.member").alias("member"),
                     pretty_member(F.col("s.c.member")).alias("label"),
                     F.col("s.value").alias("value"), F.col("s.c.start").alias("period_start"),
                     F.col("s.c.end").alias("period_end")))
 
 
+def segment_revenue(docs: DataFrame, markup: str, keys: tuple[str, ...]) -> DataFrame:
+    """Segment rows per document; documents without segments give none."""
+    # Exploded as an expression: of an exploded column Spark would infer a filter
+    # and push it below the extraction, which would then run twice.
+    return unpack_segments(docs, segment_array(F.col(markup)), keys)
+
+
 def ordered_segments(segments: DataFrame, *keys: str) -> DataFrame:
     """Largest segment first."""
     return segments.orderBy(*keys, F.col("value").desc(), "member")

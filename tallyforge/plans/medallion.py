@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from tallyforge.operators.flags import red_flags
 from tallyforge.operators.ratios import compute_ratios, dupont_audit, with_prior_margin
 from tallyforge.operators.statements import build_statements, to_wide
 from tallyforge.sources import landing
-from tallyforge.sources.tables import read_table, replace_by_key, write_table
+from tallyforge.sources.tables import read_table, replace_by_key, staged, write_table
 
 
 @dataclass(frozen=True)
@@ -28,36 +29,43 @@ class Store:
 
 
 def ingest(spark: SparkSession, store: Store, landed: str, run_time: str,
-           mdna_filings: int = 2, buckets: int = 256) -> None:
+           mdna_filings: int = 2, buckets: int = 256) -> DataFrame:
     """Landed folders (registry, facts, submissions, documents) to bronze.
 
     Every landed ticker is replaced in every table, also where it yields no
-    rows any more, so no stale rows stay behind.
+    rows any more, so no stale rows stay behind.  The key list and the document
+    results are written once and read back: documents are parsed in one pass.
+    Returns the landed tickers.
     """
+    run = uuid.uuid4().hex
+
+    def replace(rows: DataFrame, table: str) -> None:
+        replace_by_key(rows, tickers, store.path("bronze", table), buckets=buckets)
+
     entries = landing.registry(landing.read_documents(spark, f"{landed}/registry"))
-    fact_docs = landing.parse_facts(landing.read_company_documents(spark, f"{landed}/facts")) \
-        .filter(F.col("facts").isNotNull()).drop("facts")
-    facts = landing.flatten_facts(fact_docs)
-    tickers = fact_docs.select("ticker")
+    docs = landing.read_company_documents(spark, f"{landed}/facts")
+    readable = landing.parse_facts(docs).filter(F.col("facts").isNotNull())
+    tickers = staged(readable.select("ticker").distinct(), f"{run}-tickers")
+    replace(landing.flatten_facts(docs), "xbrl_facts")
+    facts = read_table(spark, store.path("bronze", "xbrl_facts"), schemas.FACTS) \
+        .join(tickers, "ticker", "left_semi")
     stamped = tickers.withColumn("fetched_at", F.lit(run_time).cast("timestamp"))
     companies = landing.company_dimension(stamped, entries, facts)
-    subs = landing.parse_submissions(landing.read_company_documents(
-        spark, f"{landed}/submissions")).drop("value")
+    replace(companies, "companies")
+    subs = landing.parse_submissions(
+        landing.read_company_documents(spark, f"{landed}/submissions")).drop("value")
     named = subs.join(companies.select("ticker", "cik", "entity_name"), "ticker")
-    replace_by_key(facts, tickers, store.path("bronze", "xbrl_facts"), buckets=buckets)
-    replace_by_key(companies, tickers, store.path("bronze", "companies"), buckets=buckets)
-    replace_by_key(landing.company_profile(named), tickers,
-                   store.path("bronze", "company_profile"), buckets=buckets)
-    replace_by_key(landing.filing_index(named), tickers,
-                   store.path("bronze", "filings"), buckets=buckets)
+    replace(landing.company_profile(named), "company_profile")
+    replace(landing.filing_index(named), "filings")
     filings = read_table(spark, store.path("bronze", "filings"), schemas.FILINGS) \
         .join(tickers, "ticker", "left_semi")
     filing_docs = docs_ops.filing_documents(
         filings, landing.read_filing_documents(spark, f"{landed}/documents/*/*"), mdna_filings)
-    replace_by_key(docs_ops.mdna_table(filing_docs), tickers,
-                   store.path("bronze", "mdna"), buckets=buckets)
-    replace_by_key(docs_ops.segment_table(filing_docs), tickers,
-                   store.path("bronze", "segment_revenue"), buckets=buckets)
+    results = staged(docs_ops.document_results(filing_docs), f"{run}-documents")
+    replace(docs_ops.mdna_of(results), "mdna")
+    replace(docs_ops.segments_of(results), "segment_revenue")
+    return read_table(spark, store.path("bronze", "companies"), schemas.COMPANIES) \
+        .join(tickers, "ticker", "left_semi").select("ticker")
 
 
 def build_silver(spark: SparkSession, store: Store, annual: FormSpec = ANNUAL,

@@ -39,12 +39,14 @@ def local_session(cores: int | str = "*", app: str = "tallyforge",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is used.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session
+    without that setting (tests on one machine) gets a temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    path = tempfile.mkdtemp(prefix="tallyforge-checkpoint-")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="tallyforge-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
     return path

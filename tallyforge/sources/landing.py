@@ -72,7 +72,7 @@ def flatten_facts(docs: DataFrame, column: str = "value") -> DataFrame:
         "ticker", "taxonomy", "tag", "label", "unit",
         F.col("start").try_cast("date").alias("period_start"),
         F.col("end").try_cast("date").alias("period_end"),
-        F.col("val").try_cast("double").alias("val"), F.col("fy").try_cast("bigint").alias("fy"),
+        F.nullif(F.col("val").try_cast("double"), F.lit(float("nan"))).alias("val"), F.col("fy").try_cast("bigint").alias("fy"),
         "fp", "form", F.col("filed").try_cast("date").alias("filed"), "frame", "accn")
 
 

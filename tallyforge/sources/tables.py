@@ -7,6 +7,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyforge.schemas import empty
 from tallyforge.session import checkpoint_root
@@ -94,42 +95,63 @@ def write_table(df: DataFrame, path: str, key: str | None = None,
     writer.parquet(path)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The frame written once to the shared folder and read back.
+
+    Cuts the lineage with a table that survives lost executors, and gives Spark
+    its true size for later join choices.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/staged/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def replace_by_key(rows: DataFrame, keys: DataFrame, path: str, key: str = "ticker",
                    buckets: int = BUCKETS, run_id: str | None = None) -> None:
     """Replace all rows of ``keys`` by ``rows``; rows of other keys stay.
 
-    Only the buckets of the keys are read and written.  The merged buckets are
-    first written to a staging table in the shared checkpoint folder and then
-    published by dynamic partition overwrite: if publishing is interrupted, a
-    run with the same ``run_id`` publishes the staged buckets again.  An empty
-    key list changes nothing.
+    Rows of keys not listed are left out.  Only the buckets of the keys are read
+    and written.  The merged buckets are first written to a staging table in the
+    shared checkpoint folder and then published by dynamic partition overwrite:
+    if publishing is interrupted, a run with the same ``run_id`` publishes the
+    staged buckets again.  An empty key list changes nothing.
     """
     spark = rows.sparkSession
-    keys = keys.select(key).distinct()
-    added = rows.join(keys, key, "left_semi") \
-        .withColumn("bucket", bucket_of(F.col(key), buckets))
+    name = run_id or uuid.uuid4().hex
+    stage = f"{checkpoint_root(spark)}/staged/{name}"
+    keys = staged(keys.select(key).distinct(), f"{name}-keys")
     # At most ``buckets`` small integers reach the driver.
     touched = sorted(r.bucket for r in keys.select(
         bucket_of(F.col(key), buckets).alias("bucket")).distinct().collect())
-    if not touched:
-        return
-    stage = f"{checkpoint_root(spark)}/staged/{run_id or uuid.uuid4().hex}"
-    if not exists(spark, f"{stage}/_SUCCESS"):
-        merged = added
-        if exists(spark, path):
-            current = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-            kept = current.join(keys, key, "left_anti")
-            merged = kept.unionByName(added, allowMissingColumns=True)
-        (merged.hint("rebalance", "bucket").write.mode("overwrite")
-         .option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(stage))
-    staged = spark.read.schema(added.schema).parquet(stage)
-    filled = {r.bucket for r in staged.select("bucket").distinct().collect()}
+    if touched:
+        added = rows.join(keys, key, "left_semi") \
+            .withColumn("bucket", bucket_of(F.col(key), buckets))
+        if not exists(spark, f"{stage}/_SUCCESS"):
+            merged = added
+            if exists(spark, path):
+                current = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+                kept = current.join(keys, key, "left_anti")
+                merged = kept.unionByName(added, allowMissingColumns=True)
+            (merged.hint("rebalance", "bucket").write.mode("overwrite")
+             .option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(stage))
+        _publish(spark, stage, path, touched, added.schema)
+    drop_path(spark, stage)
+    drop_path(spark, f"{stage}-keys")
+
+
+def _publish(spark: SparkSession, stage: str, path: str, touched: list[int],
+             schema: StructType) -> None:
+    """Swap the staged buckets in; a touched bucket that is empty now is removed."""
+    new = spark.read.schema(schema).parquet(stage)
+    filled = {r.bucket for r in new.select("bucket").distinct().collect()}
     if filled or not exists(spark, path):
-        (staged.hint("rebalance", "bucket").write.mode("overwrite")
+        (new.hint("rebalance", "bucket").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
     for bucket in touched:
         if bucket not in filled:
-            fs, p = _fs(spark, f"{path}/bucket={bucket}")
-            fs.delete(p, True)
-    fs, p = _fs(spark, stage)
-    fs.delete(p, True)
+            drop_path(spark, f"{path}/bucket={bucket}")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.sources.tables import spread
 from tallyforge.taxonomy import TAGS
 
 
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are expensive to process."""
+    return spread(table(spark, sf_dir, name))
+
+
 def ticker_of(key) -> F.Column:
     return F.concat(F.lit("S"), F.lpad(key.cast("string"), 5, "0"))
 

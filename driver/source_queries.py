@@ -55,7 +55,7 @@ def _fact_documents(spark, sf_dir):
     facts = F.create_map(F.lit("us-gaap"), F.create_map(F.lit("Revenues"), revenue),
                          F.lit("dei"), F.create_map(
                              F.lit("EntityCommonStockSharesOutstanding"), cover))
-    return fx.table(spark, sf_dir, "lineitem").select(
+    return fx.texts(spark, sf_dir, "lineitem").select(
         fx.ticker_of(F.col("l_suppkey")).alias("ticker"), F.to_json(F.struct(facts.alias("facts"))).alias("value"))
 
 
@@ -128,7 +128,7 @@ def _filing_submissions(spark, sf_dir):
         F.array(day, F.lit(""), status, day).alias("reportDate"),
         F.array(*[F.concat(F.lit(f"d{i}-"), key, F.lit(".htm")) for i in range(4)]).alias("primaryDocument"))
     doc = F.struct(F.struct(recent.alias("recent")).alias("filings"))
-    return fx.table(spark, sf_dir, "orders").select(
+    return fx.texts(spark, sf_dir, "orders").select(
         fx.ticker_of(F.col("o_custkey")).alias("ticker"), F.col("o_custkey").alias("cik"),
         F.to_json(doc).alias("value"))
 
@@ -209,7 +209,7 @@ def feed_news(spark, sf_dir):
         F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss"),
         F.lit("</pubDate></item><item><title><![CDATA[<b>raw</b>]]></title><link>http://x/"), key,
         F.lit("</link></item><item><pubDate></pubDate></item><item><title>Fourth</title></item></channel></rss>"))
-    docs = fx.table(spark, sf_dir, "orders").select("o_orderkey", rss.alias("xml"))
+    docs = fx.texts(spark, sf_dir, "orders").select("o_orderkey", rss.alias("xml"))
     return feeds.news_items(docs, "xml", ("o_orderkey",))
 
 

@@ -40,7 +40,7 @@ _TEXT = _tidy(_unescape(f"regexp_replace({_LINES}, '<[^>]+>', ' ', 'g')"))
 
 @checked(f"select page_id, {_TEXT} as text from pages")
 def html_to_text(spark, sf_dir):
-    return with_text(fx.table(spark, sf_dir, "pages"), "html").select("page_id", "text")
+    return with_text(fx.texts(spark, sf_dir, "pages"), "html").select("page_id", "text")
 
 
 # ---- chunks -----------------------------------------------------------------------
@@ -66,7 +66,7 @@ chunks as (select doc_id, source, generate_subscripts(c, 1) - 1 as chunk_id, unn
 
 def _document_filings(spark, sf_dir):
     """Documents as filings of their source, dated by their id."""
-    return fx.table(spark, sf_dir, "documents").select(
+    return fx.texts(spark, sf_dir, "documents").select(
         F.col("source").alias("ticker"), F.col("doc_id").alias("cik"),
         F.when(F.col("lang").isin("en", "de"), "10-K").otherwise("10-Q").alias("form"),
         F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("accession_number"),
@@ -215,7 +215,7 @@ def _order_markup(spark, sf_dir):
         _fact("p3", F.lit("77")), _fact("p4", F.lit("88")), _fact("n1", F.lit("99")),
         _fact("s1", F.concat(key, F.lit(".5")), "0"), _fact("p2", F.lit("5"), name="us-gaap:Assets"),
         _fact("p2", F.lit("(12)")), F.lit("</html>"))
-    return fx.table(spark, sf_dir, "orders").select("o_orderkey", html.alias("html"))
+    return fx.texts(spark, sf_dir, "orders").select("o_orderkey", html.alias("html"))
 
 
 @checked("""with o as (select *, cast(o_orderdate as date) as d,
@@ -243,7 +243,7 @@ def _turns(spark, sf_dir):
 
     A call's result is a turn of role ``tool``.
     """
-    base = fx.table(spark, sf_dir, "conversations").withColumn("n", F.length("text"))
+    base = fx.texts(spark, sf_dir, "conversations").withColumn("n", F.length("text"))
     calls = (F.col("role") == "assistant") & (F.col("n") % 2 == 0)
     ids = [F.concat_ws("-", F.lit("c"), "conv_id", "turn", F.lit(str(i))) for i in (1, 2)]
     good = F.to_json(F.struct(F.concat(F.lit(" s"), F.col("n").cast("string")).alias("p_ticker"),
@@ -323,5 +323,5 @@ def content_text(spark, sf_dir):
     quoted = F.substring(quoted, 6, F.length(quoted) - 6)
     raw = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, parts) \
         .otherwise(quoted)
-    return (fx.table(spark, sf_dir, "conversations").withColumn("raw", raw)
+    return (fx.texts(spark, sf_dir, "conversations").withColumn("raw", raw)
             .select("conv_id", "turn", conv.content_text(F.col("raw")).alias("content")))

@@ -15,15 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # White space of every alphabet, as strip() and \s see it in Unicode mode.
-WS = (r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
-      r"\x{202f}\x{205f}\x{3000}]")
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680,
+                             *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000]))
+WS = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in WS_CHARS) + "]"
 
 # Patterns of the markup cleaner.
 DROPPED_BLOCKS = r"(?is)<(script|style|head).*?</\1>"
 BLOCK_TAGS = r"(?i)</?(p|div|br|tr|li|h[1-6]|table|td)[^>]*>"
 ANY_TAG = r"<[^>]+>"
 
-# Entities common in filings, resolved without leaving the JVM; &amp; goes last.
+_ALL = 2**31 - 1
+
+# Entities common in filings, resolved without leaving the JVM.
 COMMON_ENTITIES = ["quot", "lt", "gt", "nbsp", "copy", "reg", "trade", "middot", "bull",
                    "ndash", "mdash", "lsquo", "rsquo", "ldquo", "rdquo", "sect",
                    "#39", "#160", "#8211", "#8212", "#8217", "#8220", "#8221", "amp"]
@@ -31,7 +34,8 @@ _UNCOMMON = "&(?!(?:" + "|".join(COMMON_ENTITIES) + ");)(?=#|[A-Za-z])"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{WS}+|{WS}+\z", "")
+    """Looks at both ends only, unlike a pattern that scans the whole text."""
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 @F.pandas_udf(StringType())
@@ -49,10 +53,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _common(text: Column) -> Column:
-    out = text
-    for name in COMMON_ENTITIES:
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(html.unescape(f"&{name};")))
-    return out
+    """One pass: cut at every ampersand and look at the start of each piece."""
+    def resolve(piece: Column, at: Column) -> Column:
+        out = F.when(at == 0, piece)
+        for name in COMMON_ENTITIES:
+            head = f"{name};"
+            out = out.when(F.startswith(piece, F.lit(head)), F.concat(
+                F.lit(html.unescape(f"&{head}")), F.substring(piece, len(head) + 1, _ALL)))
+        return out.otherwise(F.concat(F.lit("&"), piece))
+
+    return F.array_join(F.transform(F.split(text, "&"), resolve), "")
 
 
 def unescape(text: Column) -> Column:
@@ -77,9 +87,11 @@ def with_text(df: DataFrame, markup: str, out: str = "text",
     if full_entities:
         rare = F.when(F.col("_bare").rlike(_UNCOMMON), F.col("_bare"))
         plain = F.coalesce(_unescape_all(rare), plain)
-    t = F.translate(plain, "\u00a0\u2019", " '")
-    t = F.regexp_replace(t, "[ \t]+", " ")
-    t = F.regexp_replace(t, " ?\n ?", "\n")
+    t = F.replace(plain, F.lit("\u00a0"), F.lit(" "))
+    t = F.replace(t, F.lit("\u2019"), F.lit("'"))
+    # Single blanks and bare line ends stay as they are, so only the others match.
+    t = F.regexp_replace(F.replace(t, F.lit("\t"), F.lit(" ")), " {2,}", " ")
+    t = F.regexp_replace(t, " \n ?|\n ", "\n")
     t = F.regexp_replace(t, "\n{3,}", "\n\n")
     return rows.withColumn(out, strip(t)).drop("_bare")
 
@@ -101,10 +113,17 @@ def _section(text: Column, start: str, end: str) -> Column:
     pattern = rf"(?is)(?={start})(?=(.{{{END_OFFSET}}}.*?)({end}|\z))"
     bodies = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     heads = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    # Without an end heading the candidate is cut before it is trimmed.
-    found = F.zip_with(bodies, heads, lambda b, h: F.when(h != "", strip(b)).otherwise(
-        strip(F.substring(b, 1, MAX_SECTION))))
-    long_enough = F.filter(found, lambda x: F.length(x) >= MIN_SECTION)
+    # Without an end heading the candidate is cut before it is trimmed, which
+    # matters only above the size limit; only then the end headings are looked at.
+    return let(bodies, lambda found: _latest_long(
+        F.when(F.exists(found, lambda b: F.length(b) > MAX_SECTION), F.zip_with(
+            found, heads, lambda b, h: F.when(h != "", strip(b)).otherwise(
+                strip(F.substring(b, 1, MAX_SECTION)))))
+        .otherwise(F.transform(found, strip))))
+
+
+def _latest_long(candidates: Column) -> Column:
+    long_enough = F.filter(candidates, lambda x: F.length(x) >= MIN_SECTION)
     return F.substring(F.try_element_at(long_enough, F.lit(-1)), 1, MAX_SECTION)
 
 
@@ -149,10 +168,5 @@ def chunk_text(text: Column, target: int = CHUNK_TARGET, separator: str = "\n\n"
         acc["buf"] != "", F.array_append(acc["out"], acc["buf"])).otherwise(acc["out"]))
 
 
-def keyword_score(text_lower: Column, words: Column) -> Column:
-    """How many of the words occur in the text; a repeated word counts again."""
-    return F.size(F.filter(words, lambda w: F.contains(text_lower, w)))
-
-
 def query_words(query: Column) -> Column:
     return F.filter(F.split(F.lower(query), " "), lambda w: w != "")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import (CHUNK_TARGET, chunk_text, extract_section, keyword_score,
+from tallyforge.functions.text import (CHUNK_TARGET, chunk_text, extract_section, let,
                                        query_words, with_text)
 from tallyforge.operators.segments import segment_array, segment_revenue, unpack_segments
 
@@ -84,39 +84,53 @@ def chunk_table(mdna: DataFrame, target: int = CHUNK_TARGET, separator: str = "\
 
 
 def _request_batches(requests: DataFrame, batch: int) -> DataFrame:
-    """Requests grouped into arrays of about ``batch`` per ticker.
+    """Requests in batches of about ``batch`` per ticker: (ticker, vocabulary, requests).
 
     The batch number comes from a hash over as many buckets as the ticker's
-    request count needs, so one popular ticker becomes many rows, not one.
+    request count needs, so one popular ticker becomes many rows, not one.  A
+    request refers to its words by their position in the batch's vocabulary.
     """
     asked = requests.select("request_id", F.upper("ticker").alias("ticker"),
                             query_words(F.col("query")).alias("words"))
     sizes = asked.groupBy("ticker").agg(F.ceil(F.count(F.lit(1)) / batch).alias("_n"))
-    return (asked.join(sizes, "ticker")
-            .withColumn("_batch", F.pmod(F.xxhash64("request_id"), F.col("_n")))
-            .groupBy("ticker", "_batch")
-            .agg(F.collect_list(F.struct("request_id", "words")).alias("requests"))
-            .drop("_batch"))
+    batches = (asked.join(sizes, "ticker")
+               .withColumn("_batch", F.pmod(F.xxhash64("request_id"), F.col("_n")))
+               .groupBy("ticker", "_batch")
+               .agg(F.collect_list(F.struct("request_id", "words")).alias("_asked")))
+    vocabulary = F.array_distinct(F.flatten(F.col("_asked.words")))
+    return (batches.withColumn("vocabulary", vocabulary)
+            .select("ticker", "vocabulary", F.transform("_asked", lambda r: F.struct(
+                r["request_id"].alias("request_id"),
+                F.transform(r["words"], lambda w: F.array_position("vocabulary", w).cast("int"))
+                .alias("at"))).alias("requests")))
+
+
+def _scores(text_lower: Column) -> Column:
+    """Scores above zero of a batch's requests: every vocabulary word is looked up once."""
+    found = F.transform("vocabulary", lambda w: F.contains(text_lower, w))
+    return let(found, lambda hit: F.filter(
+        F.transform("requests", lambda r: F.struct(
+            r["request_id"].alias("request_id"),
+            F.size(F.filter(r["at"], lambda i: F.element_at(hit, i))).alias("score"))),
+        lambda x: x["score"] > 0))
 
 
 def search_passages(requests: DataFrame, chunks: DataFrame, top: int = TOP_PASSAGES,
                     batch: int = REQUEST_BATCH) -> DataFrame:
     """Best passages for a table of requests (request_id, ticker, query).
 
-    Scoring passes each chunk once per request batch of its ticker and emits
-    keys only; every map task keeps its best rows per request before the shuffle
-    (WindowGroupLimit).  The text of the winners is fetched by a second, keyed
-    scan, so no passage text is ever sorted.
+    The score is the number of query words the passage contains, repeated words
+    counted again.  Scoring passes each chunk once per request batch of its
+    ticker and emits keys only; every map task keeps its best rows per request
+    before the shuffle (WindowGroupLimit).  The text of the winners is fetched by
+    a second, keyed scan, so no passage text is ever sorted.
     """
     scored = (chunks.select(F.upper("ticker").alias("ticker"), "filing_date",
                             "accession_number", "chunk_id",
                             F.lower("chunk_text").alias("_text"))
               .join(_request_batches(requests, batch), "ticker")
-              .select("filing_date", "accession_number", "chunk_id", F.inline(
-                  F.filter(F.transform("requests", lambda r: F.struct(
-                      r["request_id"].alias("request_id"),
-                      keyword_score(F.col("_text"), r["words"]).alias("score"))),
-                      lambda x: x["score"] > 0))))
+              .select("filing_date", "accession_number", "chunk_id",
+                      F.inline(_scores(F.col("_text")))))
     best = Window.partitionBy("request_id").orderBy(
         F.col("score").desc(), F.col("filing_date").desc_nulls_last(), "chunk_id",
         "accession_number")

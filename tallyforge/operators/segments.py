@@ -21,7 +21,7 @@ END = r"(?i)<xbrli:endDate>([\d\-]+)</xbrli:endDate>"
 FACT = r"(?is)<ix:nonFraction[^>]*>.*?</ix:nonFraction>"
 FACT_OPEN = r"(?is)\A<ix:nonFraction([^>]*)>"
 AXES = ["srt:ProductOrServiceAxis", "us-gaap:StatementBusinessSegmentsAxis"]
-NUMBER = r"^\d+(\.\d+)?$"
+NUMBER = r"\A(\d+(?:\.\d+)?)\z"
 MIN_DAYS, MAX_DAYS = 340, 390
 
 
@@ -30,8 +30,12 @@ def _all(text: Column, pattern: str, group: int) -> Column:
 
 
 def _attribute(attrs: Column, name: str) -> Column:
-    """Value of the last attribute of that exact name; null if absent."""
-    return F.try_element_at(_all(attrs, rf'(?<![\w:\-]){name}="([^"]*)"', 1), F.lit(-1))
+    """Value of the last attribute of that exact name; null if absent.
+
+    The pattern starts with a literal, which the scanner finds fastest; the look
+    back makes sure that the name starts there.
+    """
+    return F.try_element_at(_all(attrs, rf'{name}(?<![\w:\-]{name})="([^"]*)"', 1), F.lit(-1))
 
 
 def pretty_member(member: Column) -> Column:
@@ -45,13 +49,12 @@ def pretty_member(member: Column) -> Column:
 def _contexts(markup: Column) -> Column:
     """Array of (id, axis, member, start, end) of usable single-axis contexts."""
     def parse(piece: Column) -> Column:
-        axes, members = _all(piece, MEMBER, 1), _all(piece, MEMBER, 2)
-        return F.struct(
-            F.regexp_extract(piece, CONTEXT_ID, 1).alias("id"), F.size(axes).alias("n"),
-            F.try_element_at(axes, F.lit(1)).alias("axis"),
-            F.try_element_at(members, F.lit(1)).alias("member"),
+        return let(_all(piece, MEMBER, 0), lambda members: F.struct(
+            F.regexp_extract(piece, CONTEXT_ID, 1).alias("id"), F.size(members).alias("n"),
+            F.regexp_extract(F.try_element_at(members, F.lit(1)), MEMBER, 1).alias("axis"),
+            F.regexp_extract(F.try_element_at(members, F.lit(1)), MEMBER, 2).alias("member"),
             F.regexp_extract(piece, START, 1).try_cast("date").alias("start"),
-            F.regexp_extract(piece, END, 1).try_cast("date").alias("end"))
+            F.regexp_extract(piece, END, 1).try_cast("date").alias("end")))
 
     # Most contexts name neither axis; they are dropped before they are parsed.
     pieces = F.filter(_all(markup, CONTEXT, 0), lambda p: F.contains(p, F.lit(AXES[0]))
@@ -64,14 +67,13 @@ def _facts(markup: Column) -> Column:
     """Array of (context id, value) of readable revenue facts, in document order."""
     def parse(piece: Column) -> Column:
         attrs = F.regexp_extract(piece, FACT_OPEN, 1)
-        body = F.regexp_replace(piece, "<[^>]+>", "")
-        raw = strip(F.regexp_replace(body, "[, ]", ""))
-        scale = F.coalesce(F.nullif(_attribute(attrs, "scale"), F.lit("")), F.lit("0"))
-        number = F.when(raw.rlike(NUMBER), raw.try_cast("double"))
-        value = number * F.pow(F.lit(10.0), scale.try_cast("int"))
-        signed = F.when(_attribute(attrs, "sign") == "-", -value).otherwise(value)
-        return F.struct(_attribute(attrs, "name").alias("name"),
-                        _attribute(attrs, "contextRef").alias("cid"), signed.alias("value"))
+        raw = strip(F.regexp_replace(piece, "<[^>]+>|[, ]", ""))
+        number = F.regexp_extract(raw, NUMBER, 1).try_cast("double")
+        return let(attrs, lambda a: F.struct(
+            _attribute(a, "name").alias("name"), _attribute(a, "contextRef").alias("cid"),
+            (number * F.pow(F.lit(10.0), F.coalesce(
+                F.nullif(_attribute(a, "scale"), F.lit("")), F.lit("0")).try_cast("int"))
+             * F.when(_attribute(a, "sign") == "-", -1.0).otherwise(1.0)).alias("value")))
 
     names = [f"us-gaap:{t}" for t in REVENUE_TAGS]
     mentioned = "|".join(f'"{n}"' for n in names)

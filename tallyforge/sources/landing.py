@@ -63,7 +63,10 @@ def parse_facts(docs: DataFrame, column: str = "value") -> DataFrame:
 
 def flatten_facts(docs: DataFrame, column: str = "value") -> DataFrame:
     """One row per (taxonomy, tag, unit, observation); bad numbers and dates are null."""
-    tags = parse_facts(docs, column).select("ticker", F.explode("facts").alias("taxonomy", "tags"))
+    # Exploded as an expression: of an exploded column Spark would infer a filter
+    # and push it below the parsing, which would then run twice.
+    facts = F.from_json(column, FACTS_JSON)["facts"]
+    tags = docs.select("ticker", F.explode(facts).alias("taxonomy", "tags"))
     metas = tags.select("ticker", "taxonomy", F.explode("tags").alias("tag", "meta"))
     units = metas.select("ticker", "taxonomy", "tag", F.col("meta.label").alias("label"),
                          F.explode("meta.units").alias("unit", "observations"))

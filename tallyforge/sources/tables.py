@@ -43,6 +43,16 @@ def read_table(spark: SparkSession, path: str, ddl: str | None = None,
     return df.orderBy(*order_by) if order_by else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores if the scan has fewer splits than that.
+
+    For work that costs much more per row than reading it, over few or large row
+    groups.  A scan with enough splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, n_rows), one count per table in one plan."""
     counts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(

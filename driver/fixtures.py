@@ -39,8 +39,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(quarter_end))
     length = (F.when(F.col("l_linenumber") == 7, 180)
               .when(F.col("form") == "10-K", 364).otherwise(90))
-    tag = F.element_at(F.array(*[F.lit(t) for t in TAGS]),
-                       (F.col("l_partkey") % 64 + 1).cast("int"))
+    tag = F.element_at(F.split(F.lit(" ".join(TAGS)), " "), (F.col("l_partkey") % 64 + 1).cast("int"))
     return rows.select(
         ticker_of(F.col("l_suppkey")).alias("ticker"),
         F.when(F.col("l_tax") == 0.08, "ifrs-full").otherwise("us-gaap").alias("taxonomy"),

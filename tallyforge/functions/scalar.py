@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 MISSING = "—"
 
 
-def safe_divide(num: Column, den: Column) -> Column:
-    """num / den; null where the base is zero or either side is missing."""
-    return F.try_divide(num, den)
-
-
 def change(cur: Column, base: Column) -> Column:
     """(cur - base) / |base|; null where the base is zero or missing."""
     return F.try_divide(cur - base, F.abs(base))
 
 
-def sum_min_one(a: Column, b: Column) -> Column:
-    """a + b with a missing side as zero; null only if both are missing."""
-    return F.coalesce(a + b, a, b)
+def change_sql(cur: str, base: str) -> str:
+    """SQL of ``change`` for wide projections."""
+    return f"try_divide({cur} - {base}, abs({base}))"
+
+
+def sum_min_one(a: str, b: str) -> str:
+    """SQL of a + b with a missing side as zero; null only if both are missing."""
+    return f"coalesce({a} + {b}, {a}, {b})"
 
 
 def money_label(v: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.scalar import fiscal_label
@@ -73,12 +73,12 @@ RULES = [
 SEVERITIES = ["high", "medium", "info"]
 
 
-def _fired(rule: Rule) -> Column:
-    metrics = F.map_from_arrays(F.array(*[F.lit(m) for m in rule.metrics]),
-                                F.array(*[F.col(m) for m in rule.metrics]))
-    return F.when(F.expr(rule.condition), F.struct(
-        F.lit(rule.rule_id).alias("rule_id"), F.expr(rule.severity).alias("severity"),
-        F.lit(rule.explanation).alias("explanation"), metrics.alias("metrics")))
+def _fired(rule: Rule) -> str:
+    """SQL of the flag a rule raises; null if it does not fire."""
+    metrics = ", ".join(f"'{m}', {m}" for m in rule.metrics)
+    text = rule.explanation.replace("'", "\\'")
+    return (f"CASE WHEN {rule.condition} THEN named_struct('rule_id', '{rule.rule_id}', "
+            f"'severity', {rule.severity}, 'explanation', '{text}', 'metrics', map({metrics})) END")
 
 
 def red_flags(ratios: DataFrame, keys: tuple[str, ...] = ("ticker", "period_end")) -> DataFrame:
@@ -86,16 +86,14 @@ def red_flags(ratios: DataFrame, keys: tuple[str, ...] = ("ticker", "period_end"
 
     Needs ``prior_gross_margin`` next to the ratios.
     """
-    return (ratios.select(*keys, F.inline(F.array(*[_fired(r) for r in RULES])))
-            .filter(F.col("rule_id").isNotNull()))
+    return (ratios.selectExpr(*keys, f"inline(array({', '.join(map(_fired, RULES))}))")
+            .filter("rule_id IS NOT NULL"))
 
 
-def flag_count() -> Column:
-    """Number of rules that fire on a ratio row, without building the flags."""
-    total = F.lit(0)
-    for rule in RULES:
-        total = total + F.when(F.expr(rule.condition), 1).otherwise(0)
-    return total.cast("bigint")
+def flag_count() -> str:
+    """SQL of the number of rules that fire on a ratio row, without building the flags."""
+    hits = " + ".join(f"CASE WHEN {r.condition} THEN 1L ELSE 0L END" for r in RULES)
+    return f"({hits})"
 
 
 def severity_rank(severity: Column) -> Column:
@@ -116,18 +114,17 @@ def flag_heatmap(periods: DataFrame) -> DataFrame:
     years; an empty cell is null.  One pass: count per year, see per company
     which severities fired at all, unpivot.
     """
-    def fired(severity: str) -> Column:
-        hits = [F.when(F.expr(f"({r.condition}) AND ({r.severity}) = '{severity}'"), 1).otherwise(0)
-                for r in RULES]
-        return F.sum(sum(hits[1:], hits[0]))
+    def fired(severity: str) -> str:
+        hits = " + ".join(f"CASE WHEN ({r.condition}) AND ({r.severity}) = '{severity}' "
+                          "THEN 1L ELSE 0L END" for r in RULES)
+        return f"sum({hits})"
 
     years = (periods.groupBy("ticker", fiscal_label(F.col("period_end")).alias("fy"))
-             .agg(*[fired(s).alias(s) for s in SEVERITIES]))
-    company = Window.partitionBy("ticker")
-    cells = [F.when(F.max(s).over(company) > 0, F.struct(
-        F.lit(s).alias("severity"), F.nullif(F.col(s), F.lit(0)).alias("n_flags")))
-        for s in SEVERITIES]
-    return (years.select("ticker", "fy", F.array(*cells).alias("cells"))
+             .agg(*[F.expr(fired(s)).alias(s) for s in SEVERITIES]))
+    cells = ", ".join(f"CASE WHEN max({s}) OVER (PARTITION BY ticker) > 0 THEN "
+                      f"named_struct('severity', '{s}', 'n_flags', nullif({s}, 0L)) END"
+                      for s in SEVERITIES)
+    return (years.selectExpr("ticker", "fy", f"array({cells}) AS cells")
             .select("ticker", "fy", F.inline("cells"))
             .filter(F.col("severity").isNotNull())
             .select("ticker", "severity", "fy", "n_flags"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.scalar import change, fiscal_label
+from tallyforge.functions.scalar import change_sql, fiscal_label
 from tallyforge.operators.flags import flag_count
 
 ANNUAL_DAYS = 1898      # int(5.2 * 365)
@@ -55,7 +55,7 @@ def kpi_row(periods: DataFrame) -> DataFrame:
         "net_margin",
         ((F.col("net_margin") - F.lag("net_margin").over(by_company)) * 100)
         .alias("net_margin_change_pp"),
-        flag_count().alias("n_flags"))
+        F.expr(flag_count()).alias("n_flags"))
     return latest_row(rows)
 
 
@@ -92,35 +92,30 @@ def common_size(wide: DataFrame, quarterly: bool = False) -> DataFrame:
     one row back.  Both forms come in one frame, so the quarters of the annual
     view are found with a window instead of a join.
     """
-    series = Window.partitionBy("ticker", "form").orderBy("period_end")
-    newest = Window.partitionBy("ticker", "form").orderBy(F.col("period_end").desc())
-    company = Window.partitionBy("ticker")
+    series = "OVER (PARTITION BY ticker, form ORDER BY period_end)"
+    newest = "OVER (PARTITION BY ticker, form ORDER BY period_end DESC)"
     items = list(COMMON_SIZE_ITEMS)
     base = recent_by_form(wide).select("ticker", "form", "period_end", *items)
-    rows = base.select("*", F.row_number().over(newest).alias("_rn"),
-                       *[F.lag(i, 1).over(series).alias(f"_p1_{i}") for i in items],
-                       *[F.lag(i, 4).over(series).alias(f"_p4_{i}") for i in items])
+    rows = base.selectExpr("*", f"row_number() {newest} AS _rn",
+                           *[f"lag({i}, {n}) {series} AS _p{n}_{i}" for i in items for n in (1, 4)])
     if quarterly:
-        rows = rows.filter(F.col("form") == "10-Q")
-        qoq = {i: change(F.col(i), F.col(f"_p1_{i}")) for i in items}
-        yoy = {i: change(F.col(i), F.col(f"_p4_{i}")) for i in items}
+        rows = rows.filter("form = '10-Q'")
+        yoy = {i: change_sql(i, f"_p4_{i}") for i in items}
+        qoq = {i: change_sql(i, f"_p1_{i}") for i in items}
     else:
-        def quarter(i: str, n: int) -> Column:
-            hit = (F.col("form") == "10-Q") & (F.col("_rn") == n)
-            return F.max(F.when(hit, F.col(i))).over(company).alias(f"_q{n}_{i}")
-        rows = rows.select("*", *[quarter(i, n) for i in items for n in (1, 2)]) \
-            .filter(F.col("form") == "10-K")
-        qoq = {i: F.when(F.col("_rn") == 1, change(F.col(f"_q1_{i}"), F.col(f"_q2_{i}")))
-               for i in items}
-        yoy = {i: change(F.col(i), F.col(f"_p1_{i}")) for i in items}
-    lines = [F.when(F.col(i).isNotNull(), F.struct(
-        F.lit(name).alias("line_item"), F.col(i).alias("value"),
-        F.try_divide(F.col(i), F.col("revenue")).alias("share_of_revenue"),
-        yoy[i].alias("yoy"), qoq[i].alias("qoq")))
-        for i, name in COMMON_SIZE_ITEMS.items()]
-    return (rows.select("ticker", "period_end", (F.col("_rn") == 1).alias("is_newest"),
-                        F.inline(F.array(*lines)))
-            .filter(F.col("line_item").isNotNull()))
+        rows = rows.selectExpr("*", *[
+            f"max(CASE WHEN form = '10-Q' AND _rn = {n} THEN {i} END) "
+            f"OVER (PARTITION BY ticker) AS _q{n}_{i}" for i in items for n in (1, 2)]) \
+            .filter("form = '10-K'")
+        yoy = {i: change_sql(i, f"_p1_{i}") for i in items}
+        qoq = {i: f"CASE WHEN _rn = 1 THEN {change_sql(f'_q1_{i}', f'_q2_{i}')} END" for i in items}
+    lines = ", ".join(
+        f"CASE WHEN {i} IS NOT NULL THEN named_struct('line_item', '{name}', 'value', {i}, "
+        f"'share_of_revenue', try_divide({i}, revenue), 'yoy', {yoy[i]}, 'qoq', {qoq[i]}) END"
+        for i, name in COMMON_SIZE_ITEMS.items())
+    return (rows.selectExpr("ticker", "period_end", "_rn = 1 AS is_newest",
+                            f"inline(array({lines}))")
+            .filter("line_item IS NOT NULL"))
 
 
 # Chart families as (family, metric, column expression).
@@ -151,20 +146,18 @@ def trend_series(periods: DataFrame) -> DataFrame:
     A metric the company never reports in the visible years is dropped; the cash
     cycle is shown as a whole if receivable or inventory days exist.
     """
-    company = Window.partitionBy("ticker")
     metrics = list(dict.fromkeys(m for _, m, _ in TREND_FAMILIES))
-    rows = recent_periods(periods).select(
+    rows = recent_periods(periods).selectExpr(
         "ticker", "period_end", *metrics,
-        *[F.count(m).over(company).alias(f"_n_{m}") for m in metrics])
+        *[f"count({m}) OVER (PARTITION BY ticker) AS _n_{m}" for m in metrics])
 
-    def shown(family: str, metric: str) -> Column:
-        if family == "Cash cycle":
-            return (F.col("_n_dso_days") > 0) | (F.col("_n_dio_days") > 0)
-        return F.col(f"_n_{metric}") > 0
+    def shown(family: str, metric: str) -> str:
+        return "_n_dso_days > 0 OR _n_dio_days > 0" if family == "Cash cycle" \
+            else f"_n_{metric} > 0"
 
-    points = [F.when(shown(family, metric), F.struct(
-        F.lit(family).alias("family"), F.lit(metric).alias("metric"),
-        F.expr(sql).alias("value"))) for family, metric, sql in TREND_FAMILIES]
+    points = ", ".join(
+        f"CASE WHEN {shown(family, metric)} THEN named_struct('family', '{family}', "
+        f"'metric', '{metric}', 'value', {sql}) END" for family, metric, sql in TREND_FAMILIES)
     return (rows.select("ticker", "period_end", fiscal_label(F.col("period_end")).alias("fy"),
-                        F.inline(F.array(*points)))
-            .filter(F.col("family").isNotNull()))
+                        F.expr(f"inline(array({points}))"))
+            .filter("family IS NOT NULL"))

@@ -59,21 +59,19 @@ def with_ratios(wide: DataFrame, keys: tuple[str, ...] = ("ticker",),
     growth is null where that row lies further back.  One window over the
     partitioning the pivot already has.
     """
-    prior_row = Window.partitionBy(*keys).orderBy("period_end")
-    lagged = list(dict.fromkeys(AVERAGED + GROWTH))
-    out = wide.select("*", *[F.lag(c).over(prior_row).alias(f"prev_{c}") for c in lagged],
-                      F.lag("gross_profit").over(prior_row).alias("_prev_gp"),
-                      F.lag("period_end").over(prior_row).alias("_prev_end"))
-    out = out.withColumns({f"avg_{c}": F.coalesce((F.col(c) + F.col(f"prev_{c}")) / 2, F.col(c))
-                           for c in AVERAGED})
-    growth = {f"{c}_growth": F.try_divide(F.col(c) - F.col(f"prev_{c}"), F.abs(f"prev_{c}"))
-              for c in GROWTH}
-    if max_gap_days is not None:
-        near = F.datediff("period_end", "_prev_end") <= max_gap_days
-        growth = {name: F.when(near, value) for name, value in growth.items()}
-    out = out.withColumns({name: F.expr(sql) for name, sql in _LEVEL_ONE.items()} | growth)
-    out = out.withColumns({name: F.expr(sql) for name, sql in _LEVEL_TWO.items()})
-    out = out.withColumn("prior_gross_margin", F.try_divide("_prev_gp", "prev_revenue"))
+    over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY period_end)"
+    lagged = dict.fromkeys([*AVERAGED, *GROWTH, "gross_profit", "period_end"])
+    near = "true" if max_gap_days is None else \
+        f"datediff(period_end, prev_period_end) <= {max_gap_days}"
+    out = wide.selectExpr("*", *[f"lag({c}) {over} AS prev_{c}" for c in lagged])
+    out = out.selectExpr("*", *[f"coalesce(({c} + prev_{c}) / 2, {c}) AS avg_{c}"
+                                for c in AVERAGED])
+    out = out.selectExpr(
+        "*", *[f"{sql} AS {name}" for name, sql in _LEVEL_ONE.items()],
+        *[f"CASE WHEN {near} THEN try_divide({c} - prev_{c}, abs(prev_{c})) END AS {c}_growth"
+          for c in GROWTH],
+        "try_divide(prev_gross_profit, prev_revenue) AS prior_gross_margin")
+    out = out.selectExpr("*", *[f"{sql} AS {name}" for name, sql in _LEVEL_TWO.items()])
     return out.select(*wide.columns, *RATIO_COLUMNS, "prior_gross_margin")
 
 

@@ -84,14 +84,15 @@ def to_wide(statements: DataFrame, keys: tuple[str, ...] = ("ticker", "period_en
     of the matching value is that value and the pivot is one hash aggregation.
     Periods whose values are all missing do not appear.
     """
-    cells = [F.max(F.when(F.col("line_item") == item, F.col("value"))).alias(item)
+    # Expression text keeps the plan cheap to build for this many columns.
+    cells = [F.expr(f"max(CASE WHEN line_item = '{item}' THEN value END)").alias(item)
              for item in LINE_ITEMS]
     wide = statements.filter(F.col("value").isNotNull()).groupBy(*keys).agg(*cells)
     filled = {
-        "gross_profit": F.coalesce("gross_profit", F.col("revenue") - F.col("cost_of_revenue")),
-        "total_liabilities": F.coalesce("total_liabilities",
-                                        F.col("total_assets") - F.col("stockholders_equity")),
+        "gross_profit": "coalesce(gross_profit, revenue - cost_of_revenue) AS gross_profit",
+        "total_liabilities": "coalesce(total_liabilities, total_assets - stockholders_equity) "
+                             "AS total_liabilities",
     }
-    return wide.select(*keys, *[filled.get(i, F.col(i)).alias(i) for i in LINE_ITEMS],
-                       sum_min_one(F.col("short_term_debt"), F.col("long_term_debt"))
-                       .alias("total_debt"))
+    debt = sum_min_one("short_term_debt", "long_term_debt")
+    return wide.selectExpr(*keys, *[filled.get(i, i) for i in LINE_ITEMS],
+                           f"{debt} AS total_debt")

@@ -48,7 +48,9 @@ def content_text(content: Column) -> Column:
     parts = F.transform(F.variant_get(parsed, "$", "array<variant>"), lambda p: F.when(
         F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")).when(
         F.coalesce(F.try_variant_get(p, "$.type", "string"), F.lit("text"))
-        .isin("text", "output_text"), F.try_variant_get(p, "$.text", "string")))
+        .isin("text", "output_text")
+        & (F.schema_of_variant(F.try_variant_get(p, "$.text", "variant")) == "STRING"),
+        F.try_variant_get(p, "$.text", "string")))
     joined = F.trim(F.array_join(F.filter(parts, lambda t: t.isNotNull() & (t != "")), "\n"))
     return (F.when(content.isNull(), "")
             .when(kind.startswith("ARRAY"), joined)

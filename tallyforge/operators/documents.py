@@ -84,7 +84,7 @@ def chunk_table(mdna: DataFrame, target: int = CHUNK_TARGET, separator: str = "\
 
 
 def _request_batches(requests: DataFrame, batch: int) -> DataFrame:
-    """Requests in batches of about ``batch`` per ticker: (ticker, vocabulary, requests).
+    """Requests in batches of about ``batch`` per ticker: (ticker, batch).
 
     The batch number comes from a hash over as many buckets as the ticker's
     request count needs, so one popular ticker becomes many rows, not one.  A
@@ -97,19 +97,20 @@ def _request_batches(requests: DataFrame, batch: int) -> DataFrame:
                .withColumn("_batch", F.pmod(F.xxhash64("request_id"), F.col("_n")))
                .groupBy("ticker", "_batch")
                .agg(F.collect_list(F.struct("request_id", "words")).alias("_asked")))
-    vocabulary = F.array_distinct(F.flatten(F.col("_asked.words")))
-    return (batches.withColumn("vocabulary", vocabulary)
-            .select("ticker", "vocabulary", F.transform("_asked", lambda r: F.struct(
-                r["request_id"].alias("request_id"),
-                F.transform(r["words"], lambda w: F.array_position("vocabulary", w).cast("int"))
-                .alias("at"))).alias("requests")))
+    # The vocabulary is bound once; as a column it would be rebuilt for every word.
+    packed = let(F.array_distinct(F.flatten(F.col("_asked.words"))), lambda v: F.struct(
+        v.alias("vocabulary"), F.transform("_asked", lambda r: F.struct(
+            r["request_id"].alias("request_id"),
+            F.transform(r["words"], lambda w: F.array_position(v, w).cast("int")).alias("at")))
+        .alias("requests")))
+    return batches.select("ticker", packed.alias("batch"))
 
 
 def _scores(text_lower: Column) -> Column:
     """Scores above zero of a batch's requests: every vocabulary word is looked up once."""
-    found = F.transform("vocabulary", lambda w: F.contains(text_lower, w))
+    found = F.transform("batch.vocabulary", lambda w: F.contains(text_lower, w))
     return let(found, lambda hit: F.filter(
-        F.transform("requests", lambda r: F.struct(
+        F.transform("batch.requests", lambda r: F.struct(
             r["request_id"].alias("request_id"),
             F.size(F.filter(r["at"], lambda i: F.element_at(hit, i))).alias("score"))),
         lambda x: x["score"] > 0))

@@ -293,3 +293,11 @@ def test_common_size_needs_five_quarters_for_yoy(spark):
     assert annual["2024-12-31"].qoq == pytest.approx(1 / 13) and annual["2023-12-31"].qoq is None
     choice = periods.period_choice(wide).first()
     assert choice.quarter_offered
+
+
+def test_metrics_from_stored_tables_equal_those_from_periods(spark):
+    from tallyforge.operators import peers
+    rows = all_periods(spark, planted_facts())
+    wide = rows.select("ticker", "period_end", *LINE_ITEMS, "total_debt")
+    stored = peers.latest_metrics_of_tables(wide, ratios.compute_ratios(wide)).collect()
+    assert stored == peers.latest_metrics(rows).collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driver import fixtures as fx
@@ -9,6 +11,7 @@ from driver.registry import checked, iso
 from tallyforge.functions.text import with_text
 from tallyforge.operators import conversations as conv
 from tallyforge.operators import documents, segments
+from tallyforge.sources import tables
 
 # White space as in strip(), for the other engine's regular expressions.
 _WS = (r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
@@ -138,9 +141,11 @@ from sections where form = '10-K'
 qualify row_number() over (partition by source order by filing_date desc, accession_number desc) <= 2""")
 def filing_sections(spark, sf_dir):
     """Document pipeline: the two newest annual filings of each company."""
-    docs = _filing_markup(spark, sf_dir).select("accession_number", "html")
-    newest = documents.filing_documents(_document_filings(spark, sf_dir).drop("text"), docs)
-    return iso(documents.mdna_table(newest).select(
+    markup = _filing_markup(spark, sf_dir).select("accession_number", "html")
+    newest = tables.staged(documents.recent_filings(_document_filings(spark, sf_dir).drop("text")),
+                           f"filings-{uuid.uuid4().hex}")
+    results = documents.document_results(documents.filing_documents(newest, markup))
+    return iso(documents.mdna_of(results, newest).select(
         "ticker", "accession_number", "filing_date", "char_count", "extraction_ok"))
 
 

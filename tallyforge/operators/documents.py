@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.text import (CHUNK_TARGET, chunk_text, extract_section, let,
                                        query_words, with_text)
-from tallyforge.operators.segments import segment_array, segment_revenue, unpack_segments
+from tallyforge.operators.segments import segment_array, unpack_segments
 
 TOP_PASSAGES = 6
 EXCERPT_CHARS = 1200
@@ -24,13 +24,14 @@ def recent_filings(filings: DataFrame, n: int = 2, form: str = "10-K",
             .filter(F.col("filing_rank") <= n))
 
 
-def filing_documents(filings: DataFrame, documents: DataFrame, n: int = 2) -> DataFrame:
-    """Newest filings with their landed markup; null where none landed.
+def filing_documents(newest: DataFrame, documents: DataFrame) -> DataFrame:
+    """Landed markup of the chosen filings.
 
-    The filing index is narrow and the documents are wide.  The index side is
-    small after ``recent_filings``; Spark measures it and broadcasts it or not.
+    An inner join, so that the narrow filing side can be the broadcast side and
+    the markup is not shuffled.  Spark decides by size: pass ``newest`` as a
+    written table, whose size is known before the plan is made.
     """
-    return recent_filings(filings, n).join(documents, "accession_number", "left")
+    return documents.join(newest, "accession_number")
 
 
 _MDNA_KEYS = ["ticker", "cik", "form", "accession_number", "filing_date"]
@@ -59,20 +60,17 @@ def document_results(filing_docs: DataFrame) -> DataFrame:
         *_MDNA_KEYS, section.alias("mdna_text"), segments.alias("segments"))
 
 
-def mdna_of(results: DataFrame) -> DataFrame:
-    return _with_status(results.drop("segments"))
+def mdna_of(results: DataFrame, newest: DataFrame) -> DataFrame:
+    """Section rows of the chosen filings; without a landed document the text is null."""
+    absent = newest.join(results.select("accession_number"), "accession_number", "left_anti")
+    no_text = absent.select(*_MDNA_KEYS, F.lit(None).cast("string").alias("mdna_text"))
+    return _with_status(results.drop("segments").unionByName(no_text))
 
 
 def segments_of(results: DataFrame) -> DataFrame:
     return unpack_segments(results, F.col("segments"), ("ticker", "accession_number"))
 
 
-def segment_table(filing_docs: DataFrame) -> DataFrame:
-    """Segment revenue of the newest filing of each company."""
-    newest = filing_docs.filter(F.col("filing_rank") == 1)
-    return segment_revenue(newest, "html", ("ticker", "accession_number"))
-
-
 def chunk_table(mdna: DataFrame, target: int = CHUNK_TARGET, separator: str = "\n\n") -> DataFrame:
     """Chunks of the successful sections, numbered from 0 inside a filing."""
     # A condition on the text, not a filter: a filter would be pushed below the

@@ -14,8 +14,14 @@ from tallyforge.operators.facts import ANNUAL, QUARTERLY, FormSpec
 from tallyforge.operators.flags import red_flags
 from tallyforge.operators.ratios import compute_ratios, dupont_audit, with_prior_margin
 from tallyforge.operators.statements import build_statements, to_wide
+from tallyforge.session import checkpoint_root
 from tallyforge.sources import landing
-from tallyforge.sources.tables import read_table, replace_by_key, staged, write_table
+from tallyforge.sources.tables import drop_path, read_table, replace_by_key, staged, write_table
+
+
+BRONZE = {"xbrl_facts": schemas.FACTS, "companies": schemas.COMPANIES,
+          "company_profile": schemas.PROFILE, "filings": schemas.FILINGS,
+          "mdna": schemas.MDNA, "segment_revenue": schemas.SEGMENTS}
 
 
 @dataclass(frozen=True)
@@ -40,7 +46,8 @@ def ingest(spark: SparkSession, store: Store, landed: str, run_time: str,
     run = uuid.uuid4().hex
 
     def replace(rows: DataFrame, table: str) -> None:
-        replace_by_key(rows, tickers, store.path("bronze", table), buckets=buckets)
+        replace_by_key(rows, tickers, store.path("bronze", table), buckets=buckets,
+                       ddl=BRONZE[table])
 
     entries = landing.registry(landing.read_documents(spark, f"{landed}/registry"))
     docs = landing.read_company_documents(spark, f"{landed}/facts")
@@ -50,8 +57,9 @@ def ingest(spark: SparkSession, store: Store, landed: str, run_time: str,
     facts = read_table(spark, store.path("bronze", "xbrl_facts"), schemas.FACTS) \
         .join(tickers, "ticker", "left_semi")
     stamped = tickers.withColumn("fetched_at", F.lit(run_time).cast("timestamp"))
-    companies = landing.company_dimension(stamped, entries, facts)
-    replace(companies, "companies")
+    replace(landing.company_dimension(stamped, entries, facts), "companies")
+    companies = read_table(spark, store.path("bronze", "companies"), schemas.COMPANIES) \
+        .join(tickers, "ticker", "left_semi")
     subs = landing.parse_submissions(
         landing.read_company_documents(spark, f"{landed}/submissions")).drop("value")
     named = subs.join(companies.select("ticker", "cik", "entity_name"), "ticker")
@@ -59,13 +67,15 @@ def ingest(spark: SparkSession, store: Store, landed: str, run_time: str,
     replace(landing.filing_index(named), "filings")
     filings = read_table(spark, store.path("bronze", "filings"), schemas.FILINGS) \
         .join(tickers, "ticker", "left_semi")
-    filing_docs = docs_ops.filing_documents(
-        filings, landing.read_filing_documents(spark, f"{landed}/documents/*/*"), mdna_filings)
-    results = staged(docs_ops.document_results(filing_docs), f"{run}-documents")
-    replace(docs_ops.mdna_of(results), "mdna")
+    newest = staged(docs_ops.recent_filings(filings, mdna_filings), f"{run}-filings")
+    markup = landing.read_filing_documents(spark, f"{landed}/documents/*/*")
+    results = staged(docs_ops.document_results(docs_ops.filing_documents(newest, markup)),
+                     f"{run}-documents")
+    replace(docs_ops.mdna_of(results, newest), "mdna")
     replace(docs_ops.segments_of(results), "segment_revenue")
-    return read_table(spark, store.path("bronze", "companies"), schemas.COMPANIES) \
-        .join(tickers, "ticker", "left_semi").select("ticker")
+    for name in ("filings", "documents"):
+        drop_path(spark, f"{checkpoint_root(spark)}/staged/{run}-{name}")
+    return companies.select("ticker")
 
 
 def build_silver(spark: SparkSession, store: Store, annual: FormSpec = ANNUAL,

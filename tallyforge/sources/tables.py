@@ -29,17 +29,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _stored(spark: SparkSession, path: str, ddl: str | None = None) -> DataFrame | None:
+    """The table at a path; None if it is absent or has never had a row.
+
+    With a schema no file footer is read for planning; without one the schemas
+    of all files are merged.
+    """
+    reader = spark.read.schema(ddl) if ddl else spark.read.option("mergeSchema", True)
+    try:
+        return reader.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def read_table(spark: SparkSession, path: str, ddl: str | None = None,
                order_by: list[str] | None = None) -> DataFrame:
     """A stored table; if it is absent, an empty one with the given schema."""
-    try:
-        df = spark.read.parquet(path)
-        if "bucket" in df.columns:
-            df = df.drop("bucket")
-    except AnalysisException as exc:
-        if ddl is None or exc.getCondition() != "PATH_NOT_FOUND":
-            raise
+    df = _stored(spark, path, ddl)
+    if df is None:
+        if ddl is None:
+            raise FileNotFoundError(f"No table at {path}")
         df = empty(spark, ddl)
+    df = df.drop("bucket")
     return df.orderBy(*order_by) if order_by else df
 
 
@@ -122,14 +135,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def replace_by_key(rows: DataFrame, keys: DataFrame, path: str, key: str = "ticker",
-                   buckets: int = BUCKETS, run_id: str | None = None) -> None:
+                   buckets: int = BUCKETS, run_id: str | None = None,
+                   ddl: str | None = None) -> None:
     """Replace all rows of ``keys`` by ``rows``; rows of other keys stay.
 
     Rows of keys not listed are left out.  Only the buckets of the keys are read
     and written.  The merged buckets are first written to a staging table in the
     shared checkpoint folder and then published by dynamic partition overwrite:
     if publishing is interrupted, a run with the same ``run_id`` publishes the
-    staged buckets again.  An empty key list changes nothing.
+    staged buckets again.  An empty key list changes nothing.  Give the schema of
+    a large table as ``ddl``; without it new columns of ``rows`` are added.
     """
     spark = rows.sparkSession
     name = run_id or uuid.uuid4().hex
@@ -141,15 +156,14 @@ def replace_by_key(rows: DataFrame, keys: DataFrame, path: str, key: str = "tick
     if touched:
         added = rows.join(keys, key, "left_semi") \
             .withColumn("bucket", bucket_of(F.col(key), buckets))
+        current, merged = _stored(spark, path, ddl), added
+        if current is not None and "bucket" in current.columns:
+            kept = current.filter(F.col("bucket").isin(touched)).join(keys, key, "left_anti")
+            merged = kept.unionByName(added, allowMissingColumns=True)
         if not exists(spark, f"{stage}/_SUCCESS"):
-            merged = added
-            if exists(spark, path):
-                current = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-                kept = current.join(keys, key, "left_anti")
-                merged = kept.unionByName(added, allowMissingColumns=True)
             (merged.hint("rebalance", "bucket").write.mode("overwrite")
              .option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(stage))
-        _publish(spark, stage, path, touched, added.schema)
+        _publish(spark, stage, path, touched, merged.schema)
     drop_path(spark, stage)
     drop_path(spark, f"{stage}-keys")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyforge.functions.scalar import normal_ticker
+from tallyforge.schemas import FACTS
 from tallyforge.sources.landing import file_stem, flatten_facts, parse_facts
 from tallyforge.sources.tables import BUCKETS, replace_by_key
 
@@ -31,7 +32,8 @@ def apply_batch(docs: DataFrame, table: str, buckets: int = BUCKETS,
     """Parse the batch and replace exactly the tickers whose document was readable."""
     newest = newest_per_ticker(docs)
     readable = parse_facts(newest).filter(F.col("facts").isNotNull()).select("ticker")
-    replace_by_key(flatten_facts(newest), readable, table, buckets=buckets, run_id=run_id)
+    replace_by_key(flatten_facts(newest), readable, table, buckets=buckets, run_id=run_id,
+                   ddl=FACTS)
 
 
 def landed_files(spark: SparkSession, landing: str) -> DataFrame:

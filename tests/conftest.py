@@ -14,6 +14,7 @@ def spark():
     return local_session(cores=4, shuffle_partitions=4, memory="6g")
 
 
+# The planted company, in millions.
 MILLION = 1_000_000.0
 FIELDS = ("revenue", "cost", "operating", "net", "assets", "current_assets",
           "current_liabilities", "equity", "receivables", "inventory", "ocf", "cash")

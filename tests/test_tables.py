@@ -38,6 +38,30 @@ def test_replace_by_key(spark, tmp_path):
     assert content(spark, path) == [("C", 3)]
 
 
+def test_first_run_without_rows_and_new_columns(spark, tmp_path):
+    path = str(tmp_path / "t")
+    put(spark, path, [], "A")
+    assert tables.read_table(spark, path, ROWS).count() == 0
+    put(spark, path, [("A", 1), ("B", 1)], "AB")
+    wider = spark.createDataFrame([("B", 2, "x")], ROWS + ", note string")
+    tables.replace_by_key(wider, wider.select("ticker"), path, buckets=4)
+    got = {(r.ticker, r.v, r.note) for r in tables.read_table(spark, path).collect()}
+    assert got == {("A", 1, None), ("B", 2, "x")}
+    put(spark, path, [("A", 3)], "A")  # old columns stay
+    assert "note" in tables.read_table(spark, path).columns
+
+
+def test_filing_without_landed_document(spark):
+    newest = spark.createDataFrame([("T", 1, "10-K", "a", "2025-01-01", 1), ("T", 1, "10-K", "b", "2024-01-01", 2)],
+                                   "ticker string, cik int, form string, accession_number string, "
+                                   "filing_date string, filing_rank int")
+    docs = spark.createDataFrame([("b", "<p>none</p>"), ("c", "other")], "accession_number string, html string")
+    results = documents.document_results(documents.filing_documents(newest, docs))
+    rows = {r.accession_number: r for r in documents.mdna_of(results, newest).collect()}
+    assert set(rows) == {"a", "b"} and not rows["a"].extraction_ok and rows["a"].char_count == 0
+    assert documents.segments_of(results).count() == 0
+
+
 def test_interrupted_publish_is_repeated(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
     put(spark, path, [("A", 1), ("B", 1)], "AB")

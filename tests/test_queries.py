@@ -5,7 +5,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__  # noqa: F401  registers the queries
+from driver.registry import ORACLE, QUERIES
 from tools.check_oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -19,21 +20,21 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 # A tiny company set may leave these two without rows.
 MAY_BE_EMPTY = {"income_segment_edges", "income_flow_edges"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     problem = compare(spark, con, name, SF)
     assert problem == "" or (name in MAY_BE_EMPTY and problem == "no rows")
 
 
 def plan(spark, name):
-    return entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("name", ["statements_annual", "statements_wide", "red_flags", "flag_heatmap",
@@ -47,7 +48,7 @@ def test_statement_plans(spark, name):
     assert re.search(r"Exchange hashpartitioning\(ticker.*\n.*WindowGroupLimit", text)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - WRITERS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITERS))
 def test_no_cross_products(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import mixing
+from tallyforge.llm import mixing, packing
 
 QUERIES = {
     "op4_mix": mixing.op4_mix,
+    "op9_pack": packing.op9_pack,
 }
 
 ORACLE = {

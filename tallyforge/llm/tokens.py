@@ -66,9 +66,15 @@ class UnitEncoder:
                  "word": parts[0].get("pattern", {}).get("Regex") == WORD_IN_FILE}
         #: Other files are encoded whole, unit by unit, by the library alone.
         self.pattern = regex.compile(BYTE_PATTERN if known["byte"] else WORD_PATTERN) if any(known.values()) else None
-        self.letters = _byte_letters() | {0: " "}
+        self.letters = _byte_letters()
+        #: Between parts stands byte 0, which no part holds: its token marks the gaps.
+        self.letters[0] = f" {self.letters[0]} "
         self.model_only = Tokenizer(self.tokenizer.model)
         self.model_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        gap = self.model_only.encode(self.letters[0], add_special_tokens=False).ids
+        self.gap_id = gap[0]
+        if len(gap) != 1:
+            self.pattern = None
         self.reset()
 
     def reset(self) -> None:
@@ -100,14 +106,15 @@ class UnitEncoder:
         place = np.fromiter((index.setdefault(p, len(index) - 1) for p in parts), np.int64, len(parts))
         distinct = list(index)[1:]
         count = np.zeros(len(distinct), np.int64)
-        ids: list[int] = []
+        ids: list[np.ndarray] = []
         for low in range(0, len(distinct), PARTS_AT_ONCE):
             text = "\0".join(distinct[low:low + PARTS_AT_ONCE]).encode().decode("latin-1").translate(self.letters)
-            coded = self.model_only.encode(text, add_special_tokens=False)
-            ids += coded.ids
-            count[low:low + PARTS_AT_ONCE] = np.bincount(np.array(coded.word_ids, dtype=np.int64),
-                                                         minlength=min(PARTS_AT_ONCE, len(distinct) - low))
-        flat = np.array(ids, dtype=np.uint32)
+            coded = np.array(self.model_only.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            between = np.flatnonzero(coded == self.gap_id)
+            some = np.diff(np.concatenate(([-1], between, [len(coded)]))) - 1
+            count[low:low + len(some)] = some
+            ids.append(np.delete(coded, between))
+        flat = np.concatenate(ids)
         gaps = place < 0
         unit = np.cumsum(gaps)[~gaps]
         place = place[~gaps]

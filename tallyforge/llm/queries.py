@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import mixing, packing
+from tallyforge.llm import mixing, packing, substrings, toxicity
 
 QUERIES = {
+    "op1_substrings": substrings.op1_substrings,
     "op4_mix": mixing.op4_mix,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op9_pack": packing.op9_pack,
 }
 

@@ -34,7 +34,7 @@ END_ID = 0
 #: A length is large above the capacity divided by this; the best of the resulting plans is taken.
 LARGE_PARTS = (2, 3, 4, 8)
 GROUPS = 64
-PIECES_PER_BUCKET = 65_536
+PIECES_PER_BUCKET = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

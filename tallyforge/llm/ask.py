@@ -37,6 +37,10 @@ def chunked(docs: DataFrame, chunks: int, *columns: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), *columns, F.pmod(key, F.lit(chunks)).cast("int").alias("chunk"))
 
 
+#: A kind whose ``ids`` are counts; the answer is the level of the sum, one byte per key.
+COUNTED = 9
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket by the leading 32 bits, so sorted keys lie in bucket order."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -81,7 +85,10 @@ def as_table(rows: list[tuple], schema: str) -> pa.Table:
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Bits of one bucket.  Kind with ids: a smaller id was sent.  Else: another chunk sent it too."""
+    """Bits of one bucket.  Kind with ids: a smaller id was sent.  Else: another chunk sent it too.
+
+    ``COUNTED`` keys get the level of their summed counts instead.
+    """
     out = []
     for kind in sorted(set(table.column("kind").to_pylist())):
         rows = table.filter(pc.equal(table.column("kind"), kind)).to_pylist()
@@ -95,6 +102,18 @@ def _answer(table: pa.Table) -> pa.Table:
             new = np.append(True, key[order][1:] != key[order][:-1])
         group = np.cumsum(new) - 1
         first = np.flatnonzero(new)
+        if kind == COUNTED:
+            counts = np.concatenate([_from_planes(r["ids"]) for r in rows]).astype(np.int64)[order]
+            total = np.add.reduceat(counts, first)
+            level = np.where(total > 1, np.minimum(255, 8 * np.log2(total) - 6).astype(np.int64), 0)[group]
+            back = np.empty(len(key), np.uint8)
+            back[order] = level
+            at = 0
+            for r in rows:
+                n = len(r["keys"]) // 8
+                out.append((r["chunk"], kind, r["bucket"], back[at:at + n].tobytes()))
+                at += n
+            continue
         if rows[0]["ids"] is not None:
             ids = np.concatenate([_from_planes(r["ids"]) for r in rows]).astype(np.int64)[order]
             bit = ids > np.minimum.reduceat(ids, first)[group]
@@ -126,6 +145,15 @@ def bits_for(replies: pa.Table, kind: int, keys: np.ndarray, buckets: int) -> np
     return out
 
 
+def levels_for(replies: pa.Table, kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """How common a chunk's sorted distinct keys are: 0 for one holder, more in eighths of powers of two."""
+    out = np.zeros(len(keys), np.uint8)
+    own = {r["bucket"]: r["bits"] for r in replies.to_pylist() if r["kind"] == kind}
+    for b, low, high in spans(keys, buckets):
+        out[low:high] = np.frombuffer(own[b], np.uint8)
+    return out
+
+
 def ask(chunks: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str = QUESTION) -> DataFrame:
     """``fn`` on every chunk."""
     return chunks.groupBy("chunk").applyInArrow(fn, schema)

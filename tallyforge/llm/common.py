@@ -11,17 +11,24 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder; what follows starts from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``.  Where it is unset, a local session
-    gets a folder of its own; a cluster must name one that executors share.
+    Where it is unset, a local session gets a folder of its own; a cluster must
+    name one that all executors share.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local["):
+        if not configured and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpus-checkpoint-"))
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="corpus-checkpoint-"))
+    return configured or context.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder; what follows starts from the files."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import jaccard, mixing, packing, substrings, token_files, toxicity
+from tallyforge.llm import html_text, jaccard, mixing, packing, substrings, token_files, toxicity
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
     "op2_jaccard": jaccard.op2_jaccard,
     "op4_mix": mixing.op4_mix,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op7_html_text": html_text.op7_html_text,
     "op9_pack": packing.op9_pack,
     "op10_token_files": token_files.op10_token_files,
 }

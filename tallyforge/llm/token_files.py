@@ -172,7 +172,7 @@ def read_token_files(spark: SparkSession, folder: str, doc_ids: list[int] | None
     wanted = None
     if doc_ids is not None:
         wanted = np.unique(np.array(doc_ids, np.int64))
-        rows = rows.filter(F.col("first_doc_id") <= int(wanted.max())) if len(wanted) else rows.limit(0)
+        rows = rows.filter(F.expr("first_doc_id IS NULL") | (F.col("first_doc_id") <= int(wanted.max()))) if len(wanted) else rows.limit(0)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = zstandard.ZstdDecompressor(dict_data=_codec(dictionary))

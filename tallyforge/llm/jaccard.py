@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import ask, signature_tree, words
@@ -35,6 +35,8 @@ PERCENT = 75
 #: Share of the hash space that the first question covers; above the quarter that may be unshared.
 SENT = 0.375
 NODE_SETS = 256
+#: Orders of the smallest hash by which sets meet in nodes.
+ORDERS = 3
 #: Rows without an id of their own (null, or an id that came before) get numbers from here on.
 OWN_IDS = 1 << 62
 TOKENS, SETS = 0, 1
@@ -156,7 +158,7 @@ def _join_keys(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def prefixes(sets: DataFrame, percent: int, docs_per_chunk: int) -> DataFrame:
-    """(row_id, prefix) of the sets that can still have a partner; ``prefix`` holds shingle hashes."""
+    """Sets that can still have a partner: row_id, size n, prefix (shingle hashes), smallest hashes."""
     chunks, buckets = ask.sizes(sets, docs_per_chunk)
     dealt = sets.select("row_id", "keys", F.pmod(F.xxhash64("row_id"), F.lit(chunks)).cast("int").alias("chunk"))
 
@@ -176,16 +178,20 @@ def prefixes(sets: DataFrame, percent: int, docs_per_chunk: int) -> DataFrame:
         order = np.lexsort((flat, rarity, owner))
         nth = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         use = (nth < length[owner]) & (rarity[order] > 0)
+        least = [np.minimum.reduceat(words.mix(flat ^ np.uint64(k << 40)), np.cumsum(size) - size).view(np.int64)
+                 for k in range(ORDERS)]
         ids, out = rows.column("row_id").to_pylist(), []
         held = flat[order][use].view(np.int64)
         cuts = np.cumsum(np.bincount(owner[use], minlength=len(keys)))
         for i, part in enumerate(np.split(held, cuts[:-1])):
             if len(part):
-                out.append((ids[i], part.tolist()))
-        return pa.table([pa.array([r for r, _ in out], pa.int64()), pa.array([p for _, p in out], pa.list_(pa.int64()))],
-                        names=["row_id", "prefix"])
+                out.append((ids[i], int(size[i]), part.tolist(), [int(x[i]) for x in least]))
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 4, kinds)],
+                        names=["row_id", "n", "prefix", "least"])
 
-    return ask.tell(dealt, ask.answers(ask.ask(dealt, question)), finish, "row_id long, prefix array<long>")
+    return ask.tell(dealt, ask.answers(ask.ask(dealt, question)), finish,
+                    "row_id long, n long, prefix array<long>, least array<long>")
 
 
 def _tree_links(percent: int):
@@ -205,47 +211,63 @@ def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
     return sets.join(label, "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
 
 
-def _node(keys: Column, nodes: int) -> Column:
-    """Node of a set by its smallest hash: similar sets mostly share it."""
-    return F.pmod(F.xxhash64(F.substring(keys, 1, 8)), F.lit(nodes)).cast("long")
+def _nodes(sets: DataFrame, order: int, nodes: int, node_sets: int) -> DataFrame:
+    """Add ``node`` and ``parts``: sets that share their smallest hash in one order meet in a node.
 
+    A node with too many sets is split by document, so no task gets an
+    unbounded group.
+    """
+    placed = sets.withColumn("first", F.pmod(F.xxhash64(F.element_at("least", order)), F.lit(nodes)))
+    load = placed.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / F.lit(2.0 * node_sets)).alias("parts"))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("row_id"), F.col("parts"))).otherwise(0)
+    return placed.join(load, "first").withColumn("node", F.struct("first", part.alias("part"))).drop("first")
 
-def connecting_links(sets: DataFrame, prefix: DataFrame, percent: int, node_sets: int = NODE_SETS) -> DataFrame:
-    """Links (u, v) that connect all sets which links connect; ``sets`` has row_id and keys."""
-    kept = stage(sets.join(prefix, "row_id").select("row_id", "keys", "prefix"))
-    nodes = max(1, kept.count() // node_sets)
-    placed = kept.withColumn("first_node", _node(F.col("keys"), nodes))
-    # A node with too many sets is split by document, so no task gets an unbounded group.
-    load = placed.groupBy("first_node").agg(F.count(F.lit(1)).alias("load"))
-    load = load.withColumn("parts", F.ceil(F.col("load") / F.lit(2 * node_sets)))
-    placed = stage(placed.join(load, "first_node").withColumn(
-        "part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("row_id"), F.col("parts"))).otherwise(0))
-        .select("row_id", "keys", "prefix", F.struct("first_node", "part").alias("node"), "parts"))
-    tree = _tree_links(percent)
-    # Part p also meets part p + 1, which ties the parts of a large group together.
+
+def _links_in_nodes(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within the nodes that hold more than one component; ``placed`` has no keys.
+
+    Part p of a split node also meets part p + 1, which ties a large group together.
+    """
     meeting = F.when(F.col("parts") > 1, F.array(F.col("node.part"), F.pmod(F.col("node.part") + 1, F.col("parts")))
                      ).otherwise(F.array(F.col("node.part")))
-    inside = (placed.select("row_id", "keys", F.col("node.first_node").alias("a"), F.explode(meeting).alias("b"))
-              .withColumn("component", F.col("row_id")).withColumn("side", F.lit(-1))
-              .groupBy("a", "b").applyInArrow(tree, "u long, v long"))
-    links = stage(inside)
-    known = stage(_labelled(placed.select("row_id", "node", "prefix"), links))
-    tokens = known.select("row_id", "node", "component", F.explode("prefix").alias("token"))
+    dealt = placed.select("row_id", "component", F.col("node.first").alias("a"), F.explode(meeting).alias("b"))
+    open_ = (dealt.groupBy("a", "b").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+             .filter("low < high").select("a", "b"))
+    return (dealt.join(open_, ["a", "b"]).join(sets, "row_id").withColumn("side", F.lit(-1))
+            .groupBy("a", "b").applyInArrow(_tree_links(percent), "u long, v long"))
+
+
+def _links_across(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes: prefix shingles of more than one component name the pairs of nodes."""
+    tokens = known.select("row_id", "node", "component", "n", F.explode("prefix").alias("token"))
     open_ = (tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .filter("low < high").select("token"))
-    held = stage(tokens.join(open_, "token").select("token", "row_id", "node", "component"))
-    ends = held.select("token", "node", "component").distinct()
-    other = ends.select("token", F.col("node").alias("node_2"), F.col("component").alias("component_2"))
-    cells = stage(ends.join(other, "token").filter("component < component_2 AND node <> node_2")
-                  .select(F.least("node", "node_2").alias("node"), F.greatest("node", "node_2").alias("node_2"))
-                  .distinct())
-    members = held.select("node", "row_id", "component").distinct()
-    sided = (cells.join(members, "node").select("node", "node_2", "row_id", "component", F.lit(0).alias("side"))
-             .unionByName(cells.join(members.withColumnRenamed("node", "node_2"), "node_2")
-                          .select("node", "node_2", "row_id", "component", F.lit(1).alias("side"))))
-    across = (sided.join(placed.select("row_id", "keys"), "row_id")
-              .groupBy("node", "node_2").applyInArrow(tree, "u long, v long"))
-    return links.unionByName(across)
+    held = stage(tokens.join(open_, "token").select("token", "row_id", "node", "component", "n"))
+    ends = held.groupBy("token", "node", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    other = ends.toDF("token", "node_2", "component_2", "low_2", "high_2")
+    fits = F.least("high", "high_2") * 100 >= F.greatest("low", "low_2") * percent
+    cells = stage(ends.join(other, "token").filter("component < component_2 AND node <> node_2").filter(fits)
+                  .select("token", F.least("node", "node_2").alias("node"),
+                          F.greatest("node", "node_2").alias("node_2")).distinct())
+    sided = (cells.join(held, ["token", "node"])
+             .select("node", "node_2", "row_id", "component", F.lit(0).alias("side"))
+             .unionByName(cells.join(held.withColumnRenamed("node", "node_2"), ["token", "node_2"])
+                          .select("node", "node_2", "row_id", "component", F.lit(1).alias("side")))).distinct()
+    return (sided.join(sets, "row_id").groupBy("node", "node_2")
+            .applyInArrow(_tree_links(percent), "u long, v long"))
+
+
+def connecting_links(sets: DataFrame, prefix: DataFrame, percent: int, node_sets: int = NODE_SETS) -> DataFrame:
+    """Links (u, v) that connect all sets which links connect; ``sets`` has row_id and keys."""
+    prefix = stage(prefix)
+    nodes = max(1, prefix.count() // node_sets)
+    placed = stage(_nodes(prefix, 1, nodes, node_sets))
+    links = stage(_links_in_nodes(placed.withColumn("component", F.col("row_id")), sets, percent))
+    for order in range(2, ORDERS + 1):
+        known = _labelled(_nodes(prefix, order, nodes, node_sets), links)
+        links = stage(links.unionByName(_links_in_nodes(known, sets, percent)))
+    known = stage(_labelled(placed.select("row_id", "node", "n", "prefix"), links))
+    return links.unionByName(_links_across(known, sets, percent))
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import html_text, jaccard, mixing, packing, substrings, token_files, toxicity
+from tallyforge.llm import html_text, jaccard, mixing, mtree, packing, substrings, token_files, toxicity
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
     "op2_jaccard": jaccard.op2_jaccard,
+    "op3_mtree": mtree.op3_mtree,
     "op4_mix": mixing.op4_mix,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_html_text": html_text.op7_html_text,

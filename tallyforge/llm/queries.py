@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import html_text, jaccard, mixing, mtree, packing, substrings, token_files, toxicity
+from tallyforge.llm import (html_text, jaccard, masked_lm, mixing, mtree, neighbour_graph, packing, substrings,
+                            token_files, toxicity)
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -10,7 +11,9 @@ QUERIES = {
     "op3_mtree": mtree.op3_mtree,
     "op4_mix": mixing.op4_mix,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_neighbour_graph": neighbour_graph.op6_neighbour_graph,
     "op7_html_text": html_text.op7_html_text,
+    "op8_masked_lm": masked_lm.op8_masked_lm,
     "op9_pack": packing.op9_pack,
     "op10_token_files": token_files.op10_token_files,
 }

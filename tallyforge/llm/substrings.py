@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyforge.llm import ask, words
 from tallyforge.llm.common import table
@@ -33,6 +34,7 @@ class Chunk:
     """Documents of one chunk in a fixed order, with word hashes and windows."""
 
     def __init__(self, rows: pa.Table) -> None:
+        rows = rows.append_column("known", rows.column("text").is_valid())
         rows = rows.set_column(rows.column_names.index("text"), "text", pc.fill_null(rows.column("text"), ""))
         rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
         self.rows = rows
@@ -84,17 +86,18 @@ def _distinct(key: np.ndarray, more: np.ndarray, ids: np.ndarray):
 
 
 def removed_words(docs: DataFrame, docs_per_chunk: int = ask.DOCS_PER_CHUNK, with_text: bool = False) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256; with ``with_text`` also the kept text.
+    """Per document: doc_id, n_words, n_removed, kept_sha256; with ``with_text`` also kept_text and the column rest.
 
     A word is removed if a window of 13 words over it also starts in a document
     with a smaller doc_id.  Windows are judged on the texts as given.  Null and
     empty texts have no words; kept words are joined by one blank.  Rows that
     share a doc_id do not remove each other's words; a null doc_id counts as
     larger than all others.  An empty table gives no rows.  Other columns are
-    not read.
+    not read.  ``kept_text`` is the text itself where nothing is removed.
     """
     chunks, buckets = ask.sizes(docs, docs_per_chunk)
-    texts = ask.chunked(docs, chunks, "text")
+    own_rest = ["rest"] if with_text else []
+    texts = ask.chunked(docs, chunks, "text", *own_rest)
 
     def ask_anchors(rows: pa.Table) -> pa.Table:
         _, key = Chunk(rows).anchors()
@@ -132,17 +135,38 @@ def removed_words(docs: DataFrame, docs_per_chunk: int = ask.DOCS_PER_CHUNK, wit
             kept = b" ".join(parts)
             digest.append(hashlib.sha256(kept).hexdigest())
             if with_text:
-                kept_text.append(kept.decode())
+                kept_text.append(kept.decode() if n_removed[i] else text.as_py())
         columns = [own.rows.column("doc_id"), pa.array(own.count), pa.array(n_removed), pa.array(digest)]
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
         if with_text:
-            columns.append(pa.array(kept_text, pa.string()))
-            names.append("kept_text")
+            present = own.rows.column("known").to_pylist()
+            columns += [pa.array([t if k else None for t, k in zip(kept_text, present)], pa.string()),
+                        own.rows.column("rest")]
+            names += ["kept_text", "rest"]
         return pa.table(columns, names=names)
 
     first = ask.answers(ask.ask(texts, ask_anchors))
     second = ask.answers(ask.tell(texts, first, ask_windows, ask.QUESTION))
-    return ask.tell(texts, first.unionByName(second), finish, RESULT + (", kept_text string" if with_text else ""))
+    more = f", kept_text string, rest {docs.schema['rest'].dataType.simpleString()}" if with_text else ""
+    return ask.tell(texts, first.unionByName(second), finish, RESULT + more)
+
+
+def without_repeats(docs: DataFrame, docs_per_chunk: int = ask.DOCS_PER_CHUNK) -> DataFrame:
+    """The rows of ``docs`` with repeated passages cut out of ``text``.
+
+    Texts without any stay as they are.  A text of which nothing is left is
+    dropped; one that had no words stays.  Other columns are kept; ``n_chars``
+    follows the text where there is one.  The columns travel with the text, so
+    no join brings them back.
+    """
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest"))
+    cleaned = removed_words(packed, docs_per_chunk, with_text=True)
+    out = cleaned.filter("n_removed = 0 OR n_removed < n_words")
+    columns = [F.col("kept_text").alias(c) if c == "text"
+               else F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(
+                   F.col("rest.n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars"
+               else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*columns)
 
 
 def op1_substrings(spark, sf_dir):

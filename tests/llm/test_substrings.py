@@ -60,12 +60,18 @@ def test_empty_table(spark):
     assert run(spark, []) == []
 
 
-def test_kept_text(spark):
+def test_documents_without_repeats(spark):
     passage = " ".join(f"p{i}" for i in range(20))
-    docs = spark.createDataFrame([(1, f"a {passage} b", None, "c", 1, "x"), (2, f"c {passage} d", None, "c", 1, "x")],
-                                 SCHEMA)
-    got = {r.doc_id: r.kept_text for r in substrings.removed_words(docs, with_text=True).collect()}
-    assert got == {1: f"a {passage} b", 2: "c d"}
+    rows = [(1, f"a  {passage} b", None, "c", 1, "x"), (2, f"c {passage}  d", "s", "c", 1, "x"),
+            (3, passage, "s", "c", 1, "x"), (4, None, "s", "c", 1, "x"), (None, " ", "s", None, 1, "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = substrings.without_repeats(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [rows[0], (2, "c d", "s", "c", 1, "x"), rows[3], rows[4]], key=str)
+    counted = docs.withColumn("n_chars", F.length("text").cast("int"))
+    got = {r.doc_id: r.n_chars for r in substrings.without_repeats(counted).collect()}
+    assert got == {1: len(rows[0][1]), 2: 3, 4: None, None: 1}
 
 
 def test_cover_has_an_aligned_anchor_for_any_two_positions():

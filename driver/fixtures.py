@@ -18,8 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows are expensive to process."""
-    return spread(table(spark, sf_dir, name))
+    """A table whose rows are expensive to process, dealt by its key, the first column."""
+    rows = table(spark, sf_dir, name)
+    return spread(rows, rows.columns[0])
 
 
 def ticker_of(key) -> F.Column:

@@ -314,8 +314,8 @@ def conversation_summary(spark, sf_dir):
     return conv.conversation_summary(_turns(spark, sf_dir))
 
 
-@checked(r"""select conv_id, turn, case when turn % 3 = 0 then text
-  when turn % 3 = 1 then regexp_replace(text || chr(10) || 'end', '^ +| +$', '', 'g') else text end as content
+@checked(f"""select conv_id, turn, case when turn % 6 = 0 then '[' || turn || ']' when turn % 3 = 0 then text
+  when turn % 3 = 1 then {_strip("text || chr(10) || 'end'")} else text end as content
 from conversations""")
 def content_text(spark, sf_dir):
     """Plain text, a list of parts and a JSON string, by turn."""
@@ -323,10 +323,12 @@ def content_text(spark, sf_dir):
         F.struct(F.lit("reasoning").alias("type"), F.lit("hidden").alias("text")),
         F.struct(F.lit("text").alias("type"), F.col("text").alias("text")),
         F.struct(F.lit("output_text").alias("type"), F.lit("").alias("text")),
-        F.struct(F.lit(None).cast("string").alias("type"), F.lit("end").alias("text"))))
+        F.struct(F.lit(None).cast("string").alias("type"), F.lit("end\t\n ").alias("text"))))
     quoted = F.to_json(F.struct(F.col("text").alias("t")))
     quoted = F.substring(quoted, 6, F.length(quoted) - 6)
-    raw = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, parts) \
-        .otherwise(quoted)
+    listed = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("]"))
+    plain = F.when(F.col("turn") % 6 == 0, listed).otherwise(F.col("text")).cast("variant")
+    raw = F.when(F.col("turn") % 3 == 0, plain).when(F.col("turn") % 3 == 1, F.parse_json(parts)) \
+        .otherwise(F.parse_json(quoted))
     return (fx.texts(spark, sf_dir, "conversations").withColumn("raw", raw)
             .select("conv_id", "turn", conv.content_text(F.col("raw")).alias("content")))

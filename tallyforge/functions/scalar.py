@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyforge.functions.text import strip
+
 MISSING = "—"
 
 
@@ -61,12 +63,12 @@ def document_path(cik: Column, accession: Column, document: Column) -> Column:
 
 
 def normal_ticker(c: Column) -> Column:
-    return F.upper(F.trim(c))
+    return F.upper(strip(c))
 
 
 def valid_ticker(c: Column) -> Column:
     """Letters and digits of any alphabet, at least one."""
-    return F.coalesce(c.rlike(r"^[\p{L}\p{N}]+$"), F.lit(False))
+    return F.coalesce(c.rlike(r"^[\p{L}\p{N}]+\z"), F.lit(False))
 
 
 def strip_state_suffix(name: Column) -> Column:
@@ -80,7 +82,7 @@ def escape_dollar(text: Column) -> Column:
 
 def key_list(text: Column) -> Column:
     """Comma list -> array of trimmed, upper-cased, non-empty keys."""
-    return F.filter(F.transform(F.split(text, ","), lambda x: F.upper(F.trim(x))),
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.upper(strip(x))),
                     lambda x: x != "")
 
 

@@ -43,6 +43,12 @@ def _unescape_all(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+def unescape_full(text: Column) -> Column:
+    """All entities; the pandas call does work only on texts with a rare one."""
+    rare = F.when(F.coalesce(text, F.lit("")).rlike(_UNCOMMON), text)
+    return F.coalesce(_unescape_all(rare), unescape(text))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it in ``body``.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.text import strip
+
 # Served function names and leaked template tokens.
 FUNCTION_NAMES = ["get_statements", "get_ratios", "get_anomalies", "list_companies",
                   "ingest_company", "get_pipeline_status", "search_mdna"]
@@ -38,12 +40,13 @@ def usable_context(turns: DataFrame, last: int = CONTEXT_TURNS) -> DataFrame:
 
 
 def content_text(content: Column) -> Column:
-    """Message content (plain text, JSON string, or JSON list of parts) -> text.
+    """Message content (a variant: a string, or a list of parts) -> text.
 
-    Of a list, bare strings and parts of type text or output_text (or without a
-    type) are kept and joined with a newline.
+    A string stays as it is, also one that looks like JSON.  Of a list, bare
+    strings and parts of type text or output_text (or without a type) are kept
+    and joined with a newline.  Anything else is its JSON text.
     """
-    parsed = F.try_parse_json(content)
+    parsed = content
     kind = F.schema_of_variant(parsed)
     parts = F.transform(F.variant_get(parsed, "$", "array<variant>"), lambda p: F.when(
         F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")).when(
@@ -51,11 +54,11 @@ def content_text(content: Column) -> Column:
         .isin("text", "output_text")
         & (F.schema_of_variant(F.try_variant_get(p, "$.text", "variant")) == "STRING"),
         F.try_variant_get(p, "$.text", "string")))
-    joined = F.trim(F.array_join(F.filter(parts, lambda t: t.isNotNull() & (t != "")), "\n"))
+    joined = strip(F.array_join(F.filter(parts, lambda t: t.isNotNull() & (t != "")), "\n"))
     return (F.when(content.isNull(), "")
             .when(kind.startswith("ARRAY"), joined)
             .when(kind == "STRING", F.try_variant_get(parsed, "$", "string"))
-            .otherwise(content))
+            .otherwise(F.to_json(content)))
 
 
 def tool_calls(turns: DataFrame) -> DataFrame:
@@ -84,7 +87,7 @@ def conversation_summary(turns: DataFrame) -> DataFrame:
     """Tool results and the last ticker asked for, per conversation, in one pass."""
     calls = F.from_json("tool_calls", CALLS)
     rows = turns.select("conv_id", "turn", "role", F.posexplode_outer(calls).alias("pos", "c"))
-    ticker = F.upper(F.trim(F.from_json(F.col("c.function.arguments"),
+    ticker = F.upper(strip(F.from_json(F.col("c.function.arguments"),
                                         "map<string, string>")["p_ticker"]))
     rows = rows.select("conv_id", "role", F.nullif(ticker, F.lit("")).alias("ticker"),
                        F.struct("turn", "pos").alias("at"))

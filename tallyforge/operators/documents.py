@@ -25,13 +25,17 @@ def recent_filings(filings: DataFrame, n: int = 2, form: str = "10-K",
 
 
 def filing_documents(newest: DataFrame, documents: DataFrame) -> DataFrame:
-    """Landed markup of the chosen filings.
+    """Landed markup of the chosen filings: the primary document, not its exhibits.
+
+    Joined on all of cik, accession number and document name that both sides have.
 
     An inner join, so that the narrow filing side can be the broadcast side and
     the markup is not shuffled.  Spark decides by size: pass ``newest`` as a
     written table, whose size is known before the plan is made.
     """
-    return documents.join(newest, "accession_number")
+    keys = [c for c in ("cik", "accession_number", "primary_document")
+            if c in documents.columns and c in newest.columns]
+    return documents.join(newest, keys)
 
 
 _MDNA_KEYS = ["ticker", "cik", "form", "accession_number", "filing_date"]

@@ -65,7 +65,11 @@ def failure_report(work: DataFrame, landed: DataFrame, requested: DataFrame) ->
 
 
 def fail_on_requested(report: DataFrame) -> None:
-    """Raise if a requested ticker failed; names a few of them."""
-    bad = [r.ticker for r in report.filter("requested").orderBy("ticker").take(20)]
-    if bad:
-        raise RuntimeError(f"Requested tickers failed to ingest: {', '.join(bad)}")
+    """Raise if a requested ticker failed; names all of them.
+
+    The names are one text made by Spark, as long as the request list of a run.
+    """
+    bad = report.filter("requested").agg(
+        F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("ticker")), ", ").alias("names")).first()
+    if bad.n:
+        raise RuntimeError(f"{bad.n} requested tickers failed to ingest: {bad.names}")

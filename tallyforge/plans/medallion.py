@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from tallyforge import schemas
 from tallyforge.operators import documents as docs_ops
+from tallyforge.operators import registry
 from tallyforge.operators.facts import ANNUAL, QUARTERLY, FormSpec
 from tallyforge.operators.flags import red_flags
 from tallyforge.operators.ratios import compute_ratios, dupont_audit, with_prior_margin
 from tallyforge.operators.statements import build_statements, to_wide
 from tallyforge.session import checkpoint_root
 from tallyforge.sources import landing
-from tallyforge.sources.tables import drop_path, read_table, replace_by_key, staged, write_table
+from tallyforge.sources.tables import (drop_path, read_table, replace_by_key, row_counts, staged,
+                                       write_table)
 
 
 BRONZE = {"xbrl_facts": schemas.FACTS, "companies": schemas.COMPANIES,
@@ -35,13 +37,17 @@ class Store:
 
 
 def ingest(spark: SparkSession, store: Store, landed: str, run_time: str,
-           mdna_filings: int = 2, buckets: int = 256) -> DataFrame:
+           mdna_filings: int = 2, buckets: int | None = None,
+           requested: DataFrame | None = None) -> DataFrame:
     """Landed folders (registry, facts, submissions, documents) to bronze.
 
     Every landed ticker is replaced in every table, also where it yields no
-    rows any more, so no stale rows stay behind.  The key list and the document
-    results are written once and read back: documents are parsed in one pass.
-    Returns the landed tickers.
+    rows any more, so no stale rows stay behind.  Facts and document results are
+    written once and read back: documents are parsed in one pass.  A landed
+    ticker that the registry does not know writes nothing.  Tickers of the work
+    list (requested, and already ingested) that did not land or are unknown are
+    listed in ``failures``; the counts of all tables in ``row_counts``.
+    Returns the ingested tickers.
     """
     run = uuid.uuid4().hex
 
@@ -51,9 +57,15 @@ def ingest(spark: SparkSession, store: Store, landed: str, run_time: str,
 
     entries = landing.registry(landing.read_documents(spark, f"{landed}/registry"))
     docs = landing.read_company_documents(spark, f"{landed}/facts")
-    readable = landing.parse_facts(docs).filter(F.col("facts").isNotNull())
-    tickers = staged(readable.select("ticker").distinct(), f"{run}-tickers")
-    replace(landing.flatten_facts(docs), "xbrl_facts")
+    observed = staged(landing.facts_or_mark(docs), f"{run}-facts")
+    looked_up = registry.lookup_tickers(observed.filter("readable").select("ticker").distinct(), entries)
+    tickers = staged(looked_up.filter(F.col("cik").isNotNull()).select("ticker"), f"{run}-tickers")
+    before = staged(read_table(spark, store.path("bronze", "companies"), schemas.COMPANIES).select("ticker"),
+                    f"{run}-before")
+    wanted = tickers.limit(0) if requested is None else requested.select("ticker").distinct()
+    write_table(registry.failure_report(registry.work_list(wanted, before).union(registry.rejects(looked_up)),
+                                        tickers, wanted), store.path("bronze", "failures"))
+    replace(observed.filter("tag IS NOT NULL").drop("readable"), "xbrl_facts")
     facts = read_table(spark, store.path("bronze", "xbrl_facts"), schemas.FACTS) \
         .join(tickers, "ticker", "left_semi")
     stamped = tickers.withColumn("fetched_at", F.lit(run_time).cast("timestamp"))
@@ -73,7 +85,9 @@ def ingest(spark: SparkSession, store: Store, landed: str, run_time: str,
                      f"{run}-documents")
     replace(docs_ops.mdna_of(results, newest), "mdna")
     replace(docs_ops.segments_of(results), "segment_revenue")
-    for name in ("filings", "documents"):
+    write_table(row_counts({name: read_table(spark, store.path("bronze", name), ddl)
+                            for name, ddl in BRONZE.items()}), store.path("bronze", "row_counts"))
+    for name in ("facts", "before", "filings", "documents"):
         drop_path(spark, f"{checkpoint_root(spark)}/staged/{run}-{name}")
     return companies.select("ticker")
 

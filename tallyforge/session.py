@@ -36,6 +36,9 @@ def local_session(cores: int | str = "*", app: str = "tallyforge",
     return spark
 
 
+_LOCAL_ROOT: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
@@ -44,9 +47,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if configured.startswith("/") and not spark.sparkContext.master.startswith("local"):
+            # Without a scheme the path belongs to the default file system of the cluster.
+            default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+            if default.startswith("file:"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share, with its scheme")
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="tallyforge-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if "path" not in _LOCAL_ROOT:
+        _LOCAL_ROOT["path"] = tempfile.mkdtemp(prefix="tallyforge-")
+    return _LOCAL_ROOT["path"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import strip, unescape
-from tallyforge.sources.landing import file_stem
+from tallyforge.functions.text import strip, unescape_full
+from tallyforge.sources.landing import file_stem, read_documents
 
 _NAME_SUFFIX = r"\s*\(\d{7,10}\)\s*\z"
 
@@ -17,9 +17,9 @@ def _element(xml: Column, tag: str) -> Column:
 
 
 def _plain(raw: Column) -> Column:
-    """Element text: CDATA unwrapped, entities resolved elsewhere."""
+    """Element text: CDATA unwrapped, otherwise entities resolved."""
     cdata = F.regexp_extract(raw, r"(?s)^\s*<!\[CDATA\[(.*)\]\]>\s*$", 1)
-    return F.when(cdata != "", cdata).otherwise(unescape(raw))
+    return F.when(cdata != "", cdata).otherwise(unescape_full(raw))
 
 
 def roster_entries(feeds: DataFrame, column: str, keys: tuple[str, ...]) -> DataFrame:
@@ -32,7 +32,7 @@ def roster_entries(feeds: DataFrame, column: str, keys: tuple[str, ...]) -> Data
     rows = feeds.select(*keys, "doc", F.posexplode(entries).alias("pos", "entry"))
     rows = rows.filter(F.col("entry").rlike(r"(?s)<title>.*?</title>")).select(
         *keys, "doc", "pos",
-        F.regexp_replace(strip(unescape(_element(F.col("entry"), "title"))), _NAME_SUFFIX, "")
+        F.regexp_replace(strip(unescape_full(_element(F.col("entry"), "title"))), _NAME_SUFFIX, "")
         .alias("company"),
         F.regexp_extract("entry", r"CIK=(\d{4,10})", 1).try_cast("bigint").alias("cik"))
     first = Window.partitionBy(*keys, "company").orderBy("doc", "pos")
@@ -52,10 +52,25 @@ def news_items(feeds: DataFrame, column: str, keys: tuple[str, ...], n: int = 3)
 
 
 def read_prices(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Daily closes from one CSV file per ticker (columns Date and Close by name)."""
-    rows = spark.read.option("header", True).csv(path)
-    return rows.select(
-        F.upper(file_stem(F.col("_metadata.file_path"))).alias("ticker"),
-        F.col("Date").try_cast("date").alias("date"),
-        F.col("Close").try_cast("double").alias("close"), F.lit(source).alias("source")) \
+    """Daily closes from one CSV file per ticker.
+
+    Date and Close are found by name in the header of each file, so files of one
+    folder may order their columns differently.
+    """
+    files = read_documents(spark, path)
+
+    def cells(line: Column) -> Column:
+        return F.transform(F.split(line, ","), lambda x: F.btrim(strip(x), F.lit('"')))
+
+    lines = F.split("value", r"\r\n|\n|\r")
+    rows = files.select(
+        F.upper(file_stem(F.col("file_path"))).alias("ticker"), cells(F.regexp_replace(lines[0], "^\ufeff", "")).alias("names"),
+        F.explode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line"))
+
+    def named(name: str) -> Column:
+        at = F.array_position("names", name).cast("int")
+        return F.when(at > 0, F.try_element_at(cells(F.col("line")), F.nullif(at, F.lit(0))))
+
+    return rows.select("ticker", named("Date").try_cast("date").alias("date"),
+                       named("Close").try_cast("double").alias("close"), F.lit(source).alias("source")) \
         .filter(F.col("date").isNotNull() & F.col("close").isNotNull())

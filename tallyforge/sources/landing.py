@@ -49,11 +49,12 @@ def read_company_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_filing_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Filing markup landed under cik/accession/document: (accession_number, html)."""
+    """Filing markup landed under cik/accession/document: (cik, accession_number, primary_document, html)."""
     docs = read_documents(spark, path)
-    folder = F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1)
-    dashed = F.regexp_replace(folder, r"^(\d{10})(\d{2})(\d{6})$", "$1-$2-$3")
-    return docs.select(dashed.alias("accession_number"), F.col("value").alias("html"))
+    at = F.slice(F.split("file_path", "/"), -3, 3)
+    dashed = F.regexp_replace(at[1], r"^(\d{10})(\d{2})(\d{6})$", "$1-$2-$3")
+    return docs.select(at[0].try_cast("bigint").alias("cik"), dashed.alias("accession_number"),
+                       F.url_decode(at[2]).alias("primary_document"), F.col("value").alias("html"))
 
 
 def parse_facts(docs: DataFrame, column: str = "value") -> DataFrame:
@@ -66,13 +67,32 @@ def flatten_facts(docs: DataFrame, column: str = "value") -> DataFrame:
     # Exploded as an expression: of an exploded column Spark would infer a filter
     # and push it below the parsing, which would then run twice.
     facts = F.from_json(column, FACTS_JSON)["facts"]
-    tags = docs.select("ticker", F.explode(facts).alias("taxonomy", "tags"))
-    metas = tags.select("ticker", "taxonomy", F.explode("tags").alias("tag", "meta"))
-    units = metas.select("ticker", "taxonomy", "tag", F.col("meta.label").alias("label"),
-                         F.explode("meta.units").alias("unit", "observations"))
-    rows = units.select("ticker", "taxonomy", "tag", "label", "unit", F.inline("observations"))
+    return _observations(docs.select("ticker", F.explode(facts).alias("taxonomy", "tags")))
+
+
+def facts_or_mark(docs: DataFrame, column: str = "value") -> DataFrame:
+    """The rows of ``flatten_facts`` with ``readable``, parsed once.
+
+    A document without observations, readable or not, leaves one row without a tag.
+    """
+    parsed = docs.select("ticker", F.from_json(column, FACTS_JSON)["facts"].alias("facts"))
+    tags = parsed.select("ticker", F.col("facts").isNotNull().alias("readable"),
+                         F.explode_outer("facts").alias("taxonomy", "tags"))
+    return _observations(tags, ("readable",), outer=True)
+
+
+def _observations(tags: DataFrame, more: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
+    explode, inline = (F.explode_outer, F.inline_outer) if outer else (F.explode, F.inline)
+    metas = tags.select("ticker", *more, "taxonomy", explode("tags").alias("tag", "meta"))
+    units = metas.select("ticker", *more, "taxonomy", "tag", F.col("meta.label").alias("label"),
+                         explode("meta.units").alias("unit", "observations"))
+    rows = units.select("ticker", *more, "taxonomy", "tag", "label", "unit",
+                        F.col("observations").isNotNull().alias("held"), inline("observations"))
+    if outer:
+        # A tag without observations is no fact.
+        rows = rows.withColumn("tag", F.when(F.col("held"), F.col("tag")))
     return rows.select(
-        "ticker", "taxonomy", "tag", "label", "unit",
+        *more, "ticker", "taxonomy", "tag", "label", "unit",
         F.col("start").try_cast("date").alias("period_start"),
         F.col("end").try_cast("date").alias("period_end"),
         F.nullif(F.col("val").try_cast("double"), F.lit(float("nan"))).alias("val"), F.col("fy").try_cast("bigint").alias("fy"),

@@ -7,7 +7,6 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tallyforge.schemas import empty
 from tallyforge.session import checkpoint_root
@@ -56,14 +55,9 @@ def read_table(spark: SparkSession, path: str, ddl: str | None = None,
     return df.orderBy(*order_by) if order_by else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores if the scan has fewer splits than that.
-
-    For work that costs much more per row than reading it, over few or large row
-    groups.  A scan with enough splits is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a key, for work that costs much more per row than moving it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -101,12 +95,30 @@ def restore_types(df: DataFrame, keep_text: tuple[str, ...] = ()) -> DataFrame:
                        else F.col(c) for c in df.columns])
 
 
+def _layout_path(path: str) -> str:
+    return f"{path}/_layout"
+
+
+def layout(spark: SparkSession, path: str) -> tuple[str, int] | None:
+    """(key, buckets) that a table was written with; None if it has no key layout."""
+    if not exists(spark, _layout_path(path)):
+        return None
+    row = spark.read.schema("key STRING, buckets INT").parquet(_layout_path(path)).first()
+    return row["key"], row["buckets"]
+
+
+def _keep_layout(spark: SparkSession, path: str, key: str, buckets: int) -> None:
+    (spark.createDataFrame([(key, buckets)], "key STRING, buckets INT").coalesce(1)
+     .write.mode("overwrite").parquet(_layout_path(path)))
+
+
 def write_table(df: DataFrame, path: str, key: str | None = None,
                 buckets: int = BUCKETS) -> None:
     """Full refresh.  With a key the files are laid out by key bucket.
 
-    The rebalance hint lets Spark split a bucket that is too large for one task
-    and merge small ones, so a hot key does not write through a single task.
+    The key and the number of buckets are kept with the table.  The rebalance
+    hint lets Spark split a bucket that is too large for one task and merge
+    small ones, so a hot key does not write through a single task.
     """
     writer = df
     if key is not None:
@@ -116,6 +128,8 @@ def write_table(df: DataFrame, path: str, key: str | None = None,
     if key is not None:
         writer = writer.partitionBy("bucket")
     writer.parquet(path)
+    if key is not None:
+        _keep_layout(df.sparkSession, path, key, buckets)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -135,47 +149,67 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def replace_by_key(rows: DataFrame, keys: DataFrame, path: str, key: str = "ticker",
-                   buckets: int = BUCKETS, run_id: str | None = None,
+                   buckets: int | None = None, run_id: str | None = None,
                    ddl: str | None = None) -> None:
     """Replace all rows of ``keys`` by ``rows``; rows of other keys stay.
 
     Rows of keys not listed are left out.  Only the buckets of the keys are read
-    and written.  The merged buckets are first written to a staging table in the
-    shared checkpoint folder and then published by dynamic partition overwrite:
-    if publishing is interrupted, a run with the same ``run_id`` publishes the
-    staged buckets again.  An empty key list changes nothing.  Give the schema of
-    a large table as ``ddl``; without it new columns of ``rows`` are added.
+    and written.  The number of buckets is the stored table's; ``buckets`` is
+    for a new table.  A table without a key layout, with another key or with
+    another number than the one given is refused.  The merged buckets are
+    written to a staging table in the shared checkpoint folder and moved into
+    place, so they are written once.  If publishing is interrupted, a run with
+    the same ``run_id`` goes on with the staged buckets.  An empty key list
+    changes nothing.  Give the schema of a large table as ``ddl``; without it
+    new columns of ``rows`` are added.
     """
     spark = rows.sparkSession
+    current = _stored(spark, path, ddl) if exists(spark, path) else None
+    stored = layout(spark, path)
+    if current is not None and stored is None:
+        raise ValueError(f"Table at {path} has no key layout; write it with write_table(key=...) first")
+    if stored is not None and (stored[0] != key or buckets not in (None, stored[1])):
+        raise ValueError(f"Table at {path} is laid out by {stored[0]} in {stored[1]} buckets, "
+                         f"not by {key} in {buckets}")
+    count = stored[1] if stored else buckets or BUCKETS
     name = run_id or uuid.uuid4().hex
     stage = f"{checkpoint_root(spark)}/staged/{name}"
     keys = staged(keys.select(key).distinct(), f"{name}-keys")
-    # At most ``buckets`` small integers reach the driver.
+    # At most as many small integers as there are buckets reach the driver.
     touched = sorted(r.bucket for r in keys.select(
-        bucket_of(F.col(key), buckets).alias("bucket")).distinct().collect())
+        bucket_of(F.col(key), count).alias("bucket")).distinct().collect())
     if touched:
-        added = rows.join(keys, key, "left_semi") \
-            .withColumn("bucket", bucket_of(F.col(key), buckets))
-        current, merged = _stored(spark, path, ddl), added
+        merged = added = rows.join(keys, key, "left_semi") \
+            .withColumn("bucket", bucket_of(F.col(key), count))
         if current is not None and "bucket" in current.columns:
             kept = current.filter(F.col("bucket").isin(touched)).join(keys, key, "left_anti")
             merged = kept.unionByName(added, allowMissingColumns=True)
         if not exists(spark, f"{stage}/_SUCCESS"):
             (merged.hint("rebalance", "bucket").write.mode("overwrite")
              .option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(stage))
-        _publish(spark, stage, path, touched, merged.schema)
-    drop_path(spark, stage)
-    drop_path(spark, f"{stage}-keys")
-
-
-def _publish(spark: SparkSession, stage: str, path: str, touched: list[int],
-             schema: StructType) -> None:
-    """Swap the staged buckets in; a touched bucket that is empty now is removed."""
-    new = spark.read.schema(schema).parquet(stage)
-    filled = {r.bucket for r in new.select("bucket").distinct().collect()}
-    if filled or not exists(spark, path):
-        (new.hint("rebalance", "bucket").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+            filled = [(b,) for b in touched if exists(spark, f"{stage}/bucket={b}")]
+            (spark.createDataFrame(filled, "bucket INT").coalesce(1)
+             .write.mode("overwrite").parquet(f"{stage}-filled"))
+        if stored is None:
+            _keep_layout(spark, path, key, count)
+        _publish(spark, stage, path, touched)
+    for folder in (stage, f"{stage}-keys", f"{stage}-filled"):
+        drop_path(spark, folder)
+
+
+def _publish(spark: SparkSession, stage: str, path: str, touched: list[int]) -> None:
+    """Move the staged buckets into place; a touched bucket that is empty now is removed.
+
+    Each step may be repeated: a bucket that is not in the stage any more has
+    been moved before.
+    """
+    filled = {r.bucket for r in spark.read.schema("bucket INT").parquet(f"{stage}-filled").collect()}
     for bucket in touched:
+        source, target = f"{stage}/bucket={bucket}", f"{path}/bucket={bucket}"
         if bucket not in filled:
-            drop_path(spark, f"{path}/bucket={bucket}")
+            drop_path(spark, target)
+        elif exists(spark, source):
+            drop_path(spark, target)
+            fs, from_ = _fs(spark, source)
+            if not fs.rename(from_, _fs(spark, target)[1]):
+                raise OSError(f"Could not move {source} to {target}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyforge.functions.scalar import normal_ticker
 from tallyforge.schemas import FACTS
-from tallyforge.sources.landing import file_stem, flatten_facts, parse_facts
-from tallyforge.sources.tables import BUCKETS, replace_by_key
+from tallyforge.session import checkpoint_root
+from tallyforge.sources.landing import facts_or_mark, file_stem
+from tallyforge.sources.tables import drop_path, replace_by_key, staged
 
 
 def newest_per_ticker(docs: DataFrame) -> DataFrame:
@@ -27,13 +29,14 @@ def newest_per_ticker(docs: DataFrame) -> DataFrame:
     return docs.join(chosen, ["ticker", "file_path"], "left_semi")
 
 
-def apply_batch(docs: DataFrame, table: str, buckets: int = BUCKETS,
+def apply_batch(docs: DataFrame, table: str, buckets: int | None = None,
                 run_id: str | None = None) -> None:
-    """Parse the batch and replace exactly the tickers whose document was readable."""
-    newest = newest_per_ticker(docs)
-    readable = parse_facts(newest).filter(F.col("facts").isNotNull()).select("ticker")
-    replace_by_key(flatten_facts(newest), readable, table, buckets=buckets, run_id=run_id,
-                   ddl=FACTS)
+    """Parse the batch once and replace exactly the tickers whose document was readable."""
+    name = f"{run_id or uuid.uuid4().hex}-facts"
+    rows = staged(facts_or_mark(newest_per_ticker(docs)), name)
+    replace_by_key(rows.filter("tag IS NOT NULL").drop("readable"), rows.filter("readable").select("ticker"), table,
+                   buckets=buckets, run_id=run_id, ddl=FACTS)
+    drop_path(docs.sparkSession, f"{checkpoint_root(docs.sparkSession)}/staged/{name}")
 
 
 def landed_files(spark: SparkSession, landing: str) -> DataFrame:
@@ -45,7 +48,7 @@ def landed_files(spark: SparkSession, landing: str) -> DataFrame:
 
 
 def ingest_available(stream: DataFrame, table: str, checkpoint: str,
-                     buckets: int = BUCKETS) -> StreamingQuery:
+                     buckets: int | None = None) -> StreamingQuery:
     """Process everything that has landed since the last run, then stop.
 
     Replacing by key makes a replayed batch harmless.  The staging name is made

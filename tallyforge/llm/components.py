@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import stage
 
+EDGES_PER_TASK = 200_000
+
 
 def _state(edges: DataFrame) -> tuple:
     """Number of edges and an order-free hash of them."""
@@ -25,12 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        # As many tasks as the edges need: the rounds on a small graph are short ones.
+        parts = -(-state[0] // EDGES_PER_TASK)
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(parts))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(large.distinct())
-        least = stage(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = stage(large.distinct().coalesce(parts))
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts))
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        e = stage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
         now = _state(e)
         if now == state:
             break

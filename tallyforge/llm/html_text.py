@@ -232,8 +232,13 @@ class Labeller:
 
 def fit_labeller(pages: DataFrame, n_pages: int = TRAIN_PAGES, n_made: int = MADE_PAGES) -> Labeller:
     """A labeller fitted on a bounded sample: the pages with the smallest hashes of their ids."""
-    sample = (pages.filter(F.length("html") > 0).select("page_id", F.substring("html", 1, TRAIN_CHARS).alias("html"))
-              .orderBy(F.xxhash64("page_id"), "page_id", "html").limit(n_pages).collect())
+    # Ids are chosen first, so that no task sends more pages than the sample has.
+    some_html = pages.filter(F.length("html") > 0)
+    chosen = (some_html.select(F.col("page_id").alias("chosen_id"), F.xxhash64("page_id").alias("chosen_hash"))
+              .orderBy("chosen_hash", "chosen_id").limit(n_pages).distinct())
+    sample = (some_html.join(F.broadcast(chosen), F.col("page_id").eqNullSafe(F.col("chosen_id")))
+              .select("chosen_hash", F.substring("html", 1, TRAIN_CHARS).alias("html")).limit(2 * n_pages).collect())
+    sample = sorted(sample, key=lambda r: (r["chosen_hash"], r["html"]))
     own = [[(b, weak_label(b)) for b in leaf_blocks(r["html"])] for r in sample]
     own = [page for page in own if any(label for _, label in page)]
     rng = random.Random(11)

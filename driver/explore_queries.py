@@ -167,7 +167,8 @@ def income_segment_edges(spark, sf_dir):
     return iso(income.segment_edges(newest, fx.segments(spark, sf_dir)))
 
 
-@checked(f"""{TO_WIDE}, s as (select *,
+_ANNUAL_ONLY = "from wide where form = '10-K' and"
+_BRIDGE = f"""{TO_WIDE}, s as (select *,
   cost_of_revenue is not null and gross_profit is not null and operating_income is not null as full_shape,
   case when operating_expenses is not null and abs(operating_expenses - (revenue - pretax_income))
             < abs(revenue) * 0.15::double then operating_expenses else revenue - pretax_income end as y
@@ -187,11 +188,34 @@ steps as (
   from s where full_shape or pretax_income is not null or operating_expenses is not null),
 flat as (select ticker, period_end, generate_subscripts(list, 1) as step_no, unnest(list) as st from steps)
 select ticker, {text('period_end')}, cast(step_no as bigint) as step_no, st.l as label, st.v as value,
-       st.m as measure from flat""")
+       st.m as measure from flat"""
+
+
+@checked(_BRIDGE)
 def income_bridge_steps(spark, sf_dir):
     return iso(income.income_bridge_steps(annual_wide(spark, sf_dir)))
 
 
+_CHOSEN = """ends_o as (select ticker, max(period_end) filter (where form = '10-K') as a,
+                max(period_end) filter (where form = '10-Q') as q from wide group by ticker),
+offered as (select w.* from wide w join ends_o e on e.ticker = w.ticker where e.a is not null
+           and w.form = case when e.q > e.a then '10-Q' else '10-K' end
+           and w.period_end = case when e.q > e.a then e.q else e.a end)"""
+
+
+@checked(f"{TO_WIDE}, {_CHOSEN}, {_FLOW.replace(_ANNUAL_ONLY, 'from offered where')} " + " union all ".join(
+    f"select ticker, {text('period_end')}, '{s}' as source, '{t}' as target, "
+    f"greatest({v}, 1e-9::double) as value from h where {c}" for c, s, t, v in _EDGES))
+def income_flow_latest(spark, sf_dir):
+    """The flow of the period that the explorer offers first."""
+    return iso(income.income_flow_edges(periods.chosen_period(both_wide(spark, sf_dir))))
+
+
+@checked(_BRIDGE.replace(_ANNUAL_ONLY, "from offered where").replace(", s as (", f", {_CHOSEN}, s as (", 1))
+def income_bridge_latest(spark, sf_dir):
+    return iso(income.income_bridge_steps(periods.chosen_period(both_wide(spark, sf_dir))))
+
+
 _VISIBLE = f"""{TO_FLAGS}, shown as (
   select ticker, period_end from ratios where form = '10-K'
   qualify date_diff('day', period_end, max(period_end) over (partition by ticker)) <= 1898)

@@ -70,6 +70,19 @@ def period_choice(wide: DataFrame) -> DataFrame:
         .alias("quarter_offered"))
 
 
+def chosen_period(wide: DataFrame) -> DataFrame:
+    """One row per company: its newest quarter if that is newer than its fiscal year, else the year."""
+    company = Window.partitionBy("ticker")
+    year = F.max(F.when(F.col("form") == "10-K", F.col("period_end"))).over(company)
+    quarter = F.max(F.when(F.col("form") == "10-Q", F.col("period_end"))).over(company)
+    newer = F.coalesce(F.col("_quarter") > F.col("_year"), F.lit(False))
+    return (wide.withColumn("_year", year).withColumn("_quarter", quarter)
+            .filter(F.col("_year").isNotNull())
+            .filter((F.col("form") == F.when(newer, "10-Q").otherwise("10-K"))
+                    & (F.col("period_end") == F.when(newer, F.col("_quarter")).otherwise(F.col("_year"))))
+            .drop("_year", "_quarter"))
+
+
 # Income statement lines of the common-size table, in order.
 COMMON_SIZE_ITEMS = {
     "revenue": "Revenue",

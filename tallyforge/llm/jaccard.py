@@ -297,11 +297,21 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
                     F.when(F.col("doc_id").isNotNull() | (component < OWN_IDS), component).alias("component_id")))
 
 
+#: A list of ids up to this long is sent to all tasks, so that texts need not be shuffled to drop some.
+SENT_IDS = 1_000_000
+
+
 def first_of_groups(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are the first of their group; null ids and empty texts stay."""
-    group = (jaccard_groups(docs, **options).filter("component_id <> doc_id")
-             .select(F.col("doc_id").alias("copy_doc_id")).distinct())
-    return docs.join(group, F.col("doc_id") == F.col("copy_doc_id"), "left_anti")
+    """The rows of ``docs`` that are the first of their group; null ids and empty texts stay.
+
+    The list of the others is sent to all tasks if it is short, and joined by
+    shuffling if it is not.
+    """
+    others = stage(jaccard_groups(docs, **options).filter("component_id <> doc_id")
+                   .select(F.col("doc_id").alias("copy_doc_id")).distinct())
+    if others.count() <= SENT_IDS:
+        others = F.broadcast(others)
+    return docs.join(others, F.col("doc_id") == F.col("copy_doc_id"), "left_anti")
 
 
 def op2_jaccard(spark, sf_dir):

@@ -19,5 +19,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_substrings": substrings.SQL,
+    "op2_jaccard": jaccard.SQL,
+    "op3_mtree": mtree.SQL,
     "op4_mix": mixing.SQL,
 }

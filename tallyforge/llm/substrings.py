@@ -171,3 +171,24 @@ def without_repeats(docs: DataFrame, docs_per_chunk: int = ask.DOCS_PER_CHUNK) -
 
 def op1_substrings(spark, sf_dir):
     return removed_words(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS k
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)),
+firsts AS (SELECT k, min(doc_id) AS first_id FROM windows GROUP BY k),
+gone AS (
+  SELECT DISTINCT doc_id, p FROM (
+    SELECT windows.doc_id, unnest(range(i, i + 13)) AS p
+    FROM windows JOIN firsts ON windows.k = firsts.k WHERE first_id < windows.doc_id)),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(counted.n, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""

@@ -64,8 +64,14 @@ def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
         return b""
 
 
-def _codec(dictionary: bytes):
-    return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+def _codec(dictionary: bytes, level: int | None = None):
+    """The dictionary, digested once for a compression level if one is given."""
+    if not dictionary:
+        return None
+    codec = zstandard.ZstdCompressionDict(dictionary)
+    if level is not None:
+        codec.precompute_compress(level=level)
+    return codec
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID,
@@ -87,7 +93,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = UnitEncoder.get(tokenizer_path)
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_codec(dictionary), write_checksum=True)
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_codec(dictionary, LEVEL), write_checksum=True)
         end = np.array([end_id], width).tobytes()
         for batch in batches:
             for low, ids, count in encoder.slices(batch.column(1)):

@@ -23,7 +23,7 @@ from tallyforge.llm.components import components
 from tallyforge.llm.vectors import matrix, packed, usable, width_of
 
 COSINE = 0.9
-SHARD_VECTORS, OVERLAP, LEVELS = 4096, 3, 6
+SHARD_VECTORS, OVERLAP, LATER_OVERLAP, LEVELS = 4096, 3, 2, 6
 #: Graph: candidates and edges per vector, slack of the pruning, random edges, medoids, beam.
 CANDIDATES, EDGES, ALPHA, RANDOM_EDGES, MEDOIDS, BEAM = 48, 16, 1.2, 2, 32, 12
 AUDIT_VECTORS, WANTED_RECALL, ROUNDS = 100, 0.97, 3
@@ -161,7 +161,9 @@ def shards(points: DataFrame, salt: int, shard_vectors: int) -> DataFrame:
             break
         large = members.join(load, "shard")
         order = W.partitionBy("shard").orderBy(F.xxhash64("id", F.lit(salt + level)), "id")
-        wanted = F.least(F.lit(64), F.ceil(2 * F.col("n") / F.lit(shard_vectors)) + 1)
+        overlap = OVERLAP if level == 0 else LATER_OVERLAP
+        # Twice as many centres as full shards would need: few shards have to be dealt again.
+        wanted = F.least(F.lit(64), F.ceil(2 * overlap * F.col("n") / F.lit(shard_vectors)) + 1)
         centres = (large.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= 64)
                    .filter(F.col("nth") <= wanted).select("shard", "nth", "v", "n"))
         blocks = F.ceil(F.col("n") / F.lit(shard_vectors))
@@ -171,7 +173,7 @@ def shards(points: DataFrame, salt: int, shard_vectors: int) -> DataFrame:
         def deal(near: pa.Table, centre: pa.Table) -> pa.Table:
             x, c = _unit(near.column("v")), _unit(centre.column("v"))
             names = [f"{near.column('shard')[0].as_py()}/{k}" for k in centre.column("nth").to_pylist()]
-            like = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
+            like = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :overlap]
             row = np.repeat(np.arange(len(x)), like.shape[1])
             home = near.column("home").to_numpy()[row] & (np.arange(len(row)) % like.shape[1] == 0)
             return pa.table([pa.array([names[k] for k in like.ravel()]), near.column("id").take(pa.array(row)),

@@ -67,3 +67,38 @@ def test_search_finds_what_is_in_range():
     like = x @ x.T >= 0.9
     np.fill_diagonal(like, False)
     assert like[q, v].all() and len(set(zip(q.tolist(), v.tolist()))) == len(q) >= 0.97 * like.sum()
+
+
+def test_group_larger_than_a_shard_is_counted_whole(spark):
+    rng = np.random.default_rng(4)
+    c = rng.normal(size=12)
+    rows = [(i, (c + rng.normal(size=12) * 0.1).tolist()) for i in range(700)]
+    rows += [(1000 + i, e) for i, e in made(5, 300)] + [(5000 + i, [float(i + 1)] * 12) for i in range(500)]
+    df = spark.createDataFrame([(i, e, 1, "n", 2, "x") for i, e in rows], SCHEMA)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ng.near_duplicates(df, shard_vectors=64).collect()}
+    _, want = brute(rows)
+    big = [w for w in want if w[1] >= 400]
+    assert len(big) >= 1000 and all(got[v] == (n, label) for v, n, label in big)
+
+
+def test_below_the_wanted_recall_all_are_compared(spark):
+    rows = made(6, 300)
+    df = spark.createDataFrame([(i, e, 1, "n", 2, "x") for i, e in rows], SCHEMA)
+    got = {r.vec_id: (r.n_links, r.component_id)
+           for r in ng.near_duplicates(df, wanted_recall=1.1, rounds=1, shard_vectors=64).collect()}
+    assert got == {v: (n, label) for v, n, label in brute(rows)[1]}
+
+
+def test_forest_joins_what_the_links_join():
+    linked = np.random.default_rng(7).random((60, 80)) < 0.012
+    a, b = ng.forest(linked)
+    assert linked[a, b].all()
+
+    def labels(pairs):
+        label = list(range(140))
+        for _ in range(140):
+            for i, j in pairs:
+                label[i] = label[j] = min(label[i], label[j])
+        return label
+
+    assert labels(list(zip(a, b + 60))) == labels([(i, j + 60) for i, j in np.argwhere(linked)])

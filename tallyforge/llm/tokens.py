@@ -4,7 +4,8 @@ A text is cut before every run of white space that follows a word.  Such a
 unit is encoded alike wherever it stands, so each distinct unit is encoded
 once per worker and looked up afterwards, all units of a slice in one numpy
 pass.  A lookup compares the bytes, not only the hash.  The memory of known
-units is bounded; when it is full it starts anew.
+units is bounded; when it is full it starts anew.  Documents that hold an added
+token of the file go to the library whole.
 """
 
 from __future__ import annotations
@@ -56,11 +57,12 @@ class UnitEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         splits = spec["pre_tokenizer"]
         self.lower = spec.get("normalizer") is not None
+        #: In lower case, because an added token may be matched after the normalizer.
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         parts = splits.get("pretokenizers", [splits])
         known = {"byte": parts[0].get("use_regex"),
                  "word": parts[0].get("pattern", {}).get("Regex") == WORD_IN_FILE}
@@ -162,7 +164,7 @@ class UnitEncoder:
         total = int(n_ids.sum())
         ahead = np.cumsum(n_ids) - n_ids
         ids = self.ids[np.arange(total) + np.repeat(self.id_at[slot][inverse] - ahead, n_ids)]
-        odd = self._odd_documents(data, start, length, owner, blank)
+        odd = np.union1d(self._odd_documents(data, start, length, owner, blank), self._with_added(data, offsets))
         if len(odd):
             ends = np.cumsum(count)
             pieces, last = [], 0
@@ -173,6 +175,17 @@ class UnitEncoder:
             ids = np.concatenate([*pieces, ids[last:]])
         return ids, count
 
+    def _with_added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Documents that hold an added token's content in any case."""
+        raw, found = data.tobytes().lower(), []
+        for content in filter(None, self.added):
+            at = raw.find(content)
+            while at >= 0:
+                d = int(np.searchsorted(offsets, at, side="right")) - 1
+                found.append(d)
+                at = raw.find(content, max(at + 1, int(offsets[d + 1]) - len(content) + 1))
+        return np.array(found, np.int64)
+
     @staticmethod
     def _odd_documents(data, start, length, owner, blank) -> np.ndarray:
         """Documents in which a word that may end in a non-ASCII blank stands before a longer run of blanks."""

@@ -1,9 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from tallyforge.llm import packing
 from tallyforge.llm import token_files as tf
 from tallyforge.llm.tokens import UnitEncoder
 
@@ -56,3 +59,15 @@ def test_damaged_dictionary_is_refused(spark, tmp_path):
         spark.read.parquet(f"{folder}/{part}").write.parquet(f"{folder}-2/{part}")
     with pytest.raises(ValueError):
         tf.read_token_files(spark, f"{folder}-2")
+
+
+@pytest.mark.parametrize("path", [packing.byte_tokenizer, tf.word_tokenizer])
+def test_ids_are_those_of_the_library_call(path):
+    library = Tokenizer.from_file(path())
+    held = [t.content for t in library.get_added_tokens_decoder().values()]
+    texts = ["plain words", "one " + held[0] + " two", held[-1], "", None, "a" + held[0] + held[-1] + "b c", "x",
+             "one " + held[0].upper() + " two  ", held[0][:-1], held[0][-1] + " y", "q " * 50 + held[0] + "\n\n" + held[0]]
+    got = []
+    for _, ids, count in UnitEncoder(path()).slices(pa.array(texts, pa.string())):
+        got += [part.tolist() for part in np.split(ids, np.cumsum(count)[:-1])]
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]

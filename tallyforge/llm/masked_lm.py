@@ -4,11 +4,13 @@ Every token is predicted from the two tokens before it and the two after it;
 the sum of the log-probabilities is the document's score.  The vocabulary is
 counted over all documents.  The frequent words have ids of their own, all
 other words share hashed ids.  Probabilities are exact over all ids: an id is a
-class and a place in the class, each with a softmax of its own.
+class and a place in the class, each with a softmax of its own.  A word with a
+shared id has its id's probability times its own share of the id's words in the
+corpus, where a word that the corpus does not hold counts as one seen once.
 
 Training is spread over the cluster: every task trains the current weights on
-a fixed share of the windows of its documents, and the weights of all tasks are
-averaged by their numbers of windows, for a few rounds.
+the windows of its documents, and the weights of all tasks are averaged by
+their numbers of windows, for a few rounds.
 """
 
 from __future__ import annotations
@@ -47,6 +49,11 @@ class Vocabulary:
         self.counts = np.ones(IDS)
         self.counts[RARE_IDS:RARE_IDS + len(counts)] += counts
         self.counts[:RARE_IDS] += rare
+        #: (word, n) of all words of the corpus; stays on the driver.
+        self.counted: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"counted": None}
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         out = (hashes % np.uint64(RARE_IDS)).astype(np.int64)
@@ -82,7 +89,9 @@ def learn_vocabulary(docs: DataFrame) -> Vocabulary:
 
     for r in counted.mapInArrow(rest, "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).collect():
         rare[r["id"]] = r["n"]
-    return Vocabulary(hashes, n, rare)
+    vocabulary = Vocabulary(hashes, n, rare)
+    vocabulary.counted = counted
+    return vocabulary
 
 
 def start_weights(vocabulary: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
@@ -263,7 +272,9 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary | None = None,
 
     Words are compared with A-Z as a-z.  Null texts and texts without words
     have no tokens, the sum 0 and a null mean.  Repeated rows are scored each.
-    An empty table gives no rows.  Other columns are not read.
+    An empty table gives no rows.  Other columns are not read.  A word with a
+    shared id has the id's probability times its count over the id's count plus
+    one; the counts are joined by word.
     """
     vocabulary = vocabulary or learn_vocabulary(docs)
     weights = weights or train(docs, vocabulary)
@@ -274,13 +285,27 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary | None = None,
                 n = len(w.count)
                 ids = vocabulary.ids(w.hash)
                 p = log_probabilities(weights, ids, contexts(ids, w.count))
-                total = np.bincount(np.repeat(np.arange(n), w.count), weights=p, minlength=n).astype(float)
-                mean = pa.array(total / np.maximum(w.count, 1), mask=w.count == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, n), pa.array(w.count), pa.array(total),
-                                                  mean], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        score, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+                rare = ids < RARE_IDS
+                p[rare] -= np.log(vocabulary.counts[ids[rare]])
+                owner = np.repeat(np.arange(n), w.count)
+                total = np.bincount(owner, weights=p, minlength=n).astype(float)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(owner[rare], minlength=n))))
+                shared = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(w.hash[rare].view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(2).slice(w.first, n), batch.column(0).slice(w.first, n), pa.array(w.count), pa.array(total),
+                     shared], names=["row", "doc_id", "n_tokens", "log_prob", "rare"])
+
+    scored = stage(docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row")).mapInArrow(
+        score, "row long, doc_id long, n_tokens long, log_prob double, rare array<long>"))
+    out = scored.select("row", "doc_id", "n_tokens", "log_prob")
+    if vocabulary.counted is not None:
+        # Words seen once, like those never seen, add log 1.
+        often = vocabulary.counted.filter("n > 1").select("word", F.log(F.col("n").cast("double")).alias("more"))
+        more = (scored.select("row", F.explode("rare").alias("word")).join(often, "word")
+                .groupBy("row").agg(F.sum("more").alias("more")))
+        out = out.join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_prob", F.when(
+        F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def op8_masked_lm(spark, sf_dir):

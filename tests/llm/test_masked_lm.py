@@ -83,3 +83,21 @@ def test_hard_rows(spark):
     assert by[1].n_tokens == by[2].n_tokens == by[3].n_tokens == 0 and by[1].log_prob == 0 and by[2].mean_log_prob is None
     assert by[4].n_tokens == by[6].n_tokens == 1 and by[None].n_tokens == 50_000 and by[None].log_prob < 0
     assert lm.score_documents(docs.limit(0)).collect() == []
+
+
+def test_rare_words_have_their_own_share_of_a_shared_id(spark, monkeypatch):
+    monkeypatch.setattr(lm, "IDS", lm.RARE_IDS + 3)
+    texts = ["a b c"] * 30 + ["seldom once%d often often" % i for i in range(6)]
+    docs = spark.createDataFrame([(i, t, 1, "w", "n") for i, t in enumerate(texts)], SCHEMA)
+    v = lm.learn_vocabulary(docs)
+    monkeypatch.undo()
+    v.counts = np.concatenate([v.counts, np.ones(lm.IDS - len(v.counts))])
+    weights = lm.start_weights(v)
+    for k in ("embed", "class_w", "word_w"):
+        weights[k][:] = 0
+    asked = ["a", "often", "seldom", "once3", "never"]
+    frame = spark.createDataFrame([(i, t, 1, "w", "n") for i, t in enumerate(asked)], SCHEMA)
+    got = {asked[r.doc_id]: np.exp(r.log_prob) for r in lm.score_documents(frame, v, weights).collect()}
+    total = v.counts.sum()
+    for word, n in (("a", 31), ("often", 12), ("seldom", 6), ("once3", 1), ("never", 1)):
+        assert abs(got[word] * total - n) < 1e-3 * n

@@ -101,3 +101,11 @@ def test_rare_words_have_their_own_share_of_a_shared_id(spark, monkeypatch):
     total = v.counts.sum()
     for word, n in (("a", 31), ("often", 12), ("seldom", 6), ("once3", 1), ("never", 1)):
         assert abs(got[word] * total - n) < 1e-3 * n
+
+
+def test_every_window_trains(spark):
+    for word in ("one", "two", "three", "four"):
+        docs = spark.createDataFrame([(1, word, 1, "w", "n")], SCHEMA)
+        v = lm.learn_vocabulary(docs)
+        start, got = lm.start_weights(v), lm.train(docs, v)
+        assert (got["word_b"] != start["word_b"]).any()

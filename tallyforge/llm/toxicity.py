@@ -183,24 +183,32 @@ def features(column: pa.Array, acceptor: Acceptor) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
-    """(text, toxic) of a bounded number of labelled documents, near copies left out.
+    """(text, toxic) of a bounded number of labelled documents; of equal texts of a class one is kept.
 
-    Rows whose crc32(doc_id) mod 3 is 1 are held out.  The bound makes the
-    broadcast of the chosen ids safe.
+    Texts are equal if they have the same words, A-Z as a-z.  Of them the row
+    with the smallest hash of its id stays; the bound is taken after that, by
+    the same hash.  Rows whose crc32(doc_id) mod 3 is 1 are held out.  The
+    bound makes the broadcast of the chosen ids safe.
     """
     known = (labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
              .filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+             .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
+    words_ = F.trim(F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", " "))
+    # Only ids and digests of the labelled texts are sorted; the texts of the chosen ids are read again.
+    digest = (docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+              .select("doc_id", F.when(words_ != "", F.sha2(words_, 256)).alias("digest")).filter("digest is not null")
+              .join(known, "doc_id").groupBy("digest", "toxic")
+              .agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("first")))
+    digest = stage(digest.select("digest", "toxic", "first.h", "first.doc_id"))
     chosen = None
     for value in (0, 1):
-        some = known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        some = digest.filter(F.col("toxic") == value).orderBy("h", "doc_id", "digest").limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
-    chosen = chosen.select(F.col("doc_id").alias("label_doc_id"), F.col("toxic").alias("label_toxic"))
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_doc_id"))
-    words_ = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    least = F.array_min(F.transform(words_, lambda w: F.xxhash64(w)))
-    return (found.select("text", F.col("label_toxic").cast("int").alias("toxic"), least.alias("least"))
-            .filter(F.col("least").isNotNull()).dropDuplicates(["least", "toxic"]).select("text", "toxic"))
+    chosen = chosen.select(F.col("doc_id").alias("label_doc_id"), F.col("digest").alias("label_digest"), "toxic")
+    found = (docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_doc_id"))
+             .filter(F.sha2(words_, 256) == F.col("label_digest")))
+    # Rows that repeat an id and, but for case and white space, its text.
+    return found.groupBy("label_digest", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

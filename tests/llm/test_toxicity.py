@@ -85,3 +85,19 @@ def test_driver_tables(spark):
     got = tox.op5_toxicity(spark, sf).filter("held_out")
     rows = got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     assert np.mean([r.predicted == r.toxic for r in rows]) > 0.9
+
+
+def test_only_equal_texts_fall_away_before_fitting(spark):
+    keep = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    texts = {i: f"a common word and number{i} of the texts" for i in keep}
+    texts[keep[1]] = texts[keep[0]].upper() + "  "
+    docs = spark.createDataFrame([(i, t, "s", 1, "x", 1) for i, t in texts.items()], DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in keep], LABELS)
+    labels = labels.unionByName(spark.createDataFrame([(keep[1], 1, keep[0] % 2)], LABELS))
+    same = keep[0] % 2 == keep[1] % 2 or keep[0] % 2 == 1
+    got = sorted((r.text, r.toxic) for r in tox.training_rows(docs, labels).collect())
+    assert len(got) == len(keep) - same
+    again = tox.training_rows(docs.repartition(7), labels.repartition(3)).collect()
+    assert sorted((r.text, r.toxic) for r in again) == got
+    few = tox.training_rows(docs, labels, 20).collect()
+    assert sum(r.toxic for r in few) == 20 and len(few) == 40

@@ -7,10 +7,17 @@ import random
 import re
 from typing import NamedTuple
 
-#: Elements whose content is never text of the page.
-RAW = "script|style|noscript|template|title|textarea|select|svg|iframe|object|canvas|math|head"
+#: Elements whose content is never text of the page; script and style run to the end where they are not closed.
+RAW = "noscript|template|title|textarea|select|svg|iframe|canvas"
+#: Tags that start a part of the page: they end a head, and what else of RAW has no closing tag.
+PARTS = ("body|address|article|aside|blockquote|center|details|dialog|dd|dir|div|dl|dt|fieldset|figcaption|figure|footer|"
+         "form|h[1-6]|header|hgroup|hr|li|main|menu|nav|ol|p|pre|search|section|summary|table|tbody|td|tfoot|th|thead|tr|ul")
+_REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+_PART = re.compile(PARTS)
+_START = rf"</?(?:{PARTS})(?=[\s/>])"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<hidden>script|style)\b{_REST}.*?(?:</(?P=hidden)\s*>|\Z)"
+    rf"|<(?P<raw>{RAW})\b{_REST}(?:.*?</(?P=raw)\s*>|(?:(?!{_START}).)*)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)>",
@@ -18,7 +25,10 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small "
-                   "span strike strong sub sup time tt u var wbr img br input button".split())
+                   "span strike strong sub sup time tt u var wbr img br input button object math maction "
+                   "annotation annotation-xml menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom "
+                   "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
+                   "munderover none semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends these open elements, up to the nearest of the second list.
 CLOSES = {"p": ({"p"}, set()), "li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}),
@@ -57,7 +67,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
-    linked, in_link = 0, 0
+    linked, in_link, in_head = 0, 0, False
 
     def flush() -> None:
         nonlocal linked
@@ -74,7 +84,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not in_head:
             piece = page[at:m.start()]
             pieces.append(piece)
             if in_link:
@@ -82,11 +92,20 @@ def leaf_blocks(page: str | None) -> list[Block]:
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if not tag:
-            if m["raw"]:
+            if m["raw"] or m["hidden"]:
                 pieces.append(" ")
             continue
         tag = tag.lower()
         closing = (m["close"] or m["close2"]) == "/"
+        if in_head:
+            # The closing tag of a head may be left out.
+            in_head = not (closing and tag == "head" or _PART.fullmatch(tag))
+            if in_head:
+                continue
+        elif tag == "head" and not closing:
+            flush()
+            in_head = True
+            continue
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if closing else 1
@@ -114,7 +133,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             del stack[k + 1:]
         if tag not in VOID and not (m["rest"] or m["rest2"] or "").rstrip().endswith("/"):
             stack.append((tag, _names(tag, m["rest"] or m["rest2"] or "")))
-    if at < len(page):
+    if at < len(page) and not in_head:
         pieces.append(page[at:])
     flush()
     return out

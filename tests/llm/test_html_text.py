@@ -29,6 +29,24 @@ def test_blocks_of_broken_markup():
     assert texts("<p>" * 3000 + "deep") == ["deep"]
 
 
+def test_unclosed_elements_end_at_the_next_part():
+    assert texts("<html><head><title>t</title><meta charset=u><body><p>x</p>") == ["x"]
+    assert texts("<head><script>'<p>no'</script><!-- <p>no --><style>p{}</style><h1>x</h1>y") == ["x", "y"]
+    assert texts("<head><title>t<p>x</head>") == ["x"]
+    assert texts("<head><noscript><div>no</div></noscript><title><p></title></head>x") == ["x"]
+    assert texts("<header>x</header><heading>y") == ["x", "y"]
+    for tag in ("title", "select", "svg", "noscript", "iframe", "canvas", "template", "textarea"):
+        assert texts(f"a<{tag} k='>'>no<b>no</b><div>x</div><p>y") == ["a", "x", "y"]
+        assert texts(f"a<{tag}><p>no</p></{tag}>b") == ["a b"]
+    assert texts("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b <object data=u>c</object> d") == ["a x=2 b c d"]
+    assert texts("<script>no<div>no</div>") == texts("<style>no<p>no") == []
+
+
+def test_long_heads_and_many_unclosed_elements_take_linear_time():
+    assert texts("<head>" + "<meta name=x>" * 100_000 + "<body>x") == ["x"]
+    assert texts("<p>x" + "<svg>" * 3000) == ["x"]
+
+
 def small_labeller():
     rng = random.Random(1)
     main = [" ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.randint(5, 40))) + "." for _ in range(80)]

@@ -47,10 +47,33 @@ SEEDS = {
 }
 _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+#: Marks outside ASCII: inverted marks, guillemets, quotes, dashes, dots, CJK and full-width ones.
+_MARKS = "¡¿«»·§¶‐‑‒–—―‘’‚‛“”„‟†‡•…‹›‼⁇⁈⁉、。〈〉《》「」『』【】！（），．：；？"
+_MARK_BYTES = [m.encode() for m in _MARKS]
+_ASCII_MARKS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[list(b".!?;:")] = True
 
 
+def _mark_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, last: bool) -> np.ndarray:
+    """Bytes of the mark that stands first (or last) in every span; 0 where none does or nothing else is left."""
+    out = np.zeros(len(start), np.int64)
+    edge = data[end - 1] if last else data[start]
+    out[_PUNCTUATION[edge]] = 1
+    wide = np.flatnonzero(edge >= 128)
+    if len(wide):
+        for mark in _MARK_BYTES:
+            n = len(mark)
+            some = wide[end[wide] - start[wide] > n]
+            at = end[some] - n if last else start[some]
+            same = np.ones(len(some), dtype=bool)
+            for k, byte in enumerate(mark):
+                same &= data[at + k] == byte
+            out[some[same]] = n
+    out[out >= end - start] = 0
+    return out
+
+
 class Acceptor:
     """Bytes of a word to its symbol: a trie with whole-word and stem ends as a transition table."""
 
@@ -78,11 +101,13 @@ class Acceptor:
     def symbols(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Symbol of every span, punctuation around it left out."""
         start, end = start.copy(), end.copy()
-        for _ in range(3):
-            lead = (start < end - 1) & _PUNCTUATION[data[start]]
-            start[lead] += 1
-            tail = (start < end - 1) & _PUNCTUATION[data[end - 1]]
-            end[tail] -= 1
+        left = np.arange(len(start))
+        while len(left):
+            lead = _mark_bytes(data, start[left], end[left], False)
+            start[left] += lead
+            tail = _mark_bytes(data, start[left], end[left], True)
+            end[left] -= tail
+            left = left[(lead > 0) | (tail > 0)]
         out = np.zeros(len(start), np.int8)
         alive = np.arange(len(start))
         state = np.zeros(len(start), np.int32)
@@ -216,7 +241,7 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             lowered = words.lower_ascii(np.frombuffer(text.encode(), np.uint8)).tobytes().decode()
-            seen = {w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in lowered.split()}
+            seen = {w.strip(_ASCII_MARKS + _MARKS) for w in lowered.split()}
             counts[toxic].update({w[:k] for w in seen for k in STEM_CHARS if len(w) >= k})
     stems = list(counts[0].keys() | counts[1].keys())
     yield pa.RecordBatch.from_arrays(

@@ -29,6 +29,12 @@ def test_composed_machine_tells_clauses_apart():
     assert label("") == label(None) == []
 
 
+def test_all_marks_around_a_word_are_left_out():
+    for text in ("....idiot", "<<<<moron", "trash!!!!", "¡idiot!", "«trash»", "(\"¿¡“trash”!!…»)", "¡¡¡¡¡trash"):
+        assert label(text) == [0], text
+    assert label("....") == label("¡¡¡") == label("»") == label("étrash") == []
+
+
 def test_compose_is_the_product():
     step, emit = tox.MACHINE
     assert step.shape == emit.shape == (1 * 4 * 2 * 5, 7)

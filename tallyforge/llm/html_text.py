@@ -23,8 +23,8 @@ from tallyforge.llm import words
 from tallyforge.llm.blocks import Block, leaf_blocks, made_page, weak_label
 from tallyforge.llm.common import table
 
-#: At most so many pages of the input, of at most so many characters, are fitted on.
-TRAIN_PAGES, TRAIN_CHARS = 300, 40_000
+#: At most so many pages of the input are fitted on, each of them whole.
+TRAIN_PAGES = 300
 MADE_PAGES = 900
 EPOCHS = 7
 PATH_BUCKETS, PATH_DIM = 2048, 16
@@ -237,7 +237,7 @@ def fit_labeller(pages: DataFrame, n_pages: int = TRAIN_PAGES, n_made: int = MAD
     chosen = (some_html.select(F.col("page_id").alias("chosen_id"), F.xxhash64("page_id").alias("chosen_hash"))
               .orderBy("chosen_hash", "chosen_id").limit(n_pages).distinct())
     sample = (some_html.join(F.broadcast(chosen), F.col("page_id").eqNullSafe(F.col("chosen_id")))
-              .select("chosen_hash", F.substring("html", 1, TRAIN_CHARS).alias("html")).limit(2 * n_pages).collect())
+              .select("chosen_hash", "html").limit(2 * n_pages).collect())
     sample = sorted(sample, key=lambda r: (r["chosen_hash"], r["html"]))
     own = [[(b, weak_label(b)) for b in leaf_blocks(r["html"])] for r in sample]
     own = [page for page in own if any(label for _, label in page)]

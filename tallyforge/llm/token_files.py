@@ -42,8 +42,13 @@ SHARD = ("part int, shard int, dictionary_hash string, first_doc_id long, n_docs
 
 
 def _sample_ids(docs: DataFrame, tokenizer_path: str) -> list[bytes]:
-    sample = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).filter("text <> ''").limit(SAMPLE_DOCS)
-    texts = [r["text"] for r in sample.collect()]
+    # Ids are chosen first, by their hashes, so that no task sends more texts than the sample has.
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    some = some.filter("text <> ''")
+    chosen = (some.select(F.col("doc_id").alias("chosen_id"), F.xxhash64("doc_id").alias("h"))
+              .orderBy("h", "chosen_id").limit(SAMPLE_DOCS).distinct())
+    sample = some.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen_id"))).select("h", "text")
+    texts = [r["text"] for r in sample.orderBy("h", "text").limit(SAMPLE_DOCS).collect()]
     encoder = UnitEncoder.get(tokenizer_path)
     width = id_width(encoder)
     out = []

@@ -118,3 +118,11 @@ def test_driver_pages_equal_their_articles(spark):
         right += got[page_id] == want
     assert right >= 0.99 * len(pages)
     assert all(weak_label(b) in (0, 1) for b in leaf_blocks(pages[0][1]))
+
+
+def test_sampled_pages_are_fitted_on_whole(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ht, "leaf_blocks", lambda page: seen.append(page) or leaf_blocks(page))
+    page = "<article><p>" + "word " * 12_000 + "</p></article><footer>end</footer>"
+    ht.fit_labeller(spark.createDataFrame([(1, "u", page, 1, "x")], SCHEMA), n_made=2)
+    assert seen == [page]

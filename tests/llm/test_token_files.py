@@ -71,3 +71,11 @@ def test_ids_are_those_of_the_library_call(path):
     for _, ids, count in UnitEncoder(path()).slices(pa.array(texts, pa.string())):
         got += [part.tolist() for part in np.split(ids, np.cumsum(count)[:-1])]
     assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_dictionary_sample_does_not_depend_on_the_order_of_files(spark, monkeypatch):
+    monkeypatch.setattr(tf, "SAMPLE_DOCS", 20)
+    docs = spark.createDataFrame(rows_of([(i, f"text {i} of source {i // 100}") for i in range(300)]), SCHEMA)
+    first = tf._sample_ids(docs, tf.word_tokenizer())
+    assert len(first) == 20
+    assert first == tf._sample_ids(docs.orderBy(F.desc("doc_id")), tf.word_tokenizer())

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import (html_text, jaccard, masked_lm, mixing, mtree, neighbour_graph, packing, substrings,
-                            token_files, toxicity)
+from tallyforge.llm import (byte_bpe, html_text, jaccard, masked_lm, mixing, mtree, neighbour_graph, packing, substrings,
+                            token_files, toxicity, whitening)
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_masked_lm": masked_lm.op8_masked_lm,
     "op9_pack": packing.op9_pack,
     "op10_token_files": token_files.op10_token_files,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 
 ORACLE = {

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import (byte_bpe, html_text, jaccard, masked_lm, mixing, mtree, neighbour_graph, packing, substrings,
-                            token_files, toxicity, whitening)
+from tallyforge.llm import (byte_bpe, collocations, html_text, jaccard, masked_lm, mixing, mtree, neighbour_graph,
+                            packing, substrings, token_files, toxicity, whitening)
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_masked_lm": masked_lm.op8_masked_lm,
     "op9_pack": packing.op9_pack,
     "op10_token_files": token_files.op10_token_files,
+    "op11_collocations": collocations.op11_collocations,
     "op12_whitening": whitening.op12_whitening,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
@@ -25,4 +26,5 @@ ORACLE = {
     "op2_jaccard": jaccard.SQL,
     "op3_mtree": mtree.SQL,
     "op4_mix": mixing.SQL,
+    "op11_collocations": collocations.SQL,
 }

@@ -13,6 +13,7 @@ import base64
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -107,40 +108,57 @@ class ByteBpe:
         self.token_of = {rank: from_letters(self.model.id_to_piece(i)) for i, (rank, _) in enumerate(ranks)}
         # A match that is a token is that token, also where merging does not lead to it.
         texts = [as_letters(token) for _, token in ranks]
-        self.whole = {text: rank for (rank, _), text, got in zip(ranks, texts, self.model.encode(texts))
-                      if len(got) != 1}
+        reached = self.model.encode(texts, num_threads=1)
+        self.whole = {text: i for i, (text, got) in enumerate(zip(texts, reached)) if len(got) != 1}
         self.known: dict[str, bytes] = {}
         self.known_chars = 0
 
-    def _learn(self, matches: list[str]) -> dict[str, bytes]:
-        """The ids of new matches; short ones are remembered."""
+    def _learn(self, matches: list[str]) -> None:
+        """Add the ids of new matches to the known ones, all by one call of the model."""
         texts = [as_letters(m.encode()) for m in matches]
-        found = {}
-        for match, text, pieces in zip(matches, texts, self.model.encode(texts)):
-            ids = self.rank_of[pieces] if text not in self.whole else np.array([self.whole[text]], "<i4")
-            if (ids < 0).any():
-                raise ValueError("the rank file lacks a byte that the texts hold")
-            found[match] = ids.tobytes()
-            if len(match) <= LONGEST_REMEMBERED:
-                self.known[match] = found[match]
-                self.known_chars += len(match)
-        return found
+        pieces = self.model.encode(texts, num_threads=1)
+        for at, text in enumerate(texts if self.whole else ()):
+            if text in self.whole:
+                pieces[at] = [self.whole[text]]
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids = self.rank_of[np.fromiter(chain.from_iterable(pieces), np.int64, int(size.sum()))]
+        if (ids < 0).any():
+            raise ValueError("the rank file lacks a byte that the texts hold")
+        raw, ends = ids.tobytes(), (4 * np.cumsum(size)).tolist()
+        self.known.update(zip(matches, (raw[a:b] for a, b in zip([0, *ends], ends))))
+        self.known_chars += sum(map(len, matches))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text, as 32-bit numbers."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, str]] = []
+        size = 0
+        for at, text in enumerate(texts):
+            for part in _parts(text):
+                held.append((at, part))
+                size += len(part)
+                if size >= CUT_CHARS:
+                    self._encode_parts(held, out)
+                    held, size = [], 0
+        self._encode_parts(held, out)
+        return [np.frombuffer(b"".join(ids), "<i4") for ids in out]
+
+    def _encode_parts(self, parts: list[tuple[int, str]], out: list[list[bytes]]) -> None:
+        matches = [self.pattern.findall(part) for _, part in parts]
+        if self.known_chars > REMEMBERED_CHARS:
+            self.known, self.known_chars = {}, 0
+        new = list(set().union(*matches).difference(self.known))
+        if new:
+            self._learn(new)
+        for (at, _), found in zip(parts, matches):
+            out[at].append(b"".join(map(self.known.__getitem__, found)))
+        for match in new:
+            if len(match) > LONGEST_REMEMBERED:
+                del self.known[match]
+                self.known_chars -= len(match)
 
     def encode(self, text: str) -> np.ndarray:
-        """The ids of a text, as 32-bit numbers."""
-        out = []
-        for part in _parts(text):
-            matches = self.pattern.findall(part)
-            if self.known_chars > REMEMBERED_CHARS:
-                self.known, self.known_chars = {}, 0
-            new = set(matches).difference(self.known)
-            if not new:
-                out.append(b"".join(map(self.known.__getitem__, matches)))
-                continue
-            learnt = self._learn(list(new))
-            known = self.known
-            out.append(b"".join([known[m] if m in known else learnt[m] for m in matches]))
-        return np.frombuffer(b"".join(out), "<i4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids, by the letters of their pieces."""
@@ -185,7 +203,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, decode: bool = True) -> Da
         bpe = coder(path, pattern)
         for batch in batches:
             for low, texts in _slices(batch.column(1)):
-                ids = [bpe.encode(t or "") for t in texts]
+                ids = bpe.encode_all([t or "" for t in texts])
                 ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 raw = [bpe.decode(i) if decode else None for i in ids]
                 yield pa.RecordBatch.from_arrays(

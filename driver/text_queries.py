@@ -10,7 +10,8 @@ from driver import fixtures as fx
 from driver.registry import checked, iso
 from tallyforge.functions.text import with_text
 from tallyforge.operators import conversations as conv
-from tallyforge.operators import documents, segments
+from tallyforge.operators import documents, search_index, segments
+from tallyforge.session import checkpoint_root
 from tallyforge.sources import tables
 
 # White space as in strip(), for the other engine's regular expressions.
@@ -151,7 +152,7 @@ def filing_sections(spark, sf_dir):
 
 # ---- search -----------------------------------------------------------------------
 
-@checked(f"""with {_DOC_CHUNKS},
+_SEARCH = f"""with {_DOC_CHUNKS},
 dated as (select *, cast(date '2020-01-01' + cast(doc_id % 1000 as int) as varchar) as filing_date,
           lower(chunk_text) as low from chunks),
 asked as (select item_id as request_id, 'src' || cast(item_id % 20 as varchar) as source,
@@ -163,20 +164,92 @@ select request_id, row_number() over (partition by request_id
          order by score desc, filing_date desc, chunk_id, doc_id) as rank,
        filing_date, cast(score as bigint) as score, doc_id, cast(chunk_id as bigint) as chunk_id,
        substr(chunk_text, 1, 1200) as excerpt
-from scored where score > 0 qualify rank <= 6""")
-def keyword_search(spark, sf_dir):
-    """Whole benchmark texts as queries over the chunks of one source each."""
-    requests = fx.table(spark, sf_dir, "benchmark").select(
+from scored where score > 0 qualify rank <= 6"""
+
+
+def _search_requests(spark, sf_dir):
+    return fx.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("request_id"),
         F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("ticker"),
         F.col("text").alias("query"))
-    found = documents.search_passages(requests, _document_chunks(spark, sf_dir))
-    return iso(found.select(
+
+
+def _found(rows):
+    return iso(rows.select(
         "request_id", "rank", "filing_date", "score",
         F.col("accession_number").cast("bigint").alias("doc_id"),
         F.col("chunk_id").cast("bigint").alias("chunk_id"), "excerpt"))
 
 
+@checked(_SEARCH)
+def keyword_search(spark, sf_dir):
+    """Whole benchmark texts as queries over the chunks of one source each."""
+    return _found(documents.search_passages(_search_requests(spark, sf_dir), _document_chunks(spark, sf_dir)))
+
+
+def _indexed(spark, sf_dir):
+    """A new index of all chunks, asked for the first two and the last three words of every benchmark text,
+    and for one word cut to two characters."""
+    index = search_index.SearchIndex(f"{checkpoint_root(spark)}/run-{uuid.uuid4().hex}/search")
+    index.build(_document_chunks(spark, sf_dir), buckets=8)
+    asked = _search_requests(spark, sf_dir)
+    words = F.split("query", " ")
+    short = F.concat_ws(" ", F.slice(words, 1, 2), F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), 3),
+                        F.substring(F.get(words, 2), 1, 2))
+    return search_index.search(asked.withColumn("query", short), index)
+
+
+_ASKED_FEW = """asked as (select item_id as request_id, 'src' || cast(item_id % 20 as varchar) as source,
+          list_filter(string_split(lower(array_to_string(q[1:2] || q[greatest(len(q) - 2, 1):greatest(len(q) - 2, 1) + 2], ' ')
+            || case when len(q) > 2 then ' ' || substr(q[3], 1, 2) else '' end), ' '), lambda w: w <> '') as words
+          from (select item_id, string_split(text, ' ') as q from benchmark)),"""
+_ASKED_ALL = _SEARCH[_SEARCH.index("asked as"):_SEARCH.index("scored as")]
+
+
+@checked(_SEARCH.replace(_ASKED_ALL, _ASKED_FEW + "\n"))
+def indexed_search(spark, sf_dir):
+    """Keyword search through the index of character grams."""
+    return _found(_indexed(spark, sf_dir)[0])
+
+
+def _grams(text: str, n: str) -> str:
+    return f"list_transform(range(1, length({text}) - {n} + 2), lambda i: substr({text}, i, {n}))"
+
+
+@checked(f"""with {_DOC_CHUNKS},
+dated as (select *, cast(date '2020-01-01' + cast(doc_id % 1000 as int) as varchar) as filing_date,
+          lower(chunk_text) as low from chunks),
+{_ASKED_FEW}
+each as (select request_id, source, word, count(*) as times
+         from (select request_id, source, unnest(words) as word from asked) group by all),
+posted as (select source, doc_id, chunk_id, unnest(list_distinct({_grams('low', '1')} || {_grams('low', '2')}
+           || {_grams('low', '3')})) as gram from dated),
+counts as (select source, gram, count(*) as n_chunks from posted group by all),
+need as (select source, word, unnest(g) as gram, len(g) as n_need from (
+  select source, word, list_distinct({_grams('word', 'least(length(word), 3)')}) as g
+  from (select distinct source, word from each))),
+rare as (select source, word, min({{'n': n_chunks, 'g': gram}}).g as gram from need join counts using (source, gram)
+         group by source, word having count(*) = max(n_need)),
+bounded as (
+  select request_id, p.source, p.doc_id, p.chunk_id, sum(times) as bound, count(*) as lists
+  from posted p join rare r using (source, gram) join each e on e.source = r.source and e.word = r.word group by all),
+scored as (
+  select b.*, filing_date, len(list_filter(a.words, lambda w: contains(low, w))) as score
+  from bounded b join dated d on d.doc_id = b.doc_id and d.chunk_id = b.chunk_id join asked a using (request_id)),
+early as (
+  select *, row_number() over (partition by request_id order by bound desc, filing_date desc, chunk_id, doc_id) <= 24 as first
+  from scored),
+last as (select request_id, score as s, filing_date as d, chunk_id as c, doc_id as i from early where first and score > 0
+         qualify row_number() over (partition by request_id order by score desc, filing_date desc, chunk_id, doc_id) = 6)
+select request_id, cast(sum(lists) as bigint) as posted, count(*) as candidates,
+       count(*) filter (where first or s is null or bound > s or bound = s and (filing_date > d or filing_date = d
+         and (chunk_id < c or chunk_id = c and doc_id < i))) as verified
+from early left join last using (request_id) group by request_id""")
+def indexed_search_cost(spark, sf_dir):
+    """List entries, candidate chunks and texts read per request."""
+    return _indexed(spark, sf_dir)[1]
+
+
 # ---- segments -----------------------------------------------------------------------
 
 _AXIS_P, _AXIS_S = segments.AXES

@@ -93,7 +93,8 @@ def _request_batches(requests: DataFrame, batch: int) -> DataFrame:
     request refers to its words by their position in the batch's vocabulary.
     """
     asked = requests.select("request_id", F.upper("ticker").alias("ticker"),
-                            query_words(F.col("query")).alias("words"))
+                            # A request without a query has no words; null would empty its batch.
+                            query_words(F.coalesce("query", F.lit(""))).alias("words"))
     sizes = asked.groupBy("ticker").agg(F.ceil(F.count(F.lit(1)) / batch).alias("_n"))
     batches = (asked.join(sizes, "ticker")
                .withColumn("_batch", F.pmod(F.xxhash64("request_id"), F.col("_n")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.text import (CHUNK_TARGET, chunk_text, extract_section, let,
                                        query_words, with_text)
-from tallyforge.operators.segments import segment_array, unpack_segments
+from tallyforge.operators.segments import segment_entries, unpack_segments
 
 TOP_PASSAGES = 6
 EXCERPT_CHARS = 1200
@@ -59,7 +59,7 @@ def document_results(filing_docs: DataFrame) -> DataFrame:
     Segments are taken from the newest filing of a company only.
     """
     section = extract_section(F.col("text"), F.col("form"))
-    segments = F.when(F.col("filing_rank") == 1, segment_array(F.col("html")))
+    segments = F.when(F.col("filing_rank") == 1, segment_entries(F.col("html")))
     return with_text(filing_docs, "html").select(
         *_MDNA_KEYS, section.alias("mdna_text"), segments.alias("segments"))
 

@@ -1,12 +1,16 @@
 """Segment revenue from inline markup, one map over each document.
 
-Contexts and facts of a document are arrays in its row; the context join is a
-map lookup.  Nothing is shuffled, and a document's facts never leave its task.
+Contexts and facts of a document are arrays in its row.  A small document joins
+them there and yields its segments.  Looking up an array or a map is a scan, so
+in a large document that would take time with the product of both; it yields
+its contexts and facts instead, which are joined by key.  The rules of that
+join leave the segments of small documents as they are, so all documents take
+one way, and the markup is parsed once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import let, strip
@@ -24,6 +28,9 @@ AXES = ["srt:ProductOrServiceAxis", "us-gaap:StatementBusinessSegmentsAxis"]
 NUMBER = r"\A(\d+(?:\.\d+)?)\z"
 MIN_DAYS, MAX_DAYS = 340, 390
 
+#: Contexts times facts, above which a document's entries are joined by key.
+LARGE = 10_000
+
 
 def _all(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -118,27 +125,60 @@ def _choose(rows: Column) -> Column:
     return let(picked, _first_per_member)
 
 
-def segment_array(markup: Column) -> Column:
-    """Segments of a document: annual facts of the newest period end, on the first
-    axis with data, the first fact of a member."""
-    parsed = F.struct(_contexts(markup).alias("contexts"), _facts(markup).alias("facts"))
-    return let(parsed, lambda p: let(_joined(p["contexts"], p["facts"]), _choose))
+def _entry(done: bool, at: Column, id_: Column, context: Column, value: Column) -> Column:
+    return F.struct(
+        F.lit(done).alias("done"), at.cast("int").alias("at"), id_.alias("id"),
+        F.struct(*[context[c].alias(c) for c in ("axis", "member", "start", "end")]).alias("c"), value.alias("value"))
 
 
-def unpack_segments(rows: DataFrame, segments: Column, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, axis, member, label, value, period_start, period_end)."""
-    return (rows.select(*keys, F.explode(segments).alias("s"))
-            .select(*keys, F.col("s.c.axis").alias("axis"), F.col("s.c.member").alias("member"),
-                    pretty_member(F.col("s.c.member")).alias("label"),
-                    F.col("s.value").alias("value"), F.col("s.c.start").alias("period_start"),
-                    F.col("s.c.end").alias("period_end")))
+def _raw(contexts: Column, facts: Column) -> Column:
+    """Contexts (without a value) and facts (without a context), numbered in document order."""
+    none = F.struct(*[F.lit(None).cast(kind).alias(name) for name, kind in (
+        ("axis", "string"), ("member", "string"), ("start", "date"), ("end", "date"))])
+    return F.concat(
+        F.transform(contexts, lambda c, i: _entry(False, i, c["id"], c, F.lit(None).cast("double"))),
+        F.transform(facts, lambda f, i: _entry(False, i, f["cid"], none, f["value"])))
 
 
-def segment_revenue(docs: DataFrame, markup: str, keys: tuple[str, ...]) -> DataFrame:
+def segment_entries(markup: Column, large: int = LARGE) -> Column:
+    """What a document yields: its segments, or the contexts and facts of a large one, for ``unpack_segments``."""
+    parsed = F.struct(_contexts(markup).alias("contexts"), _facts(markup).alias("facts"))
+    few = lambda p: F.size(p["contexts"]).cast("bigint") * F.size(p["facts"]) <= large
+    return let(parsed, lambda p: F.when(few(p), F.transform(
+        let(_joined(p["contexts"], p["facts"]), _choose),
+        lambda x, i: _entry(True, i, F.lit(None).cast("string"), x["c"], x["value"])))
+        .otherwise(_raw(p["contexts"], p["facts"])))
+
+
+def unpack_segments(rows: DataFrame, entries: Column, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, axis, member, label, value, period_start, period_end).
+
+    Annual facts of the newest period end, on the first axis with data, the
+    first fact of a member; a context id used twice keeps its last definition.
+    The entries of a document meet in one task, where windows sort them.
+    """
+    numbered = rows.withColumn("_document", F.monotonically_increasing_id())
+    entry = numbered.select(*keys, "_document", F.explode(entries).alias("e")).select(*keys, "_document", "e.*")
+    entry = entry.repartition("_document")
+    same_id, document = Window.partitionBy("_document", "id"), Window.partitionBy("_document")
+    context = F.max_by("c", F.when(~F.col("done") & F.col("value").isNull(), F.col("at"))).over(same_id)
+    facts = entry.withColumn("c", F.when(F.col("done"), F.col("c")).otherwise(context)).filter("value IS NOT NULL")
+    annual = facts.filter(F.datediff("c.end", "c.start").between(MIN_DAYS, MAX_DAYS))
+    newest = (annual.withColumn("_newest", F.max("c.end").over(document)).filter(F.col("c.end") == F.col("_newest"))
+              .withColumn("_first_axis", F.max(F.col("c.axis") == AXES[0]).over(document))
+              .filter((F.col("c.axis") == AXES[0]) == F.col("_first_axis")))
+    member = Window.partitionBy("_document", "c.member").orderBy("at")
+    return (newest.withColumn("_rn", F.row_number().over(member)).filter("_rn = 1")
+            .select(*keys, F.col("c.axis").alias("axis"), F.col("c.member").alias("member"),
+                    pretty_member(F.col("c.member")).alias("label"), "value",
+                    F.col("c.start").alias("period_start"), F.col("c.end").alias("period_end")))
+
+
+def segment_revenue(docs: DataFrame, markup: str, keys: tuple[str, ...], large: int = LARGE) -> DataFrame:
     """Segment rows per document; documents without segments give none."""
     # Exploded as an expression: of an exploded column Spark would infer a filter
     # and push it below the extraction, which would then run twice.
-    return unpack_segments(docs, segment_array(F.col(markup)), keys)
+    return unpack_segments(docs, segment_entries(F.col(markup), large), keys)
 
 
 def ordered_segments(segments: DataFrame, *keys: str) -> DataFrame:

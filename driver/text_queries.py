@@ -369,16 +369,37 @@ def context_window(spark, sf_dir):
 
 
 @checked(f"""with {_SPOKEN} select conv_id, turn, cast(0 as bigint) as pos, cid || '-1' as call_id,
-  'get_statements' as name, 'S' || n as p_ticker, cast(2 as bigint) as n_arguments, '[]' as result from spoken where calls
+  'get_statements' as name, 'S' || n as p_ticker, cast(2 as bigint) as n_arguments, '[]' as result, 'ok' as status
+from spoken where calls
 union all
 select conv_id, turn, 1, cid || '-2', 'search_mdna', null,
-  case when n % 3 = 0 then 0 else 1 end, '[1]' from spoken where calls""")
+  case when n % 3 = 0 then 0 else 1 end, '[1]', case when n % 3 = 0 then 'unreadable' else 'ok' end
+from spoken where calls""")
 def audit_trail(spark, sf_dir):
     trail = conv.audit_trail(_turns(spark, sf_dir))
     return trail.select(
         "conv_id", "turn", "pos", "call_id", "name",
         F.upper(F.trim(F.try_element_at("arguments", F.lit("p_ticker")))).alias("p_ticker"),
-        F.size("arguments").cast("bigint").alias("n_arguments"), "result")
+        F.size("arguments").cast("bigint").alias("n_arguments"), "result", "status")
+
+
+@checked(f"""with {_SPOKEN}
+select conv_id, turn, pos, case when turn < last then null else '[' || pos || ']' end as result,
+       case when turn < last then 'unanswered' when pos = 1 and n % 3 = 0 then 'unreadable' else 'ok' end as status
+from (select *, max(turn) over (partition by conv_id) as last from spoken where calls), (values (0::bigint), (1)) p(pos)""")
+def repeated_calls(spark, sf_dir):
+    """All calls of a conversation use one id; only the last turn that calls gets its two results."""
+    said = _turns(spark, sf_dir).filter(F.col("tool_calls").isNotNull())
+    one = F.regexp_replace("tool_calls", '"id":"[^"]*"', '"id":"same"')
+    last = said.groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    none = F.lit(None).cast("string")
+    results = last.select(
+        "conv_id", (F.col("turn") + 1).alias("turn"), F.lit("tool").alias("role"),
+        F.explode(F.array(F.lit("[0]"), F.lit("[1]"), F.lit("[2]"))).alias("text"), none.alias("tool_calls"),
+        F.lit("same").alias("tool_call_id"))
+    ordered = results.withColumn("turn", F.col("turn") + F.substring("text", 2, 1).cast("bigint"))
+    trail = conv.audit_trail(said.withColumn("tool_calls", one).unionByName(ordered))
+    return trail.select("conv_id", "turn", "pos", "result", "status")
 
 
 @checked(f"""with {_SPOKEN} select conv_id, cast(2 * count(*) filter (where calls) as bigint) as n_tool_calls,

@@ -62,25 +62,51 @@ def content_text(content: Column) -> Column:
 
 
 def tool_calls(turns: DataFrame) -> DataFrame:
-    """One row per call: (conv_id, turn, pos, call_id, name, arguments map)."""
+    """One row per call: (conv_id, turn, pos, call_id, name, arguments map); null arguments are unreadable."""
     calls = turns.filter(F.col("tool_calls").isNotNull()).select(
         "conv_id", "turn", F.posexplode(F.from_json("tool_calls", CALLS)).alias("pos", "c"))
-    arguments = F.from_json(F.col("c.function.arguments"), "map<string, string>")
+    written = F.coalesce(F.nullif(F.col("c.function.arguments"), F.lit("")), F.lit("{}"))
+    arguments = F.from_json(written, "map<string, string>")
     return calls.select(
         "conv_id", "turn", F.col("pos").cast("bigint").alias("pos"),
         F.col("c.id").alias("call_id"), F.col("c.function.name").alias("name"),
-        F.coalesce(arguments, F.create_map().cast("map<string, string>")).alias("arguments"))
+        arguments.alias("arguments"))
 
 
 def audit_trail(turns: DataFrame) -> DataFrame:
     """Every call with its arguments and result; unreadable arguments are empty.
 
-    The join key is (conversation, call id), so a long conversation is spread.
+    Calls and results of one id are matched by their places in the
+    conversation: the results that follow the calls of a turn, before the next
+    turn with calls, answer these calls in their order.  An id that is used again, and a result that comes
+    twice or too early, repeat no call.  ``status`` tells how a call went: ``ok``,
+    ``error`` (its result is a JSON object with an ``error``), ``unanswered``, or
+    ``unreadable`` (its arguments are no JSON object).  The matching is by windows
+    over (conversation, id), so a long conversation is spread.
     """
-    results = turns.filter(F.col("role") == "tool").select(
+    calls = tool_calls(turns).select(
+        "conv_id", "call_id", F.struct("turn", "pos").alias("at"), F.lit(True).alias("is_call"),
+        F.struct("turn", "pos", "name", "arguments").alias("call"), F.lit(None).cast("string").alias("result"))
+    results = turns.filter((F.col("role") == "tool") & F.col("tool_call_id").isNotNull()).select(
         "conv_id", F.col("tool_call_id").alias("call_id"),
+        # A result in the turn of a call follows it.
+        F.struct("turn", F.lit(2**31).cast("bigint").alias("pos")).alias("at"), F.lit(False).alias("is_call"),
+        F.lit(None).cast(calls.schema["call"].dataType).alias("call"),
         F.coalesce(F.nullif("text", F.lit("")), F.lit("[]")).alias("result"))
-    return tool_calls(turns).join(results, ["conv_id", "call_id"], "left")
+    by_place = Window.partitionBy("conv_id", "call_id").orderBy("at")
+    before = F.lag(F.when(F.col("is_call"), F.col("at.turn"))).over(by_place)
+    starts = F.col("is_call") & ~F.coalesce(before == F.col("at.turn"), F.lit(False))
+    rounds = (calls.unionByName(results).withColumn("_starts", starts.cast("int"))
+              .withColumn("_round", F.sum("_starts").over(by_place.rowsBetween(Window.unboundedPreceding, 0))))
+    nth = Window.partitionBy("conv_id", "call_id", "_round", "is_call").orderBy("at")
+    met = (rounds.withColumn("_nth", F.row_number().over(nth)).groupBy("conv_id", "call_id", "_round", "_nth")
+           .agg(F.first("call", True).alias("call"), F.first("result", True).alias("result")).filter(F.col("call").isNotNull()))
+    failed = F.try_variant_get(F.try_parse_json("result"), "$.error", "string").isNotNull()
+    return met.select(
+        "conv_id", "call.turn", "call.pos", "call_id", "call.name",
+        F.coalesce("call.arguments", F.create_map().cast("map<string, string>")).alias("arguments"), "result",
+        F.when(F.col("result").isNull(), "unanswered").when(failed, "error")
+        .when(F.col("call.arguments").isNull(), "unreadable").otherwise("ok").alias("status"))
 
 
 def conversation_summary(turns: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.top import top_per_key
+
 KEPT_ROWS = 1260        # five years of trading days
 MIN_PRIMARY_ROWS = 10
 
@@ -24,13 +26,13 @@ def choose_source(prices: DataFrame, primary: str, secondary: str) -> DataFrame:
 
 
 def recent_prices(prices: DataFrame, kept: int = KEPT_ROWS) -> DataFrame:
-    """The newest ``kept`` rows per ticker; surplus rows are cut before the shuffle.
+    """The newest ``kept`` rows per ticker; ``rank_from_newest`` is 1 on the newest row.
 
-    ``rank_from_newest`` is 1 on the newest row.
+    The rows of a ticker are dealt to parts by date and cut there first, so a
+    ticker with most of the quotes is not sorted by one task.
     """
-    newest = Window.partitionBy("ticker").orderBy(F.col("date").desc(), F.col("close").desc())
-    return (prices.withColumn("rank_from_newest", F.row_number().over(newest))
-            .filter(F.col("rank_from_newest") <= kept))
+    return top_per_key(prices, ["ticker"], [F.col("date").desc(), F.col("close").desc()], kept,
+                       "rank_from_newest", deal_by=["date"])
 
 
 def latest_shares(shares: DataFrame) -> DataFrame:

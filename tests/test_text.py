@@ -230,11 +230,30 @@ def test_audit_trail_and_summary(spark):
     trail = {r.call_id: r for r in conv.audit_trail(df).collect()}
     assert trail["c1"].arguments == {"p_ticker": " aapl "} and trail["c1"].result == "[1]"
     assert trail["c2"].arguments == {} and trail["c2"].result == "[]" and trail["c2"].pos == 1
+    assert (trail["c1"].status, trail["c2"].status) == ("ok", "unreadable")
     summary = {r.conv_id: r for r in conv.conversation_summary(df).collect()}
     assert (summary[1].n_tool_calls, summary[1].focus_ticker) == (2, "AAPL")
     assert (summary[2].n_tool_calls, summary[2].focus_ticker) == (0, None)
 
 
+def test_calls_with_repeated_ids_are_matched_in_order(spark):
+    def call(*ids):
+        return "[" + ",".join(f'{{"id":"{i}","function":{{"name":"f{k}","arguments":""}}}}'
+                              for k, i in enumerate(ids)) + "]"
+
+    rows = [(1, 0, "tool", "early", None, "a"), (1, 1, "assistant", "", call("a", "a", "b"), None),
+            (1, 2, "tool", "a1", None, "a"), (1, 3, "tool", "a2", None, "a"), (1, 4, "tool", "a again", None, "a"),
+            (1, 5, "assistant", "", call("a"), None), (1, 6, "assistant", "", call("a"), None),
+            (1, 7, "tool", '{"error": "no such company"}', None, "a"), (1, 8, "tool", "no id", None, None),
+            (2, 1, "assistant", "", '[{"function":{"name":"f0","arguments":"{}"}}]', None),
+            (2, 2, "tool", "other conversation", None, "b")]
+    trail = conv.audit_trail(spark.createDataFrame(rows, TURNS)).collect()
+    got = sorted((r.conv_id, r.turn, r.pos, r.call_id or "", r.result, r.status) for r in trail)
+    assert got == [(1, 1, 0, "a", "a1", "ok"), (1, 1, 1, "a", "a2", "ok"), (1, 1, 2, "b", None, "unanswered"),
+                   (1, 5, 0, "a", None, "unanswered"), (1, 6, 0, "a", '{"error": "no such company"}', "error"),
+                   (2, 1, 0, "", None, "unanswered")]
+
+
 @pytest.mark.parametrize("raw, want", [
     (None, ""), ('"plain"', "plain"), ('"[1, 2]"', "[1, 2]"), ('"[]"', "[]"), ("12", "12"), ('{"a":1}', '{"a":1}'),
     ('["a", {"type":"text","text":"b"}, {"type":"reasoning","text":"no"}, {"text":"c"}, {"text":5}, {"text":""}]',

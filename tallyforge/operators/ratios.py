@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Balances averaged over two periods; the current value if there is no prior one.
@@ -49,6 +49,7 @@ RATIO_COLUMNS = [
     "dupont_equity_multiplier", "dupont_roe_check", "dso_days", "dio_days", "dpo_days",
     "cash_conversion_cycle_days", "ocf_to_net_income", "free_cash_flow", "fcf_margin",
     "accruals_ratio", *[f"{item}_growth" for item in GROWTH]]
+RATIO_SCHEMA = "ticker STRING, period_end DATE, " + ", ".join(f"{name} DOUBLE" for name in RATIO_COLUMNS)
 
 
 def with_ratios(wide: DataFrame, keys: tuple[str, ...] = ("ticker",),
@@ -86,8 +87,14 @@ def with_prior_margin(ratios: DataFrame) -> DataFrame:
     return ratios.withColumn("prior_gross_margin", F.lag("gross_margin").over(prior_row))
 
 
+def dupont_metrics(tolerance: float = 1e-6) -> dict[str, Column]:
+    """Aggregates over ratio rows: rows checked, the largest gap, and whether the DuPont product equals ROE."""
+    gap = F.max(F.abs(F.col("dupont_roe_check") - F.col("roe")))
+    return {"n_checked": F.count("dupont_roe_check"), "dupont_gap": gap,
+            "dupont_ok": F.coalesce(gap < tolerance, F.lit(True))}
+
+
 def dupont_audit(ratios: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """One row: does the DuPont product equal ROE on every row?"""
-    gap = F.max(F.abs(F.col("dupont_roe_check") - F.col("roe")))
-    return ratios.agg(F.count("dupont_roe_check").alias("n_checked"),
-                      F.coalesce(gap < tolerance, F.lit(True)).alias("dupont_ok"))
+    metrics = dupont_metrics(tolerance)
+    return ratios.agg(*[metrics[name].alias(name) for name in ("n_checked", "dupont_ok")])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge import schemas
@@ -13,12 +13,13 @@ from tallyforge.operators import documents as docs_ops
 from tallyforge.operators import registry
 from tallyforge.operators.facts import ANNUAL, QUARTERLY, FormSpec
 from tallyforge.operators.flags import red_flags
-from tallyforge.operators.ratios import compute_ratios, dupont_audit, with_prior_margin
+from tallyforge.operators.ratios import RATIO_SCHEMA, compute_ratios, dupont_metrics, with_prior_margin
 from tallyforge.operators.statements import build_statements, to_wide
 from tallyforge.session import checkpoint_root
 from tallyforge.sources import landing
-from tallyforge.sources.tables import (drop_path, read_table, replace_by_key, row_counts, staged,
-                                       write_table)
+from tallyforge.sources.tables import (drop_path, metrics_of, observed, read_table, replace_by_key, row_counts, rows_of,
+                                       staged, write_table)
+from tallyforge.streaming.ingest import changes_path, record_changes
 
 
 BRONZE = {"xbrl_facts": schemas.FACTS, "companies": schemas.COMPANIES,
@@ -87,38 +88,82 @@ def ingest(spark: SparkSession, store: Store, landed: str, run_time: str,
     replace(docs_ops.segments_of(results), "segment_revenue")
     write_table(row_counts({name: read_table(spark, store.path("bronze", name), ddl)
                             for name, ddl in BRONZE.items()}), store.path("bronze", "row_counts"))
+    record_changes(tickers, store.path("bronze", "xbrl_facts"), run)
     for name in ("facts", "before", "filings", "documents"):
         drop_path(spark, f"{checkpoint_root(spark)}/staged/{run}-{name}")
     return companies.select("ticker")
 
 
-def build_silver(spark: SparkSession, store: Store, annual: FormSpec = ANNUAL,
-                 quarterly: FormSpec = QUARTERLY) -> None:
-    """Statements of both forms in one pass over the facts, then the wide tables."""
-    facts = read_table(spark, store.path("bronze", "xbrl_facts"), schemas.FACTS)
-    tidy = build_statements(facts, [annual, quarterly])
-    # Sub-folders by form; the two tables of the data model are its partitions.
-    (tidy.write.mode("overwrite").option("partitionOverwriteMode", "static")
-     .partitionBy("form").parquet(store.path("silver", "statements_by_form")))
-    write_table(to_wide(statements(spark, store, annual.form)),
-                store.path("silver", "statements_wide"))
-    write_table(to_wide(statements(spark, store, quarterly.form)),
-                store.path("silver", "statements_wide_q"))
-    mdna = read_table(spark, store.path("bronze", "mdna"), schemas.MDNA)
-    write_table(docs_ops.chunk_table(mdna), store.path("silver", "mdna_chunks"))
+def pending_changes(spark: SparkSession, store: Store) -> tuple[DataFrame, DataFrame]:
+    """(runs, tickers) of ingestions that silver and gold do not show yet."""
+    changes = read_table(spark, changes_path(store.path("bronze", "xbrl_facts")), schemas.CHANGES)
+    applied = read_table(spark, store.path("gold", "applied_runs"), "run STRING")
+    new = staged(changes.join(applied, "run", "left_anti").select("run", "ticker"), f"{uuid.uuid4().hex}-changes")
+    return new.select("run").distinct(), new.select("ticker").distinct()
+
+
+def refresh(spark: SparkSession, store: Store) -> int:
+    """Bring silver and gold up to date; only the companies that changed are read and rebuilt.
+
+    Returns how many there were.  Runs are marked last, so an interrupted
+    refresh is done again.
+    """
+    runs, tickers = pending_changes(spark, store)
+    n = tickers.count()
+    if n:
+        build_silver(spark, store, changed=tickers)
+        build_gold(spark, store, changed=tickers)
+        runs.coalesce(1).write.mode("append").parquet(store.path("gold", "applied_runs"))
+    return n
+
+
+def _source(spark: SparkSession, store: Store, layer: str, table: str, ddl: str, changed: DataFrame | None) -> DataFrame:
+    path = store.path(layer, table)
+    return read_table(spark, path, ddl) if changed is None else rows_of(spark, path, changed, ddl)
+
+
+def _put(rows: DataFrame, path: str, ddl: str, changed: DataFrame | None, metrics: dict[str, Column] | None = None) -> dict:
+    """Write a table laid out by company, or its changed companies only; what was observed on the way."""
+    rows, seen = observed(rows, metrics)
+    if changed is None:
+        write_table(rows, path, key="ticker")
+    else:
+        rows = staged(rows, f"{uuid.uuid4().hex}-rows")
+        replace_by_key(rows, changed, path, ddl=ddl)
+    return metrics_of(seen)
+
+
+def build_silver(spark: SparkSession, store: Store, annual: FormSpec = ANNUAL, quarterly: FormSpec = QUARTERLY,
+                 changed: DataFrame | None = None) -> dict[str, int]:
+    """Statements of both forms in one pass over the facts, then the wide tables and the chunks.
+
+    With ``changed`` only these companies are read and replaced.  Returns the
+    rows written per table, as observed by the writes.
+    """
+    facts = _source(spark, store, "bronze", "xbrl_facts", schemas.FACTS, changed)
+    counts = {"statements": _put(build_statements(facts, [annual, quarterly]), store.path("silver", "statements"),
+                                 schemas.STATEMENTS, changed)}
+    tidy = _source(spark, store, "silver", "statements", schemas.STATEMENTS, changed)
+    for name, form in (("statements_wide", annual.form), ("statements_wide_q", quarterly.form)):
+        counts[name] = _put(to_wide(tidy.filter(F.col("form") == form)), store.path("silver", name), schemas.WIDE, changed)
+    mdna = _source(spark, store, "bronze", "mdna", schemas.MDNA, changed)
+    counts["mdna_chunks"] = _put(docs_ops.chunk_table(mdna), store.path("silver", "mdna_chunks"), schemas.CHUNKS, changed)
+    return {name: seen["n_rows"] for name, seen in counts.items()}
 
 
 def statements(spark: SparkSession, store: Store, form: str = "10-K") -> DataFrame:
-    path = store.path("silver", "statements_by_form")
-    return read_table(spark, path, schemas.STATEMENTS).filter(F.col("form") == form)
+    return read_table(spark, store.path("silver", "statements"), schemas.STATEMENTS).filter(F.col("form") == form)
+
 
+def build_gold(spark: SparkSession, store: Store, changed: DataFrame | None = None) -> dict:
+    """Ratios, then the flags; returns rows per table and the largest DuPont gap, as observed by the writes.
 
-def build_gold(spark: SparkSession, store: Store) -> None:
-    """Ratios with the DuPont check, then the flags."""
-    wide = read_table(spark, store.path("silver", "statements_wide"), schemas.WIDE)
-    write_table(compute_ratios(wide), store.path("gold", "ratios"))
-    ratios = read_table(spark, store.path("gold", "ratios"))
-    audit = dupont_audit(ratios).first()
-    if not audit.dupont_ok:
+    A DuPont product that is not ROE stops the run before the flags.
+    """
+    wide = _source(spark, store, "silver", "statements_wide", schemas.WIDE, changed)
+    audit = _put(compute_ratios(wide), store.path("gold", "ratios"), RATIO_SCHEMA, changed, dupont_metrics())
+    if audit.get("dupont_ok") is False:
         raise ValueError("DuPont factors do not multiply to ROE")
-    write_table(red_flags(with_prior_margin(ratios)), store.path("gold", "anomalies"))
+    ratios = _source(spark, store, "gold", "ratios", RATIO_SCHEMA, changed)
+    flags = _put(red_flags(with_prior_margin(ratios)), store.path("gold", "anomalies"), schemas.ANOMALIES, changed)
+    return {"ratios": audit["n_rows"], "anomalies": flags["n_rows"], "dupont_gap": audit.get("dupont_gap")}

@@ -31,6 +31,10 @@ CHUNKS = ("ticker STRING, form STRING, filing_date DATE, accession_number STRING
 ANOMALIES = ("ticker STRING, period_end DATE, rule_id STRING, severity STRING, "
              "explanation STRING, metrics MAP<STRING, DOUBLE>")
 
+#: The document that a company's facts come from, and the companies that an ingestion changed.
+VERSIONS = "ticker STRING, file_time BIGINT, file_path STRING"
+CHANGES = "run STRING, ticker STRING"
+
 
 def empty(spark: SparkSession, ddl: str) -> DataFrame:
     """An empty table with a stable schema."""

@@ -70,15 +70,15 @@ def flatten_facts(docs: DataFrame, column: str = "value") -> DataFrame:
     return _observations(docs.select("ticker", F.explode(facts).alias("taxonomy", "tags")))
 
 
-def facts_or_mark(docs: DataFrame, column: str = "value") -> DataFrame:
-    """The rows of ``flatten_facts`` with ``readable``, parsed once.
+def facts_or_mark(docs: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``flatten_facts`` with ``readable`` and the columns ``keep``, parsed once.
 
     A document without observations, readable or not, leaves one row without a tag.
     """
-    parsed = docs.select("ticker", F.from_json(column, FACTS_JSON)["facts"].alias("facts"))
-    tags = parsed.select("ticker", F.col("facts").isNotNull().alias("readable"),
+    parsed = docs.select("ticker", *keep, F.from_json(column, FACTS_JSON)["facts"].alias("facts"))
+    tags = parsed.select("ticker", *keep, F.col("facts").isNotNull().alias("readable"),
                          F.explode_outer("facts").alias("taxonomy", "tags"))
-    return _observations(tags, ("readable",), outer=True)
+    return _observations(tags, ("readable", *keep), outer=True)
 
 
 def _observations(tags: DataFrame, more: tuple[str, ...] = (), outer: bool = False) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.schemas import empty
@@ -55,6 +56,19 @@ def read_table(spark: SparkSession, path: str, ddl: str | None = None,
     return df.orderBy(*order_by) if order_by else df
 
 
+def rows_of(spark: SparkSession, path: str, keys: DataFrame, ddl: str, key: str = "ticker") -> DataFrame:
+    """The rows of some keys; of a table with a key layout only their buckets are read."""
+    stored, keys = layout(spark, path), keys.select(key).distinct()
+    if stored is None or stored[0] != key:
+        return read_table(spark, path, ddl).join(keys, key, "left_semi")
+    # At most as many small integers as there are buckets reach the driver.
+    touched = [r.bucket for r in keys.select(bucket_of(F.col(key), stored[1]).alias("bucket")).distinct().collect()]
+    rows = _stored(spark, path, ddl)
+    if rows is None or "bucket" not in rows.columns:
+        return empty(spark, ddl)
+    return rows.filter(F.col("bucket").isin(touched)).drop("bucket").join(keys, key, "left_semi")
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows dealt by a key, for work that costs much more per row than moving it."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
@@ -112,6 +126,21 @@ def _keep_layout(spark: SparkSession, path: str, key: str, buckets: int) -> None
      .write.mode("overwrite").parquet(_layout_path(path)))
 
 
+def observed(df: DataFrame, metrics: dict[str, Column] | None = None) -> tuple[DataFrame, Observation]:
+    """The frame with its row count and other aggregates, which the first action on it yields by the way."""
+    seen = Observation(f"observed-{uuid.uuid4().hex}")
+    named = [column.alias(name) for name, column in (metrics or {}).items()]
+    return df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *named), seen
+
+
+def metrics_of(seen: Observation) -> dict:
+    """What was observed; a plan that Spark knows to be empty drops the observation, and has no rows."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {"n_rows": 0}
+
+
 def write_table(df: DataFrame, path: str, key: str | None = None,
                 buckets: int = BUCKETS) -> None:
     """Full refresh.  With a key the files are laid out by key bucket.

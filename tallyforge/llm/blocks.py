@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 #: Elements whose content is never text of the page; script and style run to the end where they are not closed.
@@ -12,16 +13,12 @@ RAW = "noscript|template|title|textarea|select|svg|iframe|canvas"
 #: Tags that start a part of the page: they end a head, and what else of RAW has no closing tag.
 PARTS = ("body|address|article|aside|blockquote|center|details|dialog|dd|dir|div|dl|dt|fieldset|figcaption|figure|footer|"
          "form|h[1-6]|header|hgroup|hr|li|main|menu|nav|ol|p|pre|search|section|summary|table|tbody|td|tfoot|th|thead|tr|ul")
-_REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
 _PART = re.compile(PARTS)
-_START = rf"</?(?:{PARTS})(?=[\s/>])"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<hidden>script|style)\b{_REST}.*?(?:</(?P=hidden)\s*>|\Z)"
-    rf"|<(?P<raw>{RAW})\b{_REST}(?:.*?</(?P=raw)\s*>|(?:(?!{_START}).)*)"
-    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)>",
-    re.S | re.I)
+_START = re.compile(rf"</?(?:{PARTS})(?=[\s/>])", re.I)
+_HIDDEN, _RAW = frozenset(("script", "style")), frozenset(RAW.split("|"))
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: Before an attribute; its name; up to its value; a value without quotes.
+_GAP, _KEY, _IS, _BARE = (re.compile(x) for x in (r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small "
@@ -46,6 +43,99 @@ class Block(NamedTuple):
     linked: int
 
 
+class _Scanner:
+    """The tags of a page one after the other, by the states of HTML's tokenizer; every step goes forward.
+
+    Quotes count only where a value starts.  A quote that is never closed
+    belongs to a value without quotes; if quotes hide every later ``>``, tags end at
+    the next one from there on.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "<>\"'"}
+        self.loose = False
+        self.never_closed: set[str] = set()
+        self.next_part = -1
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, closing, attributes); comments have no name, skipped elements have the name ``@raw``."""
+        page, at = self.page, 0
+        while at <= self.last["<"]:
+            at = page.find("<", at)
+            if at > self.last[">"] and not page.startswith(("<!", "<?"), at):
+                # No tag can end any more; a comment may run to the end of the page.
+                at += 1
+                continue
+            if page.startswith(("<!", "<?"), at) or (
+                    page.startswith("</", at) and not page[at + 2:at + 3].isalpha() and at + 2 < len(page)):
+                end = self._comment(at)
+                yield at, end, "", False, ""
+                at = end
+                continue
+            closing = page.startswith("/", at + 1)
+            name = _TAG_NAME.match(page, at + 1 + closing)
+            if name is None or self.last[">"] < name.end():
+                at += 1
+                continue
+            end = self._tag_end(name.end())
+            tag = name.group().lower()
+            rest = page[name.end():end - 1]
+            if not closing and (tag in _HIDDEN or tag in _RAW):
+                end = self._skipped(tag, end)
+                yield at, end, "@raw", False, ""
+            else:
+                yield at, end, tag, closing, rest
+            at = end
+
+    def _comment(self, at: int) -> int:
+        page, end = self.page, -1
+        if page.startswith("<!--", at):
+            if page.startswith((">", "->"), at + 4):
+                return page.index(">", at + 4) + 1
+            end, width = page.find("-->", at + 4), 3
+        elif page.startswith("<![CDATA[", at):
+            end, width = page.find("]]>", at), 3
+        else:
+            end, width = page.find(">", at), 1
+        return end + width if end >= 0 else len(page)
+
+    def _tag_end(self, at: int) -> int:
+        page, name_end = self.page, at
+        while not self.loose:
+            at = _GAP.match(page, at).end()
+            if at > self.last[">"]:
+                self.loose = True
+                break
+            if page[at] == ">":
+                return at + 1
+            at = _KEY.match(page, at).end()
+            value = _IS.match(page, at)
+            if value is None:
+                continue
+            at = value.end()
+            quote = page[at:at + 1]
+            if quote in ("'", '"') and self.last[quote] > at:
+                at = page.index(quote, at + 1) + 1
+            else:
+                at = _BARE.match(page, at).end()
+        return page.index(">", name_end) + 1
+
+    def _skipped(self, tag: str, at: int) -> int:
+        """Where an element ends whose content is no text: after its closing tag, or at the next part of the page."""
+        if tag not in self.never_closed:
+            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(self.page, at)
+            if close and self.last[">"] >= close.end():
+                return self._tag_end(close.end())
+            self.never_closed.add(tag)
+        if tag in _HIDDEN:
+            return len(self.page)
+        if self.next_part < at:
+            part = _START.search(self.page, at)
+            self.next_part = part.start() if part else len(self.page)
+        return self.next_part
+
+
 def _names(tag: str, rest: str) -> tuple[str, ...]:
     """Tokens of an element: its tag, and class, id and role names cut into words."""
     out = [tag]
@@ -83,20 +173,20 @@ def leaf_blocks(page: str | None) -> list[Block]:
         del stack[index:]
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not in_head:
-            piece = page[at:m.start()]
+    for start, end, tag, closing, rest in _Scanner(page).tags():
+        if start > at and in_head and not page[at:start].isspace():
+            # Text ends a head that is still open.
+            in_head = False
+        if start > at and not in_head:
+            piece = page[at:start]
             pieces.append(piece)
             if in_link:
                 linked += len(piece)
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
-        if not tag:
-            if m["raw"] or m["hidden"]:
+        at = end
+        if not tag or tag == "@raw":
+            if tag:
                 pieces.append(" ")
             continue
-        tag = tag.lower()
-        closing = (m["close"] or m["close2"]) == "/"
         if in_head:
             # The closing tag of a head may be left out.
             in_head = not (closing and tag == "head" or _PART.fullmatch(tag))
@@ -131,9 +221,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 j = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][0] in until), -1)
                 k = next((i - 1 for i in range(j + 1, len(stack)) if stack[i][0] in ends), len(stack) - 1)
             del stack[k + 1:]
-        if tag not in VOID and not (m["rest"] or m["rest2"] or "").rstrip().endswith("/"):
-            stack.append((tag, _names(tag, m["rest"] or m["rest2"] or "")))
-    if at < len(page) and not in_head:
+        if tag not in VOID and not rest.rstrip().endswith("/"):
+            stack.append((tag, _names(tag, rest)))
+    if at < len(page) and not (in_head and page[at:].isspace()):
         pieces.append(page[at:])
     flush()
     return out
@@ -180,6 +270,10 @@ _INSIDE = {
 }
 
 
+#: Words of one block of a made page, at most; a sampled text may be a whole book.
+MADE_WORDS = 200
+
+
 def _end(opening: str) -> str:
     return f"</{opening[1:].split()[0].rstrip('>')}>" if opening else ""
 
@@ -197,7 +291,7 @@ def made_page(rng: random.Random, main: list[str], other: list[str]) -> list[tup
             body.append(f"<h1>{mark}{html.escape(' '.join(rng.choice(main).split()[:9]))}</h1>")
         for _ in range(n):
             inner = rng.choice(_INSIDE[kind])
-            words = rng.choice(source).split()
+            words = rng.choice(source).split(maxsplit=MADE_WORDS)[:MADE_WORDS]
             if kind in ("nav", "header", "footer", "form") or (kind == "sidebar" and rng.random() < 0.5):
                 words = words[:rng.randint(1, 8)]
             text = mark + html.escape(" ".join(words))

@@ -237,8 +237,7 @@ def fit_labeller(pages: DataFrame, n_pages: int = TRAIN_PAGES, n_made: int = MAD
     chosen = (some_html.select(F.col("page_id").alias("chosen_id"), F.xxhash64("page_id").alias("chosen_hash"))
               .orderBy("chosen_hash", "chosen_id").limit(n_pages).distinct())
     sample = (some_html.join(F.broadcast(chosen), F.col("page_id").eqNullSafe(F.col("chosen_id")))
-              .select("chosen_hash", "html").limit(2 * n_pages).collect())
-    sample = sorted(sample, key=lambda r: (r["chosen_hash"], r["html"]))
+              .select("chosen_hash", "html").orderBy("chosen_hash", "html").limit(2 * n_pages).collect())
     own = [[(b, weak_label(b)) for b in leaf_blocks(r["html"])] for r in sample]
     own = [page for page in own if any(label for _, label in page)]
     rng = random.Random(11)

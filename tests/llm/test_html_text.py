@@ -1,6 +1,7 @@
 import os
 import random
 import re
+import time
 from html import unescape
 
 import duckdb
@@ -47,6 +48,29 @@ def test_long_heads_and_many_unclosed_elements_take_linear_time():
     assert texts("<p>x" + "<svg>" * 3000) == ["x"]
 
 
+def test_attributes_without_quotes_and_open_heads():
+    assert texts("<p><a href=it's>one</a> two</p><p>three</p><p>don't stop</p><p>four</p>") == [
+        "one two", "three", "don't stop", "four"]
+    assert texts("<head><meta charset=utf-8>Text right after an unclosed head") == ["Text right after an unclosed head"]
+    assert texts("<head> <meta charset=utf-8> x<p>y") == ["x", "y"]
+    assert texts("<p title=\"a>b\" class='c>d' id=e/f data-x = 'g>h' checked>x<p a='>y</p>'>z") == ["x", "z"]
+    assert texts("<p class=\"open>x</p><p>y</p>") == ["x", "y"]
+    assert texts("<p a=\"b><p>x</p>\"<p>y</p>") == texts("<p a='q'>y</p>") == ["y"]
+    assert texts("a <b and no end") == ["a <b and no end"] and texts("1 <2 and <é> 3 </ x> <? y> <!-- -> <!> z --> 4") == [
+        "1 <2 and <é> 3 4"]
+    assert texts("<!--> a <!---> b <!x c> d </> e <![CDATA[<p>f]]> g") == ["a b d e g"]
+    assert texts("<SCRIPT>x</scripted></Script >y<style/>z</style>w") == ["y w"]
+
+
+@pytest.mark.parametrize("part", ['<a b="', "<!-", "<b", "<a b='>", "<svg>", "<title", "</", "<script", "<p a=\"'>", "<!--",
+                                  "<a b=\"'", "<textarea>", "<a =\"", "<select a"])
+def test_a_megabyte_of_broken_markup_takes_a_second(part):
+    page = "<p>x</p>" + part * (1_000_000 // len(part))
+    start = time.process_time()
+    assert texts(page)[0] == "x"
+    assert time.process_time() - start < 5
+
+
 def small_labeller():
     rng = random.Random(1)
     main = [" ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.randint(5, 40))) + "." for _ in range(80)]

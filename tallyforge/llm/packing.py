@@ -75,6 +75,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 types = {"piece": pa.int32(), "ids": pa.binary()}
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, types.get(c, pa.int64())) for c, v in rows.items()], names=list(rows))
+        encoder.release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, ", ".join(names))
 

@@ -31,24 +31,36 @@ from tallyforge.llm.common import shared_folder, table
 from tallyforge.llm.tokens import UnitEncoder
 
 END_ID = 2
-#: The dictionary's sample: so many documents, so many characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
+#: The dictionary's sample: whole documents, so many at most, of so many bytes in all.
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 8 << 20, 64 << 10
 DOCS_PER_RANGE = 8192
 SHARD_DOCS, SHARD_BYTES = 2048, 8 << 20
 LEVEL = 3
-MAX_RANGES = 4096
 SHARD = ("part int, shard int, dictionary_hash string, first_doc_id long, n_docs int, n_ids long, "
          "doc_ids binary, places binary, counts binary, payload binary")
 
 
 def _sample_ids(docs: DataFrame, tokenizer_path: str) -> list[bytes]:
-    # Ids are chosen first, by their hashes, so that no task sends more texts than the sample has.
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    some = some.filter("text <> ''")
-    chosen = (some.select(F.col("doc_id").alias("chosen_id"), F.xxhash64("doc_id").alias("h"))
-              .orderBy("h", "chosen_id").limit(SAMPLE_DOCS).distinct())
-    sample = some.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen_id"))).select("h", "text")
-    texts = [r["text"] for r in sample.orderBy("h", "text").limit(SAMPLE_DOCS).collect()]
+    # Ids and lengths come first, by the ids' hashes, so that no task sends more texts than the sample has.
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text <> ''")
+    heads = (some.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n"))
+             .orderBy("h", "doc_id", "n").limit(SAMPLE_DOCS).collect())
+    chosen, size = set(), 0
+    for head in heads:
+        # A document that does not fit in any more is left out whole.
+        if size + head["n"] <= SAMPLE_BYTES:
+            chosen.add(head["doc_id"])
+            size += head["n"]
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame([(d,) for d in chosen], "chosen_id long")
+    sample = some.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("chosen_id")))
+    # Rows may share a chosen id: again whole texts, in order, up to the same number of bytes.
+    texts, size = [], 0
+    for row in sample.select(F.xxhash64("doc_id").alias("h"), "text").orderBy("h", "text").limit(len(heads)).collect():
+        if size + len(row["text"].encode()) <= SAMPLE_BYTES:
+            texts.append(row["text"])
+            size += len(row["text"].encode())
     encoder = UnitEncoder.get(tokenizer_path)
     width = id_width(encoder)
     out = []
@@ -96,6 +108,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                           "dictionary_hash string, width string, dictionary binary").coalesce(1).write.parquet(
         f"{folder}/dictionary")
 
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    n_ranges = -(-ids.count() // docs_per_range)
+    cuts = [i / n_ranges for i in range(1, n_ranges)]
+    # Eight bytes for every range of documents; a row finds its range by binary search.
+    bounds = np.array(sorted(set(ids.approxQuantile("doc_id", cuts, 0.2 / n_ranges))) if cuts else [], np.int64)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = UnitEncoder.get(tokenizer_path)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_codec(dictionary, LEVEL), write_checksum=True)
@@ -104,19 +122,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             for low, ids, count in encoder.slices(batch.column(1)):
                 ids, ends = ids.astype(width), np.cumsum(count)
                 packed = [packer.compress(ids[e - n:e].tobytes() + end) for e, n in zip(ends.tolist(), count.tolist())]
+                part = batch.column(0).slice(low, len(count))
+                at = np.searchsorted(bounds, part.fill_null(np.iinfo(np.int64).min).to_numpy(), side="left")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, len(count)), pa.array(count + 1), pa.array(packed, pa.binary())],
-                    names=["doc_id", "n_ids", "packed"])
-
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    n_ranges = min(MAX_RANGES, -(-ids.count() // docs_per_range))
-    bounds = []
-    if n_ranges > 1:
-        cuts = [i / n_ranges for i in range(1, n_ranges)]
-        bounds = sorted(set(ids.approxQuantile("doc_id", cuts, 0.2 / n_ranges)))
-    edges = F.array(*[F.lit(int(b)) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(
-        F.size(F.filter(edges, lambda e: e < F.col("doc_id")))).cast("int")
+                    [pa.array(at, pa.int32()), part, pa.array(count + 1), pa.array(packed, pa.binary())],
+                    names=["part", "doc_id", "n_ids", "packed"])
+        encoder.release()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -148,9 +159,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             yield shard()
 
     coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        encode, "doc_id long, n_ids long, packed binary")
-    (coded.select(part.alias("part"), "doc_id", "n_ids", "packed")
-     .repartition(max(1, n_ranges), "part").sortWithinPartitions("part", "doc_id", "packed")
+        encode, "part int, doc_id long, n_ids long, packed binary")
+    (coded.repartition(max(1, n_ranges), "part").sortWithinPartitions("part", "doc_id", "packed")
      .mapInArrow(shards, SHARD).write.parquet(f"{folder}/shards"))
     head = spark.read.parquet(f"{folder}/shards").select("part", "shard", "first_doc_id", "n_docs", "n_ids")
     inside = W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
@@ -188,7 +198,8 @@ def read_token_files(spark: SparkSession, folder: str, doc_ids: list[int] | None
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = zstandard.ZstdDecompressor(dict_data=_codec(dictionary))
         for batch in batches:
-            for r in batch.to_pylist():
+            # Shard by shard: a batch may hold many megabytes of them.
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 if r["dictionary_hash"] != name:
                     raise ValueError("shard was written with another dictionary")
                 n = r["n_docs"]

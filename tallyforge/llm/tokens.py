@@ -79,6 +79,11 @@ class UnitEncoder:
             self.pattern = None
         self.reset()
 
+    def release(self) -> None:
+        """Give the memory of the known units back: a worker goes on to other stages."""
+        self.reset()
+        pa.default_memory_pool().release_unused()
+
     def reset(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.slots = np.zeros(0, np.int64)

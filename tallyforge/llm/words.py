@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
@@ -58,8 +58,11 @@ def _powers(n: int) -> np.ndarray:
     return _POWER["table"]
 
 
-def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets; a null text is an empty one."""
+    if isinstance(column, pa.ChunkedArray):
+        # More text than offsets of 32 bits can hold comes in chunks.
+        column = column.cast(pa.large_string()).combine_chunks()
     column = column.fill_null("") if column.null_count else column
     wide = pa.types.is_large_string(column.type)
     _, offsets, data = column.buffers()

@@ -7,6 +7,12 @@ extends the intervals of its frequent phrases to both sides, the counts of all
 shards are summed, and the shards go on with the phrases that are frequent in
 total.  A phrase is named by the ids of its beginning and its end, so no
 phrase travels as text and none is mistaken for another.
+
+Most pairs of frequent words are rare, so the pairs of the text are asked about
+before it is indexed: a shard sends their hashes and counts, packed per bucket,
+and gets a bit for each.  Hashes that fall together only let a rare pair pass
+this first look.  The text is cut where a pair did not pass, the index is built
+over what is left, and the pairs it holds are counted by their ids.
 """
 
 from __future__ import annotations
@@ -17,10 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tallyforge.llm import words
-from tallyforge.llm.common import stage, table
-from tallyforge.llm.fm_index import FmIndex, Intervals
+from tallyforge.llm.ask import bucket_of
+from tallyforge.llm.common import shuffle_partitions, stage, table, unstage
+from tallyforge.llm.fm_index import FmIndex, Grown, Intervals
 from tallyforge.operators.top import top_per_key
 
 MIN_COUNT, MAX_WORDS, PER_LANG = 100, 5, 2000
@@ -28,8 +37,13 @@ SHARD_WORDS = 1 << 20
 #: What ends a piece, and what stands between its words.
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 SHARD = "shard long, vocabulary array<struct<lang: string, word: string, n: long>>, tokens binary"
-INDEX = "shard long, ids binary, forward binary, backward binary"
-FOUND = "shard long, low int, back int, n int, prefix long, suffix long"
+TEXT = "shard long, ids binary, text binary"
+ASKED = "bucket int, shard long, keys binary, counts binary"
+ANSWER = "shard long, bucket int, bits binary"
+STATE = "shard long, low binary, back binary, n binary, prefix binary, suffix binary, buckets binary, ends binary"
+INDEX = f"{STATE}, forward binary, backward binary"
+COUNTED = ("shard long, bucket int, ids binary, "
+           "phrases array<struct<id: long, prefix: long, suffix: long, f: long>>")
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(PIECE_ENDS)] = True
@@ -37,6 +51,17 @@ _OUTSIDE = _ENDS.copy()
 _OUTSIDE[list(BLANKS)] = True
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte of their places: the leading bytes are mostly alike and compress."""
+    width = numbers.dtype.itemsize
+    return np.ascontiguousarray(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def _unpacked(raw: bytes, dtype: type) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
 def piece_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, opens a piece) of the words of consecutive texts."""
     inside = ~_OUTSIDE[data]
@@ -84,7 +109,7 @@ class _Shard:
              pa.array([word for _, word in self.number], pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
             names=["lang", "word", "n"])
         vocabulary = pa.ListArray.from_arrays(pa.array([0, len(entries)], pa.int32()), entries).cast(kind)
-        return pa.RecordBatch.from_arrays([pa.array([shard]), vocabulary, pa.array([tokens.tobytes()], pa.binary())],
+        return pa.RecordBatch.from_arrays([pa.array([shard]), vocabulary, pa.array([_packed(tokens)], pa.binary())],
                                           names=["shard", "vocabulary", "tokens"])
 
 
@@ -140,47 +165,192 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
                        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).mapInArrow(deal, SHARD)
 
 
-def _index(key: tuple, shard: pa.Table, known: pa.Table) -> pa.Table:
-    """The FM-index of a shard over its frequent words; others end a piece."""
-    tokens = np.frombuffer(shard.column("tokens")[0].as_py(), np.int32)
+def _text(key: tuple, shard: pa.Table, known: pa.Table) -> pa.Table:
+    """The text of a shard over its frequent words, numbered from 1; other words end a piece."""
+    tokens = _unpacked(shard.column("tokens")[0].as_py(), np.int32)
     at = known.column("at").to_numpy()
     symbol = np.zeros(int(tokens.max(initial=0)) + 1, np.int32)
     symbol[at + 1] = np.arange(1, len(at) + 1)
     text = symbol[tokens]
     # One separator between pieces is enough.
     text = text[np.concatenate(([True], (text[1:] > 0) | (text[:-1] > 0)))]
-    index = FmIndex.of(text)
-    out = [known.column("id").to_numpy().astype(np.int64), index.forward, index.backward]
-    return pa.table([pa.array([key[0].as_py()], pa.int64())] + [pa.array([a.tobytes()], pa.binary()) for a in out],
-                    names=["shard", "ids", "forward", "backward"])
+    out = [known.column("id").to_numpy().astype(np.int64), text]
+    return _row(TEXT, key[0].as_py(), out)
+
+
+def _row(schema: str, shard: int, arrays: list[np.ndarray]) -> pa.Table:
+    """One row of a shard and packed numbers."""
+    return pa.table([pa.array([shard], pa.int64())] + [pa.array([_packed(a)], pa.binary()) for a in arrays],
+                    names=[f.split()[0] for f in schema.split(", ")])
+
+
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return _unpacked(row["ids"], np.int64), _unpacked(row["text"], np.int32)
+
+
+def _adjacent(text: np.ndarray, size: int) -> np.ndarray:
+    """A number for every place: its word and the next one, or 0 where a piece ends."""
+    key = np.zeros(len(text), np.int64)
+    key[:-1] = text[:-1].astype(np.int64) * size + text[1:]
+    key[:-1][(text[:-1] == 0) | (text[1:] == 0)] = 0
+    return key
 
 
-def _found(shard: int, index: FmIndex, phrases: Intervals, ids: np.ndarray) -> pa.Table:
-    grown = index.grow(phrases)
-    low, back, n = grown.intervals
-    columns = [np.full(len(low), shard), low.astype(np.int32), back.astype(np.int32), n.astype(np.int32),
-               ids[grown.prefix], ids[grown.suffix]]
-    return pa.table(columns, names=[f.split()[0] for f in FOUND.split(", ")])
+def _questions(begin: np.ndarray, end: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, bucket, key in the bucket) of pairs of ids, by bucket and key."""
+    key = words.mix(words.mix(begin.astype(np.uint64) + np.uint64(1)) * words._GOLDEN + end.astype(np.uint64))
+    bucket = bucket_of(key, buckets).astype(np.int64)
+    low = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    order = np.argsort(bucket << 32 | low, kind="stable")
+    return order, bucket[order], low[order]
 
 
-def _opened(row: dict) -> FmIndex:
-    return FmIndex(np.frombuffer(row["forward"], np.int32), np.frombuffer(row["backward"], np.int32))
+def _cuts(bucket: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All phrases of two frequent words."""
+def _ask(buckets: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                ids, text = _opened(row)
+                size = len(ids) + 1
+                key, n = np.unique(_adjacent(text, size), return_counts=True)
+                key, n = key[key > 0], n[key > 0]
+                if not len(key):
+                    continue
+                order, bucket, low = _questions(ids[key // size - 1], ids[key % size - 1], buckets)
+                cuts, n = _cuts(bucket), n[order]
+                parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+                columns = [pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([row["shard"]] * len(parts), pa.int64()),
+                           pa.array([_packed(low[a:b].astype(np.uint32)) for a, b in parts], pa.binary()),
+                           pa.array([_packed(n[a:b].astype(np.uint32)) for a, b in parts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "shard", "keys", "counts"])
+    return ask
+
+
+def _answer(min_count: int):
+    def answer(key: tuple, asked: pa.Table) -> pa.Table:
+        """Whether the counts of all shards for a key reach ``min_count``, a bit per key and shard."""
+        keys, counts = ([_unpacked(raw, np.uint32) for raw in asked.column(c).to_pylist()] for c in ("keys", "counts"))
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, weights=np.concatenate(counts))
+        enough = np.split(total[place] >= min_count, np.cumsum([len(k) for k in keys])[:-1])
+        return pa.table([asked.column("shard"), pa.array([key[0].as_py()] * len(keys), pa.int32()),
+                         pa.array([np.packbits(e).tobytes() for e in enough], pa.binary())],
+                        names=["shard", "bucket", "bits"])
+    return answer
+
+
+def _linked(text: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """The text cut between the words that ``links`` does not hold together; single words go."""
+    keep = links.copy()
+    keep[1:] |= links[:-1]
+    opens = keep.copy()
+    opens[1:] &= ~links[:-1]
+    out = np.zeros(int(keep.sum()) + int(opens.sum()) + 1, np.int32)
+    out[np.arange(int(keep.sum())) + np.cumsum(opens)[keep]] = text[keep]
+    return out
+
+
+def _index(buckets: int):
+    def index(key_: tuple, shard: pa.Table, answers: pa.Table) -> pa.Table:
+        """The index over what is left of a shard's text, and its pairs that may be frequent."""
+        ids, text = _opened(shard.select(["ids", "text"]).to_pylist()[0])
+        size = len(ids) + 1
+        place = _adjacent(text, size)
+        key = np.unique(place[place > 0])
+        order, bucket, _ = _questions(ids[key // size - 1], ids[key % size - 1], buckets)
+        bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()))
+        cuts = _cuts(bucket)
+        passed = np.zeros(len(key) + 1, bool)
+        passed[order] = np.concatenate(
+            [np.unpackbits(np.frombuffer(bits[int(bucket[a])], np.uint8), count=b - a).astype(bool)
+             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())])
+        links = passed[np.where(place > 0, np.searchsorted(key, place), len(key))]
+        rest = FmIndex.of(_linked(text, links))
+        grown = rest.grow(rest.words())
+        return _row(INDEX, key_[0].as_py(), [*_state(grown, ids, buckets), rest.forward, rest.backward])
+    return index
+
+
+def _state(grown: Grown, ids: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """Phrases by the bucket of their ids: intervals, ids of beginning and end, the buckets and where they end."""
+    begin, end = ids[grown.prefix], ids[grown.suffix]
+    order, bucket, _ = _questions(begin, end, buckets)
+    cuts = _cuts(bucket) if len(bucket) else np.zeros(1, np.int64)
+    return [*(a[order].astype(np.int32) for a in grown.intervals), begin[order], end[order],
+            bucket[cuts[:-1]].astype(np.int32), cuts[1:].astype(np.int32)]
+
+
+_PHRASES = "bucket int, shard long, prefix binary, suffix binary, n binary"
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The phrases of every shard, packed per bucket."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            index = _opened(row)
-            yield from _found(row["shard"], index, index.words(), np.frombuffer(row["ids"], np.int64)).to_batches()
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
+            bucket, ends = (_unpacked(row[c], np.int32) for c in ("buckets", "ends"))
+            parts = list(zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist()))
+            columns = [_unpacked(row[c], kind) for c, kind in (("prefix", np.int64), ("suffix", np.int64), ("n", np.int32))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket), pa.array([row["shard"]] * len(parts), pa.int64())]
+                + [pa.array([_packed(c[a:b]) for a, b in parts], pa.binary()) for c in columns],
+                names=[f.split()[0] for f in _PHRASES.split(", ")])
+
+
+def _count(min_count: int):
+    def count(key: tuple, asked: pa.Table) -> pa.Table:
+        """Ids of the frequent phrases of a bucket: per shard, -1 for others, and one row with the phrases themselves."""
+        bucket = key[0].as_py()
+        begin, end = ([_unpacked(raw, np.int64) for raw in asked.column(c).to_pylist()] for c in ("prefix", "suffix"))
+        n = [_unpacked(raw, np.int32) for raw in asked.column("n").to_pylist()]
+        each = np.cumsum([len(part) for part in n])
+        begin, end, n = (np.concatenate(parts) for parts in (begin, end, n))
+        order = np.lexsort((end, begin))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(begin[order]) != 0) | (np.diff(end[order]) != 0)
+        total = np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new))
+        enough = total >= min_count
+        number = np.where(enough, (bucket << 40) + np.cumsum(enough) - 1, -1)
+        ids = np.empty(len(order), np.int64)
+        ids[order] = number[np.cumsum(new) - 1]
+        first = order[new][enough]
+        entries = pa.StructArray.from_arrays(
+            [pa.array(a) for a in (number[enough], begin[first], end[first], total[enough])],
+            names=["id", "prefix", "suffix", "f"])
+        blobs = [_packed(part) for part in np.split(ids, each[:-1])]
+        return pa.table(
+            [pa.array([None, *asked.column("shard").to_pylist()], pa.int64()),
+             pa.array([bucket] * (len(blobs) + 1), pa.int32()), pa.array([None, *blobs], pa.binary()),
+             pa.ListArray.from_arrays(pa.array([0] + [len(entries)] * (len(blobs) + 1), pa.int32()), entries)],
+            names=["shard", "bucket", "ids", "phrases"])
+    return count
+
+
+def _longer(buckets: int):
+    def longer(key: tuple, shard: pa.Table, counted: pa.Table) -> pa.Table:
+        """Phrases one word longer than the frequent ones of the shard."""
+        row = shard.to_pylist()[0]
+        answers = dict(zip(counted.column("bucket").to_pylist(), counted.column("ids").to_pylist()))
+        ids = np.concatenate([_unpacked(answers[b], np.int64) for b in _unpacked(row["buckets"], np.int32).tolist()])
+        known = Intervals(*(_unpacked(row[c], np.int32)[ids >= 0] for c in ("low", "back", "n")))
+        grown = FmIndex(*(_unpacked(row[c], np.int32) for c in ("forward", "backward"))).grow(known)
+        return _row(STATE, key[0].as_py(), _state(grown, ids[ids >= 0], buckets))
+    return longer
+
 
+def _by_shard(left: DataFrame, right: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` over the rows of every shard that both frames have."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
-def _longer(key: tuple, shard: pa.Table, known: pa.Table) -> pa.Table:
-    """Phrases one word longer than the frequent ones of the shard."""
-    low, back, n, ids = (known.column(c).to_numpy() for c in ("low", "back", "n", "id"))
-    row = shard.select(["forward", "backward"]).to_pylist()[0]
-    return _found(key[0].as_py(), _opened(row), Intervals(low, back, n), ids)
+    def both(key: tuple, mine: pa.Table, other: pa.Table) -> pa.Table:
+        return fn(key, mine, other) if mine.num_rows and other.num_rows else kinds.empty_table()
+
+    other = right.withColumnRenamed("shard", "of")
+    return left.groupBy("shard").cogroup(other.groupBy("of")).applyInArrow(both, schema)
 
 
 def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS,
@@ -203,25 +373,32 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
              .select("id", "lang", F.array("word").alias("words"), "f",
                      F.array().cast("array<bigint>").alias("begins"), F.array().cast("array<bigint>").alias("ends")))
     known = seen.join(level.select("id", "lang", F.col("words")[0].alias("word")), ["lang", "word"])
-    index = stage(dealt.select("shard", "tokens").groupBy("shard").cogroup(
-        known.select(F.col("shard").alias("of"), "at", "id").groupBy("of")).applyInArrow(_with_both(_index, INDEX), INDEX))
-    found = stage(index.mapInArrow(_pairs, FOUND))
-    levels = []
+    texts = stage(_by_shard(dealt.select("shard", "tokens"), known.select(F.col("shard"), "at", "id"), _text, TEXT))
+    unstage(dealt)
+    # A bucket sums what one shard or so asks, whatever their number.
+    buckets = max(shuffle_partitions(docs.sparkSession), texts.count())
+    answers = (texts.mapInArrow(_ask(buckets), ASKED).groupBy("bucket")
+               .applyInArrow(_answer(min_count), ANSWER))
+    index = stage(_by_shard(texts, answers, _index(buckets), INDEX))
+    unstage(texts)
+    state, levels = index, []
     for size in range(2, max_words + 1):
-        total = found.groupBy("prefix", "suffix").agg(F.sum("n").alias("sum_n")).filter(F.col("sum_n") >= min_count)
+        counted = stage(state.select("shard", "prefix", "suffix", "n", "buckets", "ends").mapInArrow(_exact, _PHRASES)
+                        .groupBy("bucket").applyInArrow(_count(min_count), COUNTED))
+        total = counted.filter("shard IS NULL").select(F.inline("phrases"))
         begin = level.select(F.col("id").alias("prefix"), "lang", F.col("words").alias("begin_words"),
                              F.concat("begins", F.array("f")).alias("begins"))
         end = level.select(F.col("id").alias("suffix"), F.slice("words", -1, 1).alias("last_word"),
                            F.concat("ends", F.array("f")).alias("ends"))
         level = stage(total.join(begin, "prefix").join(end, "suffix").select(
-            F.monotonically_increasing_id().alias("id"), "prefix", "suffix", "lang",
-            F.concat("begin_words", "last_word").alias("words"), F.col("sum_n").alias("f"), "begins", "ends"))
+            "id", "prefix", "suffix", "lang",
+            F.concat("begin_words", "last_word").alias("words"), "f", "begins", "ends"))
         levels.append(level)
         if size < max_words:
-            known = found.join(level.select("id", "prefix", "suffix"), ["prefix", "suffix"])
-            found = stage(index.select("shard", "forward", "backward").groupBy("shard").cogroup(
-                known.select(F.col("shard").alias("of"), "low", "back", "n", "id").groupBy("of"))
-                .applyInArrow(_with_both(_longer, FOUND), FOUND))
+            here = state if size == 2 else state.join(index.select("shard", "forward", "backward"), "shard")
+            here = here.select("shard", "low", "back", "n", "buckets", "forward", "backward")
+            state = stage(_by_shard(here, counted.filter("shard IS NOT NULL").select("shard", "bucket", "ids"),
+                                    _longer(buckets), STATE))
     out = None
     for k, level in enumerate(levels):
         one = level.select("id", "lang", "words", F.col("f").alias("a"), "begins", "ends")
@@ -235,19 +412,6 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
     return out.drop("id").join(sizes, "lang")
 
 
-def _with_both(fn, schema: str):
-    """A shard without known phrases, or the other way round, gives nothing."""
-    names = [f.split()[0] for f in schema.split(", ")]
-
-    def both(key: tuple, shard: pa.Table, known: pa.Table) -> pa.Table:
-        if shard.num_rows and known.num_rows:
-            return fn(key, shard, known)
-        kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-        return pa.table([pa.array([], kinds[f.split()[1]]) for f in schema.split(", ")], names=names)
-
-    return both
-
-
 def scored(found: DataFrame) -> DataFrame:
     """Phrases with the score of their weakest cut, without those that a longer one explains.
 

@@ -38,7 +38,15 @@ def stage(df: DataFrame) -> DataFrame:
     df.write.parquet(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(folder)
+    staged = spark.read.schema(df.schema).parquet(folder)
+    staged.staged_in = folder
+    return staged
+
+
+def unstage(staged: DataFrame) -> None:
+    """Delete the files of a staged frame that nothing will read any more."""
+    path = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(staged.staged_in)
+    path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,9 +13,11 @@ from driver.queries import annual_periods, annual_statements, annual_wide
 from driver.registry import checked, iso
 from tallyforge.functions import scalar
 from tallyforge.operators.flags import red_flags as build_flags
-from tallyforge.operators.ratios import compute_ratios
+from tallyforge.operators.ratios import compute_ratios, with_ratios
 from tallyforge.operators.registry import first_registry_entry
-from tallyforge.plans import serving
+from tallyforge.operators.statements import to_wide
+from tallyforge.plans import medallion, serving
+from tallyforge.schemas import CHUNKS, STATEMENTS
 from tallyforge.session import checkpoint_root
 from tallyforge.sources import feeds, landing, tables
 from tallyforge.streaming.ingest import ingest_available
@@ -253,11 +255,8 @@ def upsert_replace(spark, sf_dir):
         F.min("period_end").alias("first_end")))
 
 
-@checked("""select 'S' || lpad(cast(o_orderkey as varchar), 5, '0') as ticker,
-  o_totalprice * case when o_orderstatus = 'F' then 2 else 1 end as val,
-  cast(case when o_orderstatus = 'F' then 2 else 1 end as bigint) as fy from orders""")
-def stream_ingest(spark, sf_dir):
-    """Documents land twice; the second landing replaces the companies it contains."""
+def _landings(spark, sf_dir, versions):
+    """Company documents of all orders (version 1) and of the finished ones (version 2), one batch per version."""
     folder = _scratch(spark)
     orders = fx.table(spark, sf_dir, "orders")
 
@@ -280,13 +279,57 @@ def stream_ingest(spark, sf_dir):
             .parquet(f"{folder}/landing")
         ingest_available(stream, f"{folder}/facts", f"{folder}/stream-checkpoint", buckets=8)
 
-    land(orders, 1)
-    ingest()
-    land(orders.filter(F.col("o_orderstatus") == "F"), 2)
-    ingest()
+    for version in versions:
+        land(orders if version == 1 else orders.filter(F.col("o_orderstatus") == "F"), version)
+        ingest()
     return tables.read_table(spark, f"{folder}/facts").select("ticker", "val", "fy")
 
 
+@checked("""select 'S' || lpad(cast(o_orderkey as varchar), 5, '0') as ticker,
+  o_totalprice * case when o_orderstatus = 'F' then 2 else 1 end as val,
+  cast(case when o_orderstatus = 'F' then 2 else 1 end as bigint) as fy from orders""")
+def stream_ingest(spark, sf_dir):
+    """Documents land twice; the second landing replaces the companies it contains."""
+    return _landings(spark, sf_dir, [1, 2])
+
+
+@checked("""select 'S' || lpad(cast(o_orderkey as varchar), 5, '0') as ticker,
+  o_totalprice * case when o_orderstatus = 'F' then 2 else 1 end as val,
+  cast(case when o_orderstatus = 'F' then 2 else 1 end as bigint) as fy from orders""")
+def stream_ingest_late(spark, sf_dir):
+    """The newer documents land first; the older ones of the same companies come in a later batch."""
+    return _landings(spark, sf_dir, [2, 1])
+
+
+@checked(f"""{TO_STATEMENTS} select ticker, statement, line_item, cast(period_end as varchar) as period_end, value, tag_used
+from stmts where form = '10-K'""")
+def refreshed_statements(spark, sf_dir):
+    """Companies of one region land with other amounts first; the refresh after their second landing rebuilds only them."""
+    store = medallion.Store(_scratch(spark))
+    facts, path = fx.facts(spark, sf_dir), store.path("bronze", "xbrl_facts")
+    asia = tables.staged(_ingested(spark, sf_dir), f"asia-{uuid.uuid4().hex}")
+    early = facts.join(asia.withColumn("early", F.lit(True)), "ticker", "left").withColumn(
+        "val", F.when(F.col("early"), F.col("val") * 7 + 1).otherwise(F.col("val"))).drop("early")
+    tables.write_table(early, path, "ticker", buckets=8)
+    medallion.record_changes(facts.select("ticker"), path, "first")
+    medallion.refresh(spark, store)
+    tables.replace_by_key(facts, asia, path)
+    medallion.record_changes(asia, path, "second")
+    medallion.refresh(spark, store)
+    return iso(medallion.statements(spark, store).select(
+        "ticker", "statement", "line_item", "period_end", "value", "tag_used"))
+
+
+@checked(f"""{TO_FLAGS} select ticker, cast(period_end as varchar) as period_end, rule_id, severity
+from flags where form = '10-K'""")
+def colocated_flags(spark, sf_dir):
+    """Statements stored in buckets of companies; pivot, ratios and flags follow without an exchange."""
+    path = f"{_scratch(spark)}/statements"
+    tables.write_colocated(annual_statements(spark, sf_dir), path, buckets=8)
+    wide = to_wide(tables.read_colocated(spark, path, STATEMENTS))
+    return iso(build_flags(with_ratios(wide)).select("ticker", "period_end", "rule_id", "severity"))
+
+
 # ---- serving ------------------------------------------------------------------------------
 
 @checked(f"""{TO_STATEMENTS} select ticker, statement, line_item, cast(period_end as varchar) as period_end, value, tag_used
@@ -319,6 +362,41 @@ def serve_ratios(spark, sf_dir):
     return served.select("ticker", F.inline(F.from_json("result", item)))
 
 
+def _served(spark, sf_dir):
+    statements = annual_statements(spark, sf_dir)
+    periods = annual_periods(spark, sf_dir)
+    no_chunks = spark.createDataFrame([], CHUNKS)
+    serving.register_functions(spark, fx.companies(spark, sf_dir), statements, compute_ratios(annual_wide(spark, sf_dir)),
+                               build_flags(periods), no_chunks)
+
+
+@checked("""select 'S' || lpad(cast(s_suppkey as varchar), 5, '0') as ticker, s_suppkey as cik, s_name as entity_name
+from supplier""")
+def list_companies(spark, sf_dir):
+    """All companies, through the table function."""
+    _served(spark, sf_dir)
+    return spark.sql("SELECT ticker, cik, entity_name FROM company_rows()")
+
+
+@checked(f"""{TO_FLAGS}, asked as (
+  select c_custkey as request_id, c_custkey % 3 as kind, 'S' || lpad(cast(c_custkey as varchar), 5, '0') as ticker from customer),
+said as (select ticker, count(*) as n from stmts where form = '10-K' and statement = 'IS' group by 1),
+flagged as (select ticker, count(*) as n from flags where form = '10-K' group by 1)
+select request_id, case kind when 0 then 'get_statements' when 1 then 'get_anomalies' else 'drop_everything' end as name,
+       case when kind < 2 then 'ok' else 'error' end as status,
+       case kind when 0 then coalesce(s.n, 0) when 1 then coalesce(f.n, 0) end as n_rows
+from asked left join said s on s.ticker = asked.ticker left join flagged f on f.ticker = asked.ticker""")
+def call_by_name(spark, sf_dir):
+    """A call per customer: statements, flags, or a function that does not exist."""
+    _served(spark, sf_dir)
+    key = F.col("c_custkey")
+    requests = fx.table(spark, sf_dir, "customer").select(
+        key.alias("request_id"), F.when(key % 3 == 0, "get_statements").when(key % 3 == 1, "get_anomalies")
+        .otherwise("drop_everything").alias("name"), F.lower(fx.ticker_of(key)).alias("p_ticker"),
+        F.lit("is").alias("p_statement"))
+    return serving.call_requests(spark, requests).drop("result")
+
+
 # ---- labels ---------------------------------------------------------------------------------
 
 _PCT = "case when {0} is null then '—' else format('{{:+.1f}}%', ({0}) * 100) end"

@@ -14,7 +14,7 @@ STATEMENT_COLUMNS = ["ticker", "statement", "line_item", "period_end", "fiscal_y
 
 
 def choose_tags(latest: DataFrame, specs: list[FormSpec],
-                coverage_window: bool = False) -> DataFrame:
+                coverage_window: bool = False, by_ticker: bool = False) -> DataFrame:
     """Keep, per (ticker, form, line item), the rows of one tag.
 
     The first tag in fallback order with enough periods wins; if none has
@@ -24,11 +24,12 @@ def choose_tags(latest: DataFrame, specs: list[FormSpec],
     Input rows are unique per (ticker, form, tag, period end), so a company has
     at most 64 tags times its calendar of period ends: the per-ticker
     partitioning chosen here stays small whatever the raw volume.  All later
-    windows and the pivot have the ticker in their key and reuse it.
+    windows and the pivot have the ticker in their key and reuse it.  Rows that
+    are dealt by ticker already (``by_ticker``) stay where they are.
     """
     by_tag = Window.partitionBy("ticker", "form", "line_item", "tag")
     by_item = Window.partitionBy("ticker", "form", "line_item")
-    rows = latest.repartition("ticker")
+    rows = latest if by_ticker else latest.repartition("ticker")
     if coverage_window:
         newest = F.max("period_end").over(Window.partitionBy("ticker", "form"))
         counted = F.col("period_end") >= F.date_sub(newest, per_form(specs, "window_days"))
@@ -55,16 +56,17 @@ def newest_periods(rows: DataFrame, specs: list[FormSpec]) -> DataFrame:
 
 
 def build_statements(facts: DataFrame, specs: list[FormSpec],
-                     coverage_window: bool = False) -> DataFrame:
+                     coverage_window: bool = False, by_ticker: bool = False) -> DataFrame:
     """Facts -> one row per (ticker, form, line item, period end).
 
     Several forms are built in one pass over the facts; ``form`` is part of
-    every key.  Two shuffles: the restatement dedupe and the ticker partitioning.
+    every key.  Two shuffles: the restatement dedupe and the ticker partitioning;
+    none over a table of ``write_colocated`` with ``by_ticker``.
     """
     usable = usable_facts(facts, specs).select(
         "ticker", "form", "tag", "line_item", "statement", "tag_rank", "period_start",
         "period_end", "val", "fy", "fp", "filed", "accn")
-    chosen = choose_tags(latest_filed(usable), specs, coverage_window)
+    chosen = choose_tags(latest_filed(usable), specs, coverage_window, by_ticker)
     return newest_periods(chosen, specs).select(
         "ticker", "statement", "line_item", "period_end",
         F.col("fy").alias("fiscal_year"), F.col("fp").alias("fiscal_period"), "form",

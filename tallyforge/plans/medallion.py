@@ -17,7 +17,7 @@ from tallyforge.operators.ratios import RATIO_SCHEMA, compute_ratios, dupont_met
 from tallyforge.operators.statements import build_statements, to_wide
 from tallyforge.session import checkpoint_root
 from tallyforge.sources import landing
-from tallyforge.sources.tables import (drop_path, metrics_of, observed, read_table, replace_by_key, row_counts, rows_of,
+from tallyforge.sources.tables import (BUCKETS, drop_path, layout, metrics_of, observed, read_table, replace_by_key, row_counts, rows_of,
                                        staged, write_table)
 from tallyforge.streaming.ingest import changes_path, record_changes
 
@@ -122,17 +122,26 @@ def _source(spark: SparkSession, store: Store, layer: str, table: str, ddl: str,
     return read_table(spark, path, ddl) if changed is None else rows_of(spark, path, changed, ddl)
 
 
-def _put(rows: DataFrame, path: str, ddl: str, changed: DataFrame | None, metrics: dict[str, Column] | None = None) -> dict:
+def _put(rows: DataFrame, path: str, ddl: str, changed: DataFrame | None, buckets: int,
+         metrics: dict[str, Column] | None = None) -> dict:
     """Write a table laid out by company, or its changed companies only; what was observed on the way."""
     rows, seen = observed(rows, metrics)
     if changed is None:
-        write_table(rows, path, key="ticker")
+        write_table(rows, path, "ticker", buckets)
     else:
-        rows = staged(rows, f"{uuid.uuid4().hex}-rows")
-        replace_by_key(rows, changed, path, ddl=ddl)
+        name = f"{uuid.uuid4().hex}-rows"
+        new = layout(rows.sparkSession, path) is None
+        replace_by_key(staged(rows, name), changed, path, ddl=ddl, buckets=buckets if new else None)
+        drop_path(rows.sparkSession, f"{checkpoint_root(rows.sparkSession)}/staged/{name}")
     return metrics_of(seen)
 
 
+def _buckets(spark: SparkSession, store: Store) -> int:
+    """Silver and gold follow the layout of the facts."""
+    stored = layout(spark, store.path("bronze", "xbrl_facts"))
+    return stored[1] if stored else BUCKETS
+
+
 def build_silver(spark: SparkSession, store: Store, annual: FormSpec = ANNUAL, quarterly: FormSpec = QUARTERLY,
                  changed: DataFrame | None = None) -> dict[str, int]:
     """Statements of both forms in one pass over the facts, then the wide tables and the chunks.
@@ -140,14 +149,17 @@ def build_silver(spark: SparkSession, store: Store, annual: FormSpec = ANNUAL, q
     With ``changed`` only these companies are read and replaced.  Returns the
     rows written per table, as observed by the writes.
     """
+    buckets = _buckets(spark, store)
     facts = _source(spark, store, "bronze", "xbrl_facts", schemas.FACTS, changed)
     counts = {"statements": _put(build_statements(facts, [annual, quarterly]), store.path("silver", "statements"),
-                                 schemas.STATEMENTS, changed)}
+                                 schemas.STATEMENTS, changed, buckets)}
     tidy = _source(spark, store, "silver", "statements", schemas.STATEMENTS, changed)
     for name, form in (("statements_wide", annual.form), ("statements_wide_q", quarterly.form)):
-        counts[name] = _put(to_wide(tidy.filter(F.col("form") == form)), store.path("silver", name), schemas.WIDE, changed)
+        counts[name] = _put(to_wide(tidy.filter(F.col("form") == form)), store.path("silver", name), schemas.WIDE, changed,
+                            buckets)
     mdna = _source(spark, store, "bronze", "mdna", schemas.MDNA, changed)
-    counts["mdna_chunks"] = _put(docs_ops.chunk_table(mdna), store.path("silver", "mdna_chunks"), schemas.CHUNKS, changed)
+    counts["mdna_chunks"] = _put(docs_ops.chunk_table(mdna), store.path("silver", "mdna_chunks"), schemas.CHUNKS, changed,
+                                 buckets)
     return {name: seen["n_rows"] for name, seen in counts.items()}
 
 
@@ -160,10 +172,11 @@ def build_gold(spark: SparkSession, store: Store, changed: DataFrame | None = No
 
     A DuPont product that is not ROE stops the run before the flags.
     """
+    buckets = _buckets(spark, store)
     wide = _source(spark, store, "silver", "statements_wide", schemas.WIDE, changed)
-    audit = _put(compute_ratios(wide), store.path("gold", "ratios"), RATIO_SCHEMA, changed, dupont_metrics())
+    audit = _put(compute_ratios(wide), store.path("gold", "ratios"), RATIO_SCHEMA, changed, buckets, dupont_metrics())
     if audit.get("dupont_ok") is False:
         raise ValueError("DuPont factors do not multiply to ROE")
     ratios = _source(spark, store, "gold", "ratios", RATIO_SCHEMA, changed)
-    flags = _put(red_flags(with_prior_margin(ratios)), store.path("gold", "anomalies"), schemas.ANOMALIES, changed)
+    flags = _put(red_flags(with_prior_margin(ratios)), store.path("gold", "anomalies"), schemas.ANOMALIES, changed, buckets)
     return {"ratios": audit["n_rows"], "anomalies": flags["n_rows"], "dupont_gap": audit.get("dupont_gap")}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.scalar import metrics_json
 from tallyforge.operators.documents import EXCERPT_CHARS, TOP_PASSAGES
-from tallyforge.operators.ratios import RATIO_COLUMNS
+from tallyforge.operators.ratios import RATIO_COLUMNS, RATIO_SCHEMA
 
 # Function names and the order of their parameters.
 PARAMETERS = {
@@ -47,6 +47,28 @@ _BODIES = {
 }
 
 
+#: Rows of the table functions: parameters, columns, body.
+_TABLES = {
+    "company_rows": ([], "ticker STRING, cik BIGINT, entity_name STRING",
+                     "SELECT ticker, cik, entity_name FROM tallyforge_companies"),
+    "statement_rows": (["p_ticker", "p_statement"],
+                       "line_item STRING, period_end DATE, value DOUBLE, tag_used STRING",
+                       """SELECT line_item, period_end, value, tag_used FROM tallyforge_statements
+                          WHERE ticker = upper(p_ticker) AND statement = upper(p_statement)"""),
+    "ratio_rows": (["p_ticker"], RATIO_SCHEMA,
+                   f"""SELECT ticker, period_end, {", ".join(RATIO_COLUMNS)} FROM tallyforge_ratios
+                       WHERE ticker = upper(p_ticker)"""),
+    "anomaly_rows": (["p_ticker"],
+                     "period_end DATE, rule_id STRING, severity STRING, explanation STRING, metrics STRING",
+                     """SELECT period_end, rule_id, severity, explanation, metrics FROM tallyforge_anomalies
+                        WHERE ticker = upper(p_ticker)"""),
+}
+#: The table function behind each function that a request may name.
+ROWS_OF = {"list_companies": "company_rows", "get_statements": "statement_rows", "get_ratios": "ratio_rows",
+           "get_anomalies": "anomaly_rows"}
+REQUESTS = "request_id, name, p_ticker, p_statement"
+
+
 def register_functions(spark: SparkSession, companies: DataFrame, statements: DataFrame,
                        ratios: DataFrame, anomalies: DataFrame, chunks: DataFrame) -> None:
     """Create the five functions for this session over the given tables."""
@@ -62,6 +84,36 @@ def register_functions(spark: SparkSession, companies: DataFrame, statements: Da
                   f"RETURNS STRING RETURN ({_BODIES[name]})")
 
 
+    for name, (parameters, columns, body) in _TABLES.items():
+        signature = ", ".join(f"{p} STRING" for p in parameters)
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({signature}) RETURNS TABLE({columns}) RETURN {body}")
+
+
+def call_requests(spark: SparkSession, requests: DataFrame) -> DataFrame:
+    """(request_id, name, status, n_rows, result) of a table of calls by name.
+
+    Each known name is one lateral call of its table function over all its
+    requests, which Spark plans as a join.  A request for an unknown function is
+    a row with an error object, not an error; nothing found is an empty list.
+    The rows of a request are those of one company.
+    """
+    requests.selectExpr(*REQUESTS.split(", ")).createOrReplaceTempView("tallyforge_requests")
+    found = None
+    for name, rows in ROWS_OF.items():
+        arguments = ", ".join(f"r.{p}" for p in _TABLES[rows][0])
+        part = spark.sql(f"""SELECT r.request_id, to_json(struct(t.*)) AS item FROM tallyforge_requests r,
+                             LATERAL {rows}({arguments}) t WHERE r.name = '{name}'""")
+        found = part if found is None else found.unionByName(part)
+    lists = found.groupBy("request_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    known = F.coalesce(F.col("name").isin(list(ROWS_OF)), F.lit(False))
+    failure = F.to_json(F.struct(F.concat(F.lit("Unknown function: "), F.coalesce("name", F.lit(""))).alias("error")))
+    listed = F.concat(F.lit("["), F.array_join(F.coalesce("items", F.array().cast("array<string>")), ","), F.lit("]"))
+    return requests.join(lists, "request_id", "left").select(
+        "request_id", "name", F.when(known, "ok").otherwise("error").alias("status"),
+        F.when(known, F.coalesce(F.size("items"), F.lit(0))).cast("bigint").alias("n_rows"),
+        F.when(known, listed).otherwise(failure).alias("result"))
+
+
 def call(spark: SparkSession, name: str, args: dict[str, str] | None = None) -> DataFrame:
     """One-row result of a function call; arguments are bound, never spliced into SQL."""
     if name not in PARAMETERS:

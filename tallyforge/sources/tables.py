@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -161,6 +162,30 @@ def write_table(df: DataFrame, path: str, key: str | None = None,
         _keep_layout(df.sparkSession, path, key, buckets)
 
 
+def write_colocated(df: DataFrame, path: str, key: str = "ticker", buckets: int = BUCKETS) -> None:
+    """Full refresh as a table in Spark's buckets: one task holds all rows of a key, sorted by it.
+
+    For tables with a bounded number of rows per key, such as statements and
+    ratios; facts of a company that could outgrow a task belong in ``write_table``.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    # Every file holds one bucket only, and a bucket is written by one task.
+    (df.repartition(buckets, key).write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key)
+     .format("parquet").saveAsTable(name))
+    spark.sql(f"DROP TABLE {name}")
+    _keep_layout(spark, path, key, buckets)
+
+
+def read_colocated(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """A table of ``write_colocated``: joins, windows and groupings by its key need no exchange."""
+    key, buckets = layout(spark, path)
+    name = f"bucketed_{hashlib.sha256(path.encode()).hexdigest()[:16]}"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} ({ddl}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) "
+              f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The frame written once to the shared folder and read back.
 

@@ -1,5 +1,7 @@
 """Keyed tables keep their layout; landed files are read by name and by primary document."""
 
+import re
+
 import pytest
 
 from tallyforge.sources import feeds, landing, tables
@@ -86,3 +88,32 @@ def test_roster_names_resolve_every_entity(spark):
     df = spark.createDataFrame([("k", 0, f"<feed>{feed}</feed>")], "k string, doc int, xml string")
     got = {r.company for r in feeds.roster_entries(df, "xml", ("k",)).collect()}
     assert got == {"McDonald's", "Café & Co"}
+
+
+def test_colocated_tables_need_no_exchange(spark, tmp_path):
+    from conftest import facts_df, planted_facts
+    from tallyforge.operators.facts import ANNUAL
+    from tallyforge.operators.flags import red_flags
+    from tallyforge.operators.ratios import with_ratios
+    from tallyforge.operators.statements import build_statements, to_wide
+    from tallyforge.schemas import FACTS, STATEMENTS
+
+    facts = facts_df(spark, planted_facts())
+    tables.write_colocated(facts, str(tmp_path / "facts"), buckets=3)
+    stored = tables.read_colocated(spark, str(tmp_path / "facts"), FACTS)
+    tidy = build_statements(stored, [ANNUAL], by_ticker=True)
+    assert "Exchange hashpartitioning" not in tidy._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, tidy.collect())) == sorted(map(str, build_statements(facts, [ANNUAL]).collect()))
+    tables.write_colocated(tidy, str(tmp_path / "statements"), buckets=3)
+    flags = red_flags(with_ratios(to_wide(tables.read_colocated(spark, str(tmp_path / "statements"), STATEMENTS))))
+    assert "Exchange" not in flags._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, flags.collect())) == sorted(map(str, red_flags(with_ratios(to_wide(tidy))).collect()))
+
+
+def test_rows_of_some_keys_read_their_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.write_table(rows(spark, [(f"T{i}", i) for i in range(40)]), path, key="ticker", buckets=8)
+    some = tables.rows_of(spark, path, rows(spark, [("T3", 0), ("T4", 0), ("T3", 1), ("none", 0)]), ROWS)
+    assert sorted((r.ticker, r.v) for r in some.collect()) == [("T3", 3), ("T4", 4)]
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", some._jdf.queryExecution().executedPlan().toString())
+    assert tables.rows_of(spark, str(tmp_path / "absent"), rows(spark, [("T3", 0)]), ROWS).count() == 0

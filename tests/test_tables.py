@@ -228,7 +228,7 @@ def store(spark, tmp_path_factory):
 
 
 def test_pipeline_tables(spark, store):
-    table = lambda layer, name: tables.read_table(spark, store.path(layer, name))
+    table = lambda layer, name, ddl=None: tables.read_table(spark, store.path(layer, name), ddl)
     company = table("bronze", "companies").first()
     assert (company.cik, company.entity_name, company.n_fact_rows) == (42, "TEST CORP /DE/", 37)
     profile = table("bronze", "company_profile").first()
@@ -242,7 +242,7 @@ def test_pipeline_tables(spark, store):
     assert (segment.label, segment.value, segment.ticker) == ("Phone", 700 * MILLION, "TEST")
     assert medallion.statements(spark, store).count() == 36
     assert medallion.statements(spark, store, "10-Q").count() == 0
-    assert table("silver", "statements_wide").count() == 3 and table("silver", "statements_wide_q").count() == 0
+    assert table("silver", "statements_wide").count() == 3 and table("silver", "statements_wide_q", schemas.WIDE).count() == 0
     assert table("silver", "mdna_chunks").count() >= 2
     flags = {(str(r.period_end), r.rule_id) for r in table("gold", "anomalies").collect()}
     assert ("2025-12-31", "ar_outpaces_revenue") in flags
@@ -268,6 +268,17 @@ def test_serving_functions(spark, store):
     assert call("get_ratios", p_ticker="a'; DROP TABLE x;--") == []
     with pytest.raises(KeyError):
         serving.call(spark, "drop_everything")
+    requests = spark.createDataFrame(
+        [(1, "list_companies", None, None), (2, "get_statements", "test", "is"), (3, "drop_everything", "TEST", ""),
+         (4, "get_ratios", "none", None), (5, "get_anomalies", "TEST", None), (6, None, "TEST", None)],
+        "request_id int, name string, p_ticker string, p_statement string")
+    done = {r.request_id: r for r in serving.call_requests(spark, requests).collect()}
+    assert json.loads(done[1].result) == call("list_companies")
+    by_item = lambda rows: sorted(rows, key=lambda r: (r["line_item"], r["period_end"]))
+    assert by_item(json.loads(done[2].result)) == by_item(income) and done[2].n_rows == len(income)
+    assert json.loads(done[3].result) == {"error": "Unknown function: drop_everything"} and done[3].status == "error"
+    assert (done[4].status, done[4].n_rows, done[4].result) == ("ok", 0, "[]")
+    assert done[5].n_rows == len(flags) and done[6].status == "error"
     asked = spark.createDataFrame([(1, "test", "Receivables collection zebra")],
                                   "request_id int, ticker string, query string")
     batch = documents.search_passages(asked, table("silver", "mdna_chunks")).orderBy("rank").collect()

@@ -411,7 +411,7 @@ select o_orderkey, {_B} as money, 'FY' || year(o_orderdate) as fy,
        {_PCT.format('(o_totalprice - base * 100.0) / abs(base * 100.0)')} as change,
        lpad(cast(o_custkey as varchar), 10, '0') as cik,
        o_custkey || '/' || o_orderkey || '01/a.htm' as path,
-       o_orderpriority as name, '\\$5' as escaped, lpad(cast(o_custkey % 1000 as varchar), greatest(4, 0), '0') as code
+       o_orderpriority as name, '\\$' || o_orderkey as escaped, lpad(cast(o_custkey % 1000 as varchar), greatest(4, 0), '0') as code
 from o""")
 def labels_format(spark, sf_dir):
     key = F.col("o_orderkey").cast("string")
@@ -425,5 +425,5 @@ def labels_format(spark, sf_dir):
         scalar.cik10(F.col("o_custkey")).alias("cik"),
         scalar.document_path(F.col("o_custkey"), F.concat(key, F.lit("-01")), F.lit("a.htm")).alias("path"),
         scalar.strip_state_suffix(F.concat("o_orderpriority", F.lit(" /DE/"))).alias("name"),
-        scalar.escape_dollar(F.lit("$5")).alias("escaped"),
+        scalar.escape_dollar(F.concat(F.lit("$"), key)).alias("escaped"),
         scalar.code_text(F.concat((F.col("o_custkey") % 1000).cast("string"), F.lit(".0")), 4).alias("code"))

@@ -296,7 +296,7 @@ def _order_markup(spark, sf_dir):
     return fx.texts(spark, sf_dir, "orders").select("o_orderkey", html.alias("html"))
 
 
-@checked("""with o as (select *, cast(o_orderdate as date) as d,
+_SEGMENTS = """with o as (select *, cast(o_orderdate as date) as d,
   cast(cast(o_orderdate as date) - 364 as varchar) as period_start,
   cast(cast(o_orderdate as date) as varchar) as period_end from orders)
 select o_orderkey, 'srt:ProductOrServiceAxis' as axis, 'us-gaap:ProductMember' as member, 'Product' as label,
@@ -309,11 +309,22 @@ from o where o_orderstatus <> 'P'
 union all
 select o_orderkey, 'us-gaap:StatementBusinessSegmentsAxis', 'acme:CloudServicesSegmentMember', 'Cloud Services',
        cast(o_custkey || '.5' as double), period_start, period_end
-from o where o_orderstatus = 'P'""")
+from o where o_orderstatus = 'P'"""
+
+
+@checked(_SEGMENTS)
 def segment_revenue(spark, sf_dir):
     return iso(segments.segment_revenue(_order_markup(spark, sf_dir), "html", ("o_orderkey",)))
 
 
+@checked(f"""select *, row_number() over (partition by o_orderkey order by value desc, member) as segment_rank
+from ({_SEGMENTS})""")
+def segments_ranked(spark, sf_dir):
+    """Segments of every filing, the largest first."""
+    found = segments.segment_revenue(_order_markup(spark, sf_dir), "html", ("o_orderkey",))
+    return iso(segments.ranked_segments(found, "o_orderkey"))
+
+
 # ---- conversations --------------------------------------------------------------------
 
 def _turns(spark, sf_dir):

@@ -184,3 +184,9 @@ def segment_revenue(docs: DataFrame, markup: str, keys: tuple[str, ...], large:
 def ordered_segments(segments: DataFrame, *keys: str) -> DataFrame:
     """Largest segment first."""
     return segments.orderBy(*keys, F.col("value").desc(), "member")
+
+
+def ranked_segments(segments: DataFrame, *keys: str) -> DataFrame:
+    """The same order as a column: ``segment_rank`` is 1 on the largest segment of a document."""
+    largest = Window.partitionBy(*keys).orderBy(F.col("value").desc(), "member")
+    return segments.withColumn("segment_rank", F.row_number().over(largest).cast("bigint"))

@@ -194,6 +194,10 @@ def prefixes(sets: DataFrame, percent: int, docs_per_chunk: int) -> DataFrame:
                     "row_id long, n long, prefix array<long>, least array<long>")
 
 
+#: Stars go on while a round links one set in so many.
+STAR_SHARE = 100
+
+
 def _tree_links(percent: int):
     def run(rows: pa.Table) -> pa.Table:
         keys = [np.frombuffer(k, "<u8") for k in rows.column("keys").to_pylist()]
@@ -237,16 +241,24 @@ def _links_in_nodes(placed: DataFrame, sets: DataFrame, percent: int) -> DataFra
             .groupBy("a", "b").applyInArrow(_tree_links(percent), "u long, v long"))
 
 
-def _links_across(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between nodes: prefix shingles of more than one component name the pairs of nodes."""
+def _links_across(known: DataFrame, sets: DataFrame, percent: int, star: bool = False) -> DataFrame:
+    """Links between nodes: prefix shingles of more than one component name the pairs of nodes.
+
+    With ``star`` a shingle pairs its nodes only with one of them, that of its
+    smallest component, which takes work linear in the shingle's sets.
+    """
     tokens = known.select("row_id", "node", "component", "n", F.explode("prefix").alias("token"))
     open_ = (tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .filter("low < high").select("token"))
     held = stage(tokens.join(open_, "token").select("token", "row_id", "node", "component", "n"))
     ends = held.groupBy("token", "node", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = ends.toDF("token", "node_2", "component_2", "low_2", "high_2")
+    if star:
+        hub = other.groupBy("token").agg(F.min(F.struct("component_2", "node_2", "low_2", "high_2")).alias("hub"))
+        other = hub.select("token", "hub.*")
     fits = F.least("high", "high_2") * 100 >= F.greatest("low", "low_2") * percent
-    cells = stage(ends.join(other, "token").filter("component < component_2 AND node <> node_2").filter(fits)
+    differ = "component <> component_2" if star else "component < component_2"
+    cells = stage(ends.join(other, "token").filter(f"{differ} AND node <> node_2").filter(fits)
                   .select("token", F.least("node", "node_2").alias("node"),
                           F.greatest("node", "node_2").alias("node_2")).distinct())
     sided = (cells.join(held, ["token", "node"])
@@ -266,7 +278,17 @@ def connecting_links(sets: DataFrame, prefix: DataFrame, percent: int, node_sets
     for order in range(2, ORDERS + 1):
         known = _labelled(_nodes(prefix, order, nodes, node_sets), links)
         links = stage(links.unionByName(_links_in_nodes(known, sets, percent)))
-    known = stage(_labelled(placed.select("row_id", "node", "n", "prefix"), links))
+    sets_here = placed.select("row_id", "node", "n", "prefix")
+    known = stage(_labelled(sets_here, links))
+    # Stars first: a large group of near copies becomes one component before all pairs of its nodes are named.
+    while True:
+        star = stage(_links_across(known, sets, percent, star=True))
+        found = star.count()
+        links = stage(links.unionByName(star))
+        known = stage(_labelled(sets_here, links))
+        # A round that joins few sets leaves little to the exact step below.
+        if found < max(1, prefix.count() // STAR_SHARE):
+            break
     return links.unionByName(_links_across(known, sets, percent))
 
 

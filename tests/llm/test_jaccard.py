@@ -98,3 +98,10 @@ def test_components_of_a_path_a_star_and_a_loop(spark):
         spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(41)}
     assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_a_large_group_that_links_only_in_a_chain(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1000 - i, " ".join(words[6 * i:6 * i + 60])) for i in range(57)]
+    got = run(spark, rows, docs_per_chunk=9, node_sets=3)
+    assert got == brute(rows) and {r[2] for r in got} == {944}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -42,19 +43,18 @@ _LOCAL_ROOT: dict[str, str] = {}
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local session
-    without that setting (tests on one machine) gets a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``, with or without a scheme:
+    a path without one belongs to the default file system of driver and
+    executors alike, which may be a mounted folder.  Where it is unset, the
+    warehouse serves, which a cluster shares for its tables.  Only a session in
+    one process without that setting (tests on one machine) gets a temporary
+    folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if configured.startswith("/") and not spark.sparkContext.master.startswith("local"):
-            # Without a scheme the path belongs to the default file system of the cluster.
-            default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
-            if default.startswith("file:"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share, with its scheme")
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
+        return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if "path" not in _LOCAL_ROOT:
         _LOCAL_ROOT["path"] = tempfile.mkdtemp(prefix="tallyforge-")
     return _LOCAL_ROOT["path"]

@@ -7,6 +7,8 @@ table, which a pandas UDF resolves for the texts that need it.
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -31,6 +33,8 @@ COMMON_ENTITIES = ["quot", "lt", "gt", "nbsp", "copy", "reg", "trade", "middot",
                    "ndash", "mdash", "lsquo", "rsquo", "ldquo", "rdquo", "sect",
                    "#39", "#160", "#8211", "#8212", "#8217", "#8220", "#8221", "amp"]
 _UNCOMMON = "&(?!(?:" + "|".join(COMMON_ENTITIES) + ");)(?=#|[A-Za-z])"
+_ENDED = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+_UNCOMMON_ENDED = "&(?!(?:" + "|".join(COMMON_ENTITIES) + ");)" + _ENDED[1:]
 
 
 def strip(text: Column) -> Column:
@@ -43,6 +47,16 @@ def _unescape_all(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+def _ended(found: re.Match) -> str:
+    ref = found[0]
+    return html.unescape(ref) if ref[1] == "#" else html.entities.html5.get(ref[1:], ref)
+
+
+@F.pandas_udf(StringType())
+def _unescape_ended(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: re.sub(_ENDED, _ended, t), na_action="ignore")
+
+
 def unescape_full(text: Column) -> Column:
     """All entities; the pandas call does work only on texts with a rare one."""
     rare = F.when(F.coalesce(text, F.lit("")).rlike(_UNCOMMON), text)
@@ -77,13 +91,14 @@ def unescape(text: Column) -> Column:
 
 
 def with_text(df: DataFrame, markup: str, out: str = "text",
-              full_entities: bool = True) -> DataFrame:
+              full_entities: bool = True, ended_only: bool = False) -> DataFrame:
     """Adds the plain text of a markup column; paragraph breaks are kept.
 
     The stages are columns of their own and each is used more than once by the
     next, so Spark evaluates every stage once.  Texts with common entities only
     stay in the JVM; with ``full_entities`` the others go through the entity
-    table of a pandas UDF, which sees null for all the rest.
+    table of a pandas UDF, which sees null for all the rest.  With
+    ``ended_only`` a reference without its semicolon is text.
     """
     bare = F.regexp_replace(F.col(markup), DROPPED_BLOCKS, " ")
     bare = F.regexp_replace(bare, BLOCK_TAGS, "\n")
@@ -91,8 +106,9 @@ def with_text(df: DataFrame, markup: str, out: str = "text",
     plain = F.when(F.contains("_bare", F.lit("&")), _common(F.col("_bare"))) \
         .otherwise(F.col("_bare"))
     if full_entities:
-        rare = F.when(F.col("_bare").rlike(_UNCOMMON), F.col("_bare"))
-        plain = F.coalesce(_unescape_all(rare), plain)
+        pattern, resolved = (_UNCOMMON_ENDED, _unescape_ended) if ended_only else (_UNCOMMON, _unescape_all)
+        rare = F.when(F.col("_bare").rlike(pattern), F.col("_bare"))
+        plain = F.coalesce(resolved(rare), plain)
     t = F.replace(plain, F.lit("\u00a0"), F.lit(" "))
     t = F.replace(t, F.lit("\u2019"), F.lit("'"))
     # Single blanks and bare line ends stay as they are, so only the others match.

@@ -3,10 +3,12 @@
 import os
 import re
 
+import duckdb
 import pytest
 
 import __spark_entry__  # noqa: F401  registers the queries
 from driver.registry import ORACLE, QUERIES
+from tallyforge.functions.text import with_text
 from tools.check_oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +68,15 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "EqualTo(taxonomy,us-gaap)" in text and "EqualTo(form,10-K)" in text
     read = re.search("ReadSchema: struct<(.*?)>", text).group(1)
     assert "val:double" in read and "frame:" not in read and "label:" not in read
+
+
+def test_html_to_text_with_a_cut_reference(spark, tmp_path):
+    """A reference without its semicolon stays as it is, also beside one of the full entity table."""
+    html = "<p>a &amp; b &amp</p><p>&lt;c&gt; &amp;lt; &ampx; &notit; &copy</p>"
+    spark.createDataFrame([(1, html), (2, "x &amp"), (3, None)], "page_id long, html string") \
+        .coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert compare(spark, con, "html_to_text", str(tmp_path)) == ""
+    text = with_text(spark.sql("select '&eacute; &#233; &#xE9; &eacute &amp; &notit;' as html"), "html", ended_only=True)
+    assert text.first().text == "é é é &eacute & &notit;"

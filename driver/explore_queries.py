@@ -366,7 +366,8 @@ cast(cast(o_orderdate as date) as varchar) as filing_date,
 cast(row_number() over (partition by o_custkey order by cast(o_orderdate as date) desc, o_orderkey desc) as bigint) as filing_rank
 from orders where o_orderstatus = 'F' qualify filing_rank <= 2""")
 def recent_filings(spark, sf_dir):
-    newest = documents.recent_filings(fx.filings(spark, sf_dir))
+    # By the number: of customers above 99,999 several share a ticker.
+    newest = documents.recent_filings(fx.filings(spark, sf_dir), key="cik")
     return iso(newest.select("ticker", "accession_number", "filing_date",
                              F.col("filing_rank").cast("bigint").alias("filing_rank")))
 

@@ -70,6 +70,17 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "val:double" in read and "frame:" not in read and "label:" not in read
 
 
+def test_recent_filings_of_companies_with_six_digits(spark, tmp_path):
+    """Customers 123456 and 123457 share the ticker S12345; each has filings of its own."""
+    rows = [(i, 123456 + i % 2, "F", f"2024-01-{i + 1:02d}") for i in range(8)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, day string")
+    orders.selectExpr("o_orderkey", "o_custkey", "o_orderstatus", "cast(day as timestamp) as o_orderdate") \
+        .coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    assert compare(spark, con, "recent_filings", str(tmp_path)) == ""
+
+
 def test_html_to_text_with_a_cut_reference(spark, tmp_path):
     """A reference without its semicolon stays as it is, also beside one of the full entity table."""
     html = "<p>a &amp; b &amp</p><p>&lt;c&gt; &amp;lt; &ampx; &notit; &copy</p>"

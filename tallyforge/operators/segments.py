@@ -1,34 +1,40 @@
 """Segment revenue from inline markup, one map over each document.
 
-Contexts and facts of a document are arrays in its row.  A small document joins
-them there and yields its segments.  Looking up an array or a map is a scan, so
-in a large document that would take time with the product of both; it yields
-its contexts and facts instead, which are joined by key.  The rules of that
-join leave the segments of small documents as they are, so all documents take
-one way, and the markup is parsed once.
+Contexts and facts of a document are arrays in its row and are joined there, so
+nothing is shuffled.  One pattern reads all fields of a context or of a fact's
+tag at once.  Looking up an array is a scan, so in a document with many pairs of
+contexts and facts, sorted arrays are bisected instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import let, strip
+from tallyforge.functions.text import WS, let
 from tallyforge.taxonomy import REVENUE_TAGS
 
 # Markup patterns, axes in order of preference, number format.
 CONTEXT = r'(?is)<xbrli:context[^>]*id="[^"]+"[^>]*>.*?</xbrli:context>'
-CONTEXT_ID = r'(?is)\A<xbrli:context[^>]*id="([^"]+)"'
-MEMBER = r'(?i)<xbrldi:explicitMember[^>]*dimension="([^"]+)"[^>]*>\s*([^<\s]+)\s*<'
-START = r"(?i)<xbrli:startDate>([\d\-]+)</xbrli:startDate>"
-END = r"(?i)<xbrli:endDate>([\d\-]+)</xbrli:endDate>"
+# A context in one pass, tag by tag: (1) id, (2) axis, (3) member, (6) first start, (8) first end.  An empty group
+# marks what was met: (5) a member, (4) a second one, which rules the context out, (7) a start, (9) an end.
+CONTEXT_FIELDS = (
+    r'(?is)\A<xbrli:context[^>]*id="([^"]+)"[^>]*>[^<]*(?:'
+    r'<xbrldi:explicitMember[^>]*dimension="([^"]+)"[^>]*>\s*([^<\x20\t\n\x0B\f\r]+)\s*(?=<)(?:\5()|())'
+    r'|(?!\7)<xbrli:startDate>([\d\-]+)</xbrli:startDate>()[^<]*'
+    r'|(?!\9)<xbrli:endDate>([\d\-]+)</xbrli:endDate>()[^<]*'
+    r'|<[^<]*)*+\z\5\7\9(?!\4)')
 FACT = r"(?is)<ix:nonFraction[^>]*>.*?</ix:nonFraction>"
-FACT_OPEN = r"(?is)\A<ix:nonFraction([^>]*)>"
+# One attribute after the other: the last value of each name is kept, an absent one is empty.
+FACT_OPEN = (r"(?s)\A(?i:<ix:nonFraction)(?:" + "".join(rf'{name}="([^">]*)"|' for name in ("name", "contextRef", "scale", "sign"))
+             + r'[A-Za-z0-9_:\-]++(?:="[^">]*")?|[^>])*+>')
 AXES = ["srt:ProductOrServiceAxis", "us-gaap:StatementBusinessSegmentsAxis"]
-NUMBER = r"\A(\d+(?:\.\d+)?)\z"
+NUMBER = rf"\A(?:(?!\d){WS}+)?(\d+(?:\.\d+)?)(?:\z|{WS}+\z)"
 MIN_DAYS, MAX_DAYS = 340, 390
 
-#: Contexts times facts, above which a document's entries are joined by key.
+#: Contexts times facts, above which sorted arrays are bisected.
 LARGE = 10_000
 
 
@@ -36,15 +42,6 @@ def _all(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def _attribute(attrs: Column, name: str) -> Column:
-    """Value of the last attribute of that exact name; null if absent.
-
-    The pattern starts with a literal, which the scanner finds fastest; the look
-    back makes sure that the name starts there.
-    """
-    return F.try_element_at(_all(attrs, rf'{name}(?<![\w:\-]{name})="([^"]*)"', 1), F.lit(-1))
-
-
 def pretty_member(member: Column) -> Column:
     """'aapl:IPhoneMember' -> 'IPhone'; 'CloudServicesSegmentMember' -> 'Cloud Services'."""
     local = F.element_at(F.split(member, ":"), -1)
@@ -56,122 +53,111 @@ def pretty_member(member: Column) -> Column:
 def _contexts(markup: Column) -> Column:
     """Array of (id, axis, member, start, end) of usable single-axis contexts."""
     def parse(piece: Column) -> Column:
-        return let(_all(piece, MEMBER, 0), lambda members: F.struct(
-            F.regexp_extract(piece, CONTEXT_ID, 1).alias("id"), F.size(members).alias("n"),
-            F.regexp_extract(F.try_element_at(members, F.lit(1)), MEMBER, 1).alias("axis"),
-            F.regexp_extract(F.try_element_at(members, F.lit(1)), MEMBER, 2).alias("member"),
-            F.regexp_extract(piece, START, 1).try_cast("date").alias("start"),
-            F.regexp_extract(piece, END, 1).try_cast("date").alias("end")))
+        # A quote opens each field; only the last one, the member, may hold quotes.
+        fields = F.split(F.regexp_replace(piece, CONTEXT_FIELDS, '"$6"$8"$1"$2"$3'), '"', 6)
+        return let(fields, lambda f: F.when(F.get(f, F.lit(0)) == "", F.struct(
+            f[3].alias("id"), f[4].alias("axis"), f[5].alias("member"),
+            f[1].try_cast("date").alias("start"), f[2].try_cast("date").alias("end"))))
 
     # Most contexts name neither axis; they are dropped before they are parsed.
     pieces = F.filter(_all(markup, CONTEXT, 0), lambda p: F.contains(p, F.lit(AXES[0]))
                       | F.contains(p, F.lit(AXES[1])))
-    return F.filter(F.transform(pieces, parse), lambda c: (c["n"] == 1) & c["axis"].isin(AXES)
+    return F.filter(F.transform(pieces, parse), lambda c: c["axis"].isin(AXES)
                     & c["start"].isNotNull() & c["end"].isNotNull())
 
 
 def _facts(markup: Column) -> Column:
-    """Array of (context id, value) of readable revenue facts, in document order."""
-    def parse(piece: Column) -> Column:
-        attrs = F.regexp_extract(piece, FACT_OPEN, 1)
-        raw = strip(F.regexp_replace(piece, "<[^>]+>|[, ]", ""))
-        number = F.regexp_extract(raw, NUMBER, 1).try_cast("double")
-        return let(attrs, lambda a: F.struct(
-            _attribute(a, "name").alias("name"), _attribute(a, "contextRef").alias("cid"),
-            (number * F.pow(F.lit(10.0), F.coalesce(
-                F.nullif(_attribute(a, "scale"), F.lit("")), F.lit("0")).try_cast("int"))
-             * F.when(_attribute(a, "sign") == "-", -1.0).otherwise(1.0)).alias("value")))
-
+    """Array of revenue facts in document order: name, context id, scale, sign and content after an empty field."""
     names = [f"us-gaap:{t}" for t in REVENUE_TAGS]
-    mentioned = "|".join(f'"{n}"' for n in names)
+    mentioned = f'"us-gaap:(?:{"|".join(REVENUE_TAGS)})"'
     pieces = F.filter(_all(markup, FACT, 0), lambda p: p.rlike(mentioned))
-    return F.filter(F.transform(pieces, parse),
-                    lambda f: f["name"].isin(names) & f["value"].isNotNull())
+    fields = F.transform(pieces, lambda p: F.split(F.regexp_replace(p, FACT_OPEN, '"$1"$2"$3"$4"'), '"', 6))
+    return F.filter(fields, lambda f: f[1].isin(names))
+
+
+def _value(fact: Column) -> Column:
+    """The number of a fact; null if its content or its scale is unreadable."""
+    raw = F.regexp_replace(fact[5], "<[^>]+>|[, ]", "")
+    # Casting an empty text costs an exception.
+    number = let(F.regexp_extract(raw, NUMBER, 1), lambda n: F.when(n != "", n.try_cast("double")))
+    scale = F.coalesce(F.nullif(fact[3], F.lit("")), F.lit("0")).try_cast("int")
+    return number * F.pow(F.lit(10.0), scale) * F.when(fact[4] == "-", -1.0).otherwise(1.0)
+
+
+def _scanned(contexts: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``body`` with a function from an id to its last context, found by a scan; null if there is none."""
+    ids = F.reverse(F.transform(contexts, lambda c: c["id"]))
+    return let(ids, lambda i: body(lambda id_: F.get(
+        contexts, F.size(i) - F.array_position(i, id_).cast("int"))))
+
+
+def _bisected(contexts: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """The same over contexts sorted by id and place."""
+    ordered = F.sort_array(F.transform(contexts, lambda c, i: F.struct(c["id"].alias("id"), i.alias("at"), c.alias("c"))))
+    # Powers of two from the size down; their sum reaches every count of ids up to the one looked for.
+    steps = lambda o: F.filter(F.array(*[F.lit(2**k) for k in range(30, -1, -1)]), lambda s: s <= F.size(o))
 
+    def find(o: Column, s: Column, id_: Column) -> Column:
+        upto = F.aggregate(s, F.lit(0), lambda n, step: F.when(
+            F.get(o, n + step - 1)["id"] <= id_, n + step).otherwise(n))
+        return let(F.get(o, upto - 1), lambda last: F.when(last["id"] == id_, last["c"]))
 
-def _last_per_id(contexts: Column) -> Column:
-    """A context id used twice keeps its last definition."""
-    return let(F.transform(contexts, lambda c: c["id"]), lambda ids: F.filter(
-        contexts, lambda c, i: F.array_position(
-            F.slice(ids, i + 2, F.size(ids)), c["id"]) == 0))
+    return let(ordered, lambda o: let(steps(o), lambda s: body(lambda id_: find(o, s, id_))))
 
 
 def _first_per_member(rows: Column) -> Column:
-    return let(F.transform(rows, lambda x: x["c"]["member"]), lambda members: F.filter(
-        rows, lambda x, i: F.array_position(members, x["c"]["member"]) == i + 1))
+    return let(F.transform(rows, lambda x: x["member"]), lambda members: F.filter(
+        rows, lambda x, i: F.array_position(members, x["member"]) == i + 1))
 
 
-def _joined(contexts: Column, facts: Column) -> Column:
-    """Facts with their context, annual periods only; contexts without a fact are skipped."""
-    used = let(F.transform(facts, lambda f: f["cid"]), lambda cids: F.filter(
-        contexts, lambda c: F.array_contains(cids, c["id"])))
-    by_id = let(used, lambda u: let(_last_per_id(u), lambda last: F.map_from_arrays(
-        F.transform(last, lambda c: c["id"]), last)))
-    return let(by_id, lambda m: F.filter(
-        F.transform(facts, lambda f: F.struct(F.try_element_at(m, f["cid"]).alias("c"),
-                                              f["value"].alias("value"))),
-        lambda x: F.datediff(x["c"]["end"], x["c"]["start"]).between(MIN_DAYS, MAX_DAYS)))
+def _first_in_order(rows: Column) -> Column:
+    """The same over rows sorted by member and place."""
+    ordered = F.sort_array(F.transform(rows, lambda x, i: F.struct(x["member"].alias("member"), i.alias("at"), x.alias("x"))))
+    return let(ordered, lambda o: F.transform(
+        F.filter(o, lambda x, i: (i == 0) | (F.get(o, i - 1)["member"] != x["member"])), lambda x: x["x"]))
 
 
-def _choose(rows: Column) -> Column:
+def _annual(facts: Column, context_of: Callable[[Column], Column]) -> Column:
+    """Readable facts of annual contexts: (axis, member, start, end, value)."""
+    held = F.filter(F.transform(facts, lambda f: F.struct(context_of(f[2]).alias("c"), f.alias("f"))),
+                    lambda x: F.datediff(x["c"]["end"], x["c"]["start"]).between(MIN_DAYS, MAX_DAYS))
+    return F.filter(F.transform(held, lambda x: F.struct(
+        *[x["c"][name].alias(name) for name in ("axis", "member", "start", "end")], _value(x["f"]).alias("value"))),
+        lambda x: x["value"].isNotNull())
+
+
+def _choose(rows: Column, first: Callable[[Column], Column]) -> Column:
     """Newest period end, first axis with data, first fact of a member."""
     def on_axis(newest: Column, axis: str) -> Column:
-        return F.filter(newest, lambda x: x["c"]["axis"] == axis)
+        return F.filter(newest, lambda x: x["axis"] == axis)
 
-    newest = let(F.array_max(F.transform(rows, lambda x: x["c"]["end"])), lambda end: F.filter(
-        rows, lambda x: x["c"]["end"] == end))
+    newest = let(rows, lambda all_: let(F.array_max(F.transform(all_, lambda x: x["end"])), lambda end: F.filter(
+        all_, lambda x: x["end"] == end)))
     picked = let(newest, lambda n: let(on_axis(n, AXES[0]), lambda a: F.when(
         F.size(a) > 0, a).otherwise(on_axis(n, AXES[1]))))
-    return let(picked, _first_per_member)
-
-
-def _entry(done: bool, at: Column, id_: Column, context: Column, value: Column) -> Column:
-    return F.struct(
-        F.lit(done).alias("done"), at.cast("int").alias("at"), id_.alias("id"),
-        F.struct(*[context[c].alias(c) for c in ("axis", "member", "start", "end")]).alias("c"), value.alias("value"))
+    return let(picked, first)
 
 
-def _raw(contexts: Column, facts: Column) -> Column:
-    """Contexts (without a value) and facts (without a context), numbered in document order."""
-    none = F.struct(*[F.lit(None).cast(kind).alias(name) for name, kind in (
-        ("axis", "string"), ("member", "string"), ("start", "date"), ("end", "date"))])
-    return F.concat(
-        F.transform(contexts, lambda c, i: _entry(False, i, c["id"], c, F.lit(None).cast("double"))),
-        F.transform(facts, lambda f, i: _entry(False, i, f["cid"], none, f["value"])))
+def segment_entries(markup: Column, large: int = LARGE) -> Column:
+    """The segments of a document: array of (axis, member, start, end, value).
 
+    Annual facts of the newest period end, on the first axis with data, the
+    first fact of a member; a context id used twice keeps its last definition.
+    """
+    def chosen(p: Column, found: Callable, first: Callable[[Column], Column]) -> Column:
+        return _choose(found(p["contexts"], lambda context_of: _annual(p["facts"], context_of)), first)
 
-def segment_entries(markup: Column, large: int = LARGE) -> Column:
-    """What a document yields: its segments, or the contexts and facts of a large one, for ``unpack_segments``."""
     parsed = F.struct(_contexts(markup).alias("contexts"), _facts(markup).alias("facts"))
     few = lambda p: F.size(p["contexts"]).cast("bigint") * F.size(p["facts"]) <= large
-    return let(parsed, lambda p: F.when(few(p), F.transform(
-        let(_joined(p["contexts"], p["facts"]), _choose),
-        lambda x, i: _entry(True, i, F.lit(None).cast("string"), x["c"], x["value"])))
-        .otherwise(_raw(p["contexts"], p["facts"])))
+    return let(parsed, lambda p: F.when(few(p), chosen(p, _scanned, _first_per_member))
+               .otherwise(chosen(p, _bisected, _first_in_order)))
 
 
 def unpack_segments(rows: DataFrame, entries: Column, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, axis, member, label, value, period_start, period_end).
-
-    Annual facts of the newest period end, on the first axis with data, the
-    first fact of a member; a context id used twice keeps its last definition.
-    The entries of a document meet in one task, where windows sort them.
-    """
-    numbered = rows.withColumn("_document", F.monotonically_increasing_id())
-    entry = numbered.select(*keys, "_document", F.explode(entries).alias("e")).select(*keys, "_document", "e.*")
-    entry = entry.repartition("_document")
-    same_id, document = Window.partitionBy("_document", "id"), Window.partitionBy("_document")
-    context = F.max_by("c", F.when(~F.col("done") & F.col("value").isNull(), F.col("at"))).over(same_id)
-    facts = entry.withColumn("c", F.when(F.col("done"), F.col("c")).otherwise(context)).filter("value IS NOT NULL")
-    annual = facts.filter(F.datediff("c.end", "c.start").between(MIN_DAYS, MAX_DAYS))
-    newest = (annual.withColumn("_newest", F.max("c.end").over(document)).filter(F.col("c.end") == F.col("_newest"))
-              .withColumn("_first_axis", F.max(F.col("c.axis") == AXES[0]).over(document))
-              .filter((F.col("c.axis") == AXES[0]) == F.col("_first_axis")))
-    member = Window.partitionBy("_document", "c.member").orderBy("at")
-    return (newest.withColumn("_rn", F.row_number().over(member)).filter("_rn = 1")
-            .select(*keys, F.col("c.axis").alias("axis"), F.col("c.member").alias("member"),
-                    pretty_member(F.col("c.member")).alias("label"), "value",
-                    F.col("c.start").alias("period_start"), F.col("c.end").alias("period_end")))
+    """(keys, axis, member, label, value, period_start, period_end)."""
+    return (rows.select(*keys, F.explode(entries).alias("e"))
+            .select(*keys, "e.axis", "e.member", pretty_member(F.col("e.member")).alias("label"), "e.value",
+                    F.col("e.start").alias("period_start"), F.col("e.end").alias("period_end")))
 
 
 def segment_revenue(docs: DataFrame, markup: str, keys: tuple[str, ...], large: int = LARGE) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from tallyforge.functions.text import (CHUNK_TARGET, chunk_text, extract_section, let,
                                        query_words, with_text)
@@ -102,21 +104,27 @@ def _request_batches(requests: DataFrame, batch: int) -> DataFrame:
                .agg(F.collect_list(F.struct("request_id", "words")).alias("_asked")))
     # The vocabulary is bound once; as a column it would be rebuilt for every word.
     packed = let(F.array_distinct(F.flatten(F.col("_asked.words"))), lambda v: F.struct(
-        v.alias("vocabulary"), F.transform("_asked", lambda r: F.struct(
+        F.array_join(v, " ").alias("vocabulary"), F.transform("_asked", lambda r: F.struct(
             r["request_id"].alias("request_id"),
             F.transform(r["words"], lambda w: F.array_position(v, w).cast("int")).alias("at")))
         .alias("requests")))
     return batches.select("ticker", packed.alias("batch"))
 
 
-def _scores(text_lower: Column) -> Column:
-    """Scores above zero of a batch's requests: every vocabulary word is looked up once."""
-    found = F.transform("batch.vocabulary", lambda w: F.contains(text_lower, w))
-    return let(found, lambda hit: F.filter(
+@F.pandas_udf(ArrayType(BooleanType()))
+def _held(text: pd.Series, vocabulary: pd.Series) -> pd.Series:
+    """Which words of a vocabulary, joined by blanks, the text holds; Python's search is several times faster than Spark's."""
+    words = {v: v.split(" ") for v in vocabulary.unique()}
+    return pd.Series([[w in t for w in words[v]] for t, v in zip(text, vocabulary)])
+
+
+def _scores(held: Column) -> Column:
+    """Scores above zero of a batch's requests: every vocabulary word was looked up once."""
+    return F.filter(
         F.transform("batch.requests", lambda r: F.struct(
             r["request_id"].alias("request_id"),
-            F.size(F.filter(r["at"], lambda i: F.element_at(hit, i))).alias("score"))),
-        lambda x: x["score"] > 0))
+            F.size(F.filter(r["at"], lambda i: F.element_at(held, i))).alias("score"))),
+        lambda x: x["score"] > 0)
 
 
 def search_passages(requests: DataFrame, chunks: DataFrame, top: int = TOP_PASSAGES,
@@ -133,8 +141,10 @@ def search_passages(requests: DataFrame, chunks: DataFrame, top: int = TOP_PASSA
                             "accession_number", "chunk_id",
                             F.lower("chunk_text").alias("_text"))
               .join(_request_batches(requests, batch), "ticker")
+              .select("filing_date", "accession_number", "chunk_id", "batch",
+                      _held("_text", "batch.vocabulary").alias("_held"))
               .select("filing_date", "accession_number", "chunk_id",
-                      F.inline(_scores(F.col("_text")))))
+                      F.inline(_scores(F.col("_held")))))
     best = Window.partitionBy("request_id").orderBy(
         F.col("score").desc(), F.col("filing_date").desc_nulls_last(), "chunk_id",
         "accession_number")

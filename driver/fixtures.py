@@ -27,6 +27,12 @@ def ticker_of(key) -> F.Column:
     return F.concat(F.lit("S"), F.lpad(key.cast("string"), 5, "0"))
 
 
+def whole_ticker_of(key) -> F.Column:
+    """Of a key of more than five digits no digit is cut, so that every key has a ticker of its own."""
+    digits = key.cast("string")
+    return F.concat(F.lit("S"), F.lpad(digits, F.greatest(F.length(digits), F.lit(5)), F.lit("0")))
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One fact per line item row; suppliers are companies."""
     d = F.col("l_shipdate").cast("date")

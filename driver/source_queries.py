@@ -268,7 +268,7 @@ def _landings(spark, sf_dir, versions):
         return F.to_json(F.struct(facts.alias("facts")))
 
     def land(rows, version: int) -> None:
-        rows.select(fx.ticker_of(F.col("o_orderkey")).alias("ticker"), document(version).alias("value"),
+        rows.select(fx.whole_ticker_of(F.col("o_orderkey")).alias("ticker"), document(version).alias("value"),
                     F.lit(f"v{version}").alias("file_path"),
                     F.timestamp_seconds(F.lit(version)).alias("file_time")) \
             .write.mode("append").parquet(f"{folder}/landing")
@@ -282,7 +282,8 @@ def _landings(spark, sf_dir, versions):
     for version in versions:
         land(orders if version == 1 else orders.filter(F.col("o_orderstatus") == "F"), version)
         ingest()
-    return tables.read_table(spark, f"{folder}/facts").select("ticker", "val", "fy")
+    # The SQL shows five digits of an order; orders are replaced by their whole key.
+    return tables.read_table(spark, f"{folder}/facts").select(F.substring("ticker", 1, 6).alias("ticker"), "val", "fy")
 
 
 @checked("""select 'S' || lpad(cast(o_orderkey as varchar), 5, '0') as ticker,

@@ -81,6 +81,17 @@ def test_recent_filings_of_companies_with_six_digits(spark, tmp_path):
     assert compare(spark, con, "recent_filings", str(tmp_path)) == ""
 
 
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_ingest_late"])
+def test_streams_of_orders_with_six_digits(spark, tmp_path, name):
+    """Orders 123450 to 123459 share the ticker S12345; a landing replaces each one's own document only."""
+    rows = [(123450 + i, "FOP"[i % 3], 100.0 + i) for i in range(10)] + [(7, "F", 1.0), (12345, "O", 2.0)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double") \
+        .coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    assert compare(spark, con, name, str(tmp_path)) == ""
+
+
 def test_html_to_text_with_a_cut_reference(spark, tmp_path):
     """A reference without its semicolon stays as it is, also beside one of the full entity table."""
     html = "<p>a &amp; b &amp</p><p>&lt;c&gt; &amp;lt; &ampx; &notit; &copy</p>"

@@ -12,7 +12,8 @@ Which sets can have a partner at all is asked without shipping texts:
 3. Sets that are alike by their smallest hashes meet in nodes of a bounded
    number of sets, and a signature tree finds the links in each node.
 4. Prefix shingles held by more than one component name the pairs of nodes that
-   are still open; their trees are traversed against each other.
+   are still open, if the sizes and what precedes the shingle in both sets leave
+   room for a link; their trees are traversed against each other.
 
 Only links that connect components are kept, so a group of copies costs as
 many links as it has members.
@@ -194,6 +195,8 @@ def prefixes(sets: DataFrame, percent: int, docs_per_chunk: int) -> DataFrame:
                     "row_id long, n long, prefix array<long>, least array<long>")
 
 
+#: Sizes that differ by less than one part in so many, or about, are bounded together.
+SIZE_CLASSES = 50
 #: Stars go on while a round links one set in so many.
 STAR_SHARE = 100
 
@@ -241,31 +244,53 @@ def _links_in_nodes(placed: DataFrame, sets: DataFrame, percent: int) -> DataFra
             .groupBy("a", "b").applyInArrow(_tree_links(percent), "u long, v long"))
 
 
+def _held(known: DataFrame, percent: int) -> DataFrame:
+    """Prefix shingles (token, row_id, node, component, n, cap) that sets of different components may link by.
+
+    ``cap`` is the largest size of a partner of which the shingle is the first
+    common one: what is before it in the set's order is not shared.  A pair is
+    named by its first common shingle, where both sizes are within the other's
+    cap; a set that is within no cap, or caps all others, is left out.
+    """
+    # Shingles of one holder come first in the order and are not listed.
+    before = F.expr(f"n - (n * {percent} + 99) div 100 + 1 - size(prefix)") + F.col("pos")
+    tokens = (known.select("row_id", "node", "component", "n", "prefix", F.posexplode("prefix").alias("pos", "token"))
+              .withColumn("rest", F.col("n") - before)
+              .select("token", "row_id", "node", "component", "n",
+                      F.expr(f"rest * {100 + percent} div {percent} - n").alias("cap")))
+    open_ = (tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                         F.min("n").alias("least"), F.max("cap").alias("most"))
+             .filter("low < high").select("token", "least", "most"))
+    return stage(tokens.join(open_, "token").filter("cap >= least AND n <= most").drop("least", "most"))
+
+
 def _links_across(known: DataFrame, sets: DataFrame, percent: int, star: bool = False) -> DataFrame:
     """Links between nodes: prefix shingles of more than one component name the pairs of nodes.
 
     With ``star`` a shingle pairs its nodes only with one of them, that of its
     smallest component, which takes work linear in the shingle's sets.
     """
-    tokens = known.select("row_id", "node", "component", "n", F.explode("prefix").alias("token"))
-    open_ = (tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-             .filter("low < high").select("token"))
-    held = stage(tokens.join(open_, "token").select("token", "row_id", "node", "component", "n"))
-    ends = held.groupBy("token", "node", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = ends.toDF("token", "node_2", "component_2", "low_2", "high_2")
+    held = _held(known, percent).withColumn(
+        "sizes", F.lit(0) if star else F.floor(F.log(F.col("n").cast("double")) * SIZE_CLASSES))
+    ends = held.groupBy("token", "node", "component", "sizes").agg(F.min("n").alias("low"), F.max("cap").alias("cap"))
+    other = ends.toDF("token", "node_2", "component_2", "sizes_2", "low_2", "cap_2")
     if star:
-        hub = other.groupBy("token").agg(F.min(F.struct("component_2", "node_2", "low_2", "high_2")).alias("hub"))
+        hub = other.groupBy("token").agg(F.min(F.struct("component_2", "node_2", "sizes_2", "low_2", "cap_2")).alias("hub"))
         other = hub.select("token", "hub.*")
-    fits = F.least("high", "high_2") * 100 >= F.greatest("low", "low_2") * percent
     differ = "component <> component_2" if star else "component < component_2"
-    cells = stage(ends.join(other, "token").filter(f"{differ} AND node <> node_2").filter(fits)
-                  .select("token", F.least("node", "node_2").alias("node"),
-                          F.greatest("node", "node_2").alias("node_2")).distinct())
-    sided = (cells.join(held, ["token", "node"])
-             .select("node", "node_2", "row_id", "component", F.lit(0).alias("side"))
-             .unionByName(cells.join(held.withColumnRenamed("node", "node_2"), ["token", "node_2"])
-                          .select("node", "node_2", "row_id", "component", F.lit(1).alias("side")))).distinct()
-    return (sided.join(sets, "row_id").groupBy("node", "node_2")
+    cells = stage(ends.join(other, "token").filter(f"{differ} AND node <> node_2 AND low <= cap_2 AND low_2 <= cap"))
+    # Each side of a cell takes part with the sets that the other side's bounds admit.
+    sides = [("node", "node_2", "component", "sizes", "low_2", "cap_2"), ("node_2", "node", "component_2", "sizes_2", "low", "cap")]
+    met = None
+    for at, with_, component, sizes, low, cap in sides:
+        asked = (cells.groupBy("token", F.col(at).alias("node"), F.col(with_).alias("other"),
+                               F.col(component).alias("component"), F.col(sizes).alias("sizes"))
+                 .agg(F.min(low).alias("low"), F.max(cap).alias("most")))
+        mine = (asked.join(held, ["token", "node", "component", "sizes"]).filter("n <= most AND low <= cap")
+                .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "row_id", "component",
+                        F.when(F.col("node") < F.col("other"), 0).otherwise(1).alias("side")))
+        met = mine if met is None else met.unionByName(mine)
+    return (met.distinct().join(sets, "row_id").groupBy("a", "b")
             .applyInArrow(_tree_links(percent), "u long, v long"))
 
 

@@ -105,3 +105,24 @@ def test_a_large_group_that_links_only_in_a_chain(spark):
     rows = [(1000 - i, " ".join(words[6 * i:6 * i + 60])) for i in range(57)]
     got = run(spark, rows, docs_per_chunk=9, node_sets=3)
     assert got == brute(rows) and {r[2] for r in got} == {944}
+
+
+def test_a_common_passage_names_no_pairs_that_cannot_link(spark, monkeypatch):
+    """Texts that share most shingles but stay below the threshold: what is named does not grow with their square."""
+    named = []
+
+    def counted(df):
+        out = stage(df)
+        if "node_2" in out.columns:
+            named.append(out.count())
+        return out
+
+    stage = jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", counted)
+    common = [f"c{i}" for i in range(100)]
+    rows = [(i, " ".join(common + [f"own{i}x{k}" for k in range(22)])) for i in range(40)]
+    assert [r[2] for r in run(spark, rows, node_sets=2)] == sorted(range(40), key=str)
+    assert named and max(named) <= 40
+    # One word less that is not shared, and some pairs link.
+    rows = [(i, " ".join(common + [f"own{i}x{k}" for k in range(14 + i % 9)])) for i in range(30)]
+    assert run(spark, rows, node_sets=2, docs_per_chunk=8) == brute(rows)

@@ -109,3 +109,21 @@ def test_every_window_trains(spark):
         v = lm.learn_vocabulary(docs)
         start, got = lm.start_weights(v), lm.train(docs, v)
         assert (got["word_b"] != start["word_b"]).any()
+
+
+def test_a_step_adds_no_rows_one_by_one(monkeypatch):
+    """Gradients of the inputs are summed by sorted rows, and equal a plain sum."""
+    v, w = vocabulary(["a b c d e f a b c k l m", "x y a b"] * 9)
+    weights = random_weights(v)
+    ids = v.ids(w.hash)
+    around = lm.contexts(ids, w.count)
+    rng = np.random.default_rng(2)
+    values, want = rng.normal(size=(around.size, lm.WIDTH)), np.zeros((lm.IDS + 1, lm.WIDTH))
+    for row, value in zip(around.ravel().tolist(), values):
+        want[row] += value
+    assert np.allclose(lm._row_sums(around.ravel(), values, lm.IDS + 1), want)
+    calls = []
+    monkeypatch.setattr(lm.np, "exp", lambda *a, f=np.exp, **b: calls.append(a[0].shape) or f(*a, **b))
+    lm.gradients(weights, ids, around)
+    # Every softmax takes the exponentials of its scores once.
+    assert sum(n for n, _ in calls) == 2 * len(ids)

@@ -2,6 +2,7 @@
 
 import os
 import re
+import tempfile
 
 import duckdb
 import pytest
@@ -92,6 +93,18 @@ def test_streams_of_orders_with_six_digits(spark, tmp_path, name):
     assert compare(spark, con, name, str(tmp_path)) == ""
 
 
+@pytest.mark.parametrize("name", ["filing_sections", "indexed_search", "indexed_search_cost", "refreshed_statements"])
+def test_staged_queries_on_a_cluster_with_a_mounted_folder(spark, con, name, tmp_path, monkeypatch):
+    """A cluster's folder may have no scheme; what a query keeps goes there and nowhere else."""
+    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda self: "spark://host:7077"), raising=False)
+    monkeypatch.setattr(tempfile, "mkdtemp", lambda **kinds: pytest.fail("a folder that executors do not share"))
+    conf, got = type(spark.conf), type(spark.conf).get
+    monkeypatch.setattr(conf, "get", lambda self, key, *default: str(tmp_path) if key == "spark.checkpoint.dir"
+                        else got(self, key, *default))
+    assert compare(spark, con, name, SF) == ""
+    assert any(tmp_path.iterdir())
+
+
 def test_html_to_text_with_a_cut_reference(spark, tmp_path):
     """A reference without its semicolon stays as it is, also beside one of the full entity table."""
     html = "<p>a &amp; b &amp</p><p>&lt;c&gt; &amp;lt; &ampx; &notit; &copy</p>"

@@ -14,6 +14,10 @@ before it is indexed: a shard sends their hashes and counts, packed per bucket,
 and gets a bit for each.  Hashes that fall together only let a rare pair pass
 this first look.  The text is cut where a pair did not pass, the index is built
 over what is left, and the pairs it holds are counted by their ids.
+
+The larger the corpus, the more of a shard's pairs are frequent, up to all of
+them.  What a shard holds is therefore compressed before it leaves a worker and
+is its file's only row in a row group, so that a task has one shard at hand.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql.types import StructType
 
 from tallyforge.llm import words
 from tallyforge.llm.ask import bucket_of
-from tallyforge.llm.common import shuffle_partitions, stage, stage_by, table, unstage
+from tallyforge.llm.common import ROW_BY_ROW, give_back, shuffle_partitions, stage, stage_by, table, unstage
 from tallyforge.llm.fm_index import FmIndex, Grown, Intervals
 from tallyforge.operators.top import top_per_key
 
@@ -46,7 +50,7 @@ ASKED = "bucket int, shard long, keys binary, counts binary"
 ANSWER = "shard long, bucket int, bits binary"
 STATE = "shard long, low binary, back binary, n binary, prefix binary, suffix binary, buckets binary, ends binary"
 INDEX = f"{STATE}, forward binary, backward binary"
-COUNTED = ("shard long, bucket int, ids binary, "
+COUNTED = ("shard long, bucket int, ranks binary, "
            "phrases array<struct<id: long, prefix: long, suffix: long, f: long>>")
 
 _ENDS = np.zeros(256, bool)
@@ -66,6 +70,18 @@ def _unpacked(raw: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
+def _closed(numbers: np.ndarray | bytes) -> bytes:
+    """What stays with a shard, compressed: on its way to a file the JVM copies it several times."""
+    raw = numbers if isinstance(numbers, bytes) else _packed(numbers)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _opened(raw: bytes, dtype: type | None = None) -> np.ndarray | bytes:
+    size = int.from_bytes(raw[:8], "little")
+    plain = pa.decompress(memoryview(raw)[8:], size, "zstd", asbytes=True)
+    return _unpacked(plain, dtype) if dtype else plain
+
+
 def piece_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, opens a piece) of the words of consecutive texts."""
     inside = ~_OUTSIDE[data]
@@ -121,8 +137,8 @@ class _Shard:
         joined = b" ".join(keys[i][1] for i in order.tolist())
         return pa.RecordBatch.from_arrays(
             [pa.array([shard]), pa.array([list(langs)], pa.list_(pa.string()))]
-            + [pa.array([raw], pa.binary()) for raw in (_packed(lang), joined, _packed(n.astype(np.uint32)),
-                                                        _packed(place[order].astype(np.uint32)), _packed(tokens))],
+            + [pa.array([raw], pa.binary()) for raw in map(_closed, (
+                lang, joined, n.astype(np.uint32), place[order].astype(np.uint32), tokens))],
             names=[f.split()[0] for f in SHARD.split(", ")])
 
 
@@ -187,9 +203,10 @@ def _ask_words(buckets: int):
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                place = _unpacked(row["places"], np.uint32).astype(np.uint64) << np.uint64(32)
+                place = _opened(row["places"], np.uint32).astype(np.uint64) << np.uint64(32)
                 bucket = bucket_of(place, buckets).astype(np.int32)
-                lang, n, word = _unpacked(row["lang"], np.int32), _unpacked(row["n"], np.uint32), row["words"].split(b" ")
+                lang, n = _opened(row["lang"], np.int32), _opened(row["n"], np.uint32)
+                word = _opened(row["words"]).split(b" ")
                 cuts = _cuts(bucket)
                 parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
                 columns = [pa.array(bucket[cuts[:-1]]), pa.array([row["shard"]] * len(parts), pa.int64()),
@@ -231,12 +248,17 @@ def _name_words(min_count: int):
     return name
 
 
+def _ids(ranks: dict[int, np.ndarray]) -> np.ndarray:
+    """Ids by bucket and place in it; -1 for what is not frequent."""
+    return np.concatenate([np.where(r >= 0, (b << 40) + r.astype(np.int64), -1) for b, r in ranks.items()])
+
+
 def _text(key: tuple, shard: pa.Table, named: pa.Table) -> pa.Table:
     """The text of a shard over its frequent words, numbered from 1; other words end a piece."""
-    tokens = _unpacked(shard.column("tokens")[0].as_py(), np.int32)
+    tokens = _opened(shard.column("tokens")[0].as_py(), np.int32)
     ranks = {b: _unpacked(raw, np.int32) for b, raw in zip(named.column("bucket").to_pylist(),
                                                            named.column("ranks").to_pylist())}
-    ids = np.concatenate([np.where(ranks[b] >= 0, (b << 40) + ranks[b].astype(np.int64), -1) for b in sorted(ranks)])
+    ids = _ids({b: ranks[b] for b in sorted(ranks)})
     at = np.flatnonzero(ids >= 0)
     symbol = np.zeros(int(tokens.max(initial=0)) + 1, np.int32)
     symbol[at + 1] = np.arange(1, len(at) + 1)
@@ -247,13 +269,13 @@ def _text(key: tuple, shard: pa.Table, named: pa.Table) -> pa.Table:
 
 
 def _row(schema: str, shard: int, arrays: list[np.ndarray]) -> pa.Table:
-    """One row of a shard and packed numbers."""
-    return pa.table([pa.array([shard], pa.int64())] + [pa.array([_packed(a)], pa.binary()) for a in arrays],
+    """One row of a shard and its numbers."""
+    return pa.table([pa.array([shard], pa.int64())] + [pa.array([_closed(a)], pa.binary()) for a in arrays],
                     names=[f.split()[0] for f in schema.split(", ")])
 
 
-def _opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return _unpacked(row["ids"], np.int64), _unpacked(row["text"], np.int32)
+def _of_text(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return _opened(row["ids"], np.int64), _opened(row["text"], np.int32)
 
 
 def _adjacent(text: np.ndarray, size: int) -> np.ndarray:
@@ -282,7 +304,7 @@ def _ask(buckets: int):
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                ids, text = _opened(row)
+                ids, text = _of_text(row)
                 size = len(ids) + 1
                 key, n = np.unique(_adjacent(text, size), return_counts=True)
                 key, n = key[key > 0], n[key > 0]
@@ -325,7 +347,7 @@ def _linked(text: np.ndarray, links: np.ndarray) -> np.ndarray:
 def _index(buckets: int):
     def index(key_: tuple, shard: pa.Table, answers: pa.Table) -> pa.Table:
         """The index over what is left of a shard's text, and its pairs that may be frequent."""
-        ids, text = _opened(shard.select(["ids", "text"]).to_pylist()[0])
+        ids, text = _of_text(shard.select(["ids", "text"]).to_pylist()[0])
         size = len(ids) + 1
         place = _adjacent(text, size)
         key = np.unique(place[place > 0])
@@ -360,9 +382,9 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(batch.num_rows):
             row = batch.slice(at, 1).to_pylist()[0]
-            bucket, ends = (_unpacked(row[c], np.int32) for c in ("buckets", "ends"))
+            bucket, ends = (_opened(row[c], np.int32) for c in ("buckets", "ends"))
             parts = list(zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist()))
-            columns = [_unpacked(row[c], kind) for c, kind in (("prefix", np.int64), ("suffix", np.int64), ("n", np.int32))]
+            columns = [_opened(row[c], kind) for c, kind in (("prefix", np.int64), ("suffix", np.int64), ("n", np.int32))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket), pa.array([row["shard"]] * len(parts), pa.int64())]
                 + [pa.array([_packed(c[a:b]) for a, b in parts], pa.binary()) for c in columns],
@@ -371,7 +393,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count(min_count: int):
     def count(key: tuple, asked: pa.Table) -> pa.Table:
-        """Ids of the frequent phrases of a bucket: per shard, -1 for others, and one row with the phrases themselves."""
+        """Places of the frequent phrases of a bucket: per shard, -1 for others, and one row with the phrases themselves."""
         bucket = key[0].as_py()
         begin, end = ([_unpacked(raw, np.int64) for raw in asked.column(c).to_pylist()] for c in ("prefix", "suffix"))
         n = [_unpacked(raw, np.int32) for raw in asked.column("n").to_pylist()]
@@ -382,19 +404,19 @@ def _count(min_count: int):
         new[1:] = (np.diff(begin[order]) != 0) | (np.diff(end[order]) != 0)
         total = np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new))
         enough = total >= min_count
-        number = np.where(enough, (bucket << 40) + np.cumsum(enough) - 1, -1)
-        ids = np.empty(len(order), np.int64)
-        ids[order] = number[np.cumsum(new) - 1]
+        number = np.where(enough, np.cumsum(enough) - 1, -1).astype(np.int32)
+        ranks = np.empty(len(order), np.int32)
+        ranks[order] = number[np.cumsum(new) - 1]
         first = order[new][enough]
         entries = pa.StructArray.from_arrays(
-            [pa.array(a) for a in (number[enough], begin[first], end[first], total[enough])],
+            [pa.array(a) for a in ((bucket << 40) + np.arange(len(first)), begin[first], end[first], total[enough])],
             names=["id", "prefix", "suffix", "f"])
-        blobs = [_packed(part) for part in np.split(ids, each[:-1])]
+        blobs = [_packed(part) for part in np.split(ranks, each[:-1])]
         return pa.table(
             [pa.array([None, *asked.column("shard").to_pylist()], pa.int64()),
              pa.array([bucket] * (len(blobs) + 1), pa.int32()), pa.array([None, *blobs], pa.binary()),
              pa.ListArray.from_arrays(pa.array([0] + [len(entries)] * (len(blobs) + 1), pa.int32()), entries)],
-            names=["shard", "bucket", "ids", "phrases"])
+            names=["shard", "bucket", "ranks", "phrases"])
     return count
 
 
@@ -402,10 +424,10 @@ def _longer(buckets: int):
     def longer(key: tuple, shard: pa.Table, counted: pa.Table) -> pa.Table:
         """Phrases one word longer than the frequent ones of the shard."""
         row = shard.to_pylist()[0]
-        answers = dict(zip(counted.column("bucket").to_pylist(), counted.column("ids").to_pylist()))
-        ids = np.concatenate([_unpacked(answers[b], np.int64) for b in _unpacked(row["buckets"], np.int32).tolist()])
-        known = Intervals(*(_unpacked(row[c], np.int32)[ids >= 0] for c in ("low", "back", "n")))
-        grown = FmIndex(*(_unpacked(row[c], np.int32) for c in ("forward", "backward"))).grow(known)
+        answers = dict(zip(counted.column("bucket").to_pylist(), counted.column("ranks").to_pylist()))
+        ids = _ids({b: _unpacked(answers[b], np.int32) for b in _opened(row["buckets"], np.int32).tolist()})
+        known = Intervals(*(_opened(row[c], np.int32)[ids >= 0] for c in ("low", "back", "n")))
+        grown = FmIndex(*(_opened(row[c], np.int32) for c in ("forward", "backward"))).grow(known)
         return _row(STATE, key[0].as_py(), _state(grown, ids[ids >= 0], buckets))
     return longer
 
@@ -415,7 +437,9 @@ def _by_shard(left: DataFrame, right: DataFrame, fn, schema: str) -> DataFrame:
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def both(key: tuple, mine: pa.Table, other: pa.Table) -> pa.Table:
-        return fn(key, mine, other) if mine.num_rows and other.num_rows else kinds.empty_table()
+        found = fn(key, mine, other) if mine.num_rows and other.num_rows else kinds.empty_table()
+        give_back()
+        return found
 
     other = right.withColumnRenamed("shard", "of")
     return left.groupBy("shard").cogroup(other.groupBy("of")).applyInArrow(both, schema)
@@ -432,7 +456,7 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
     overlap.  Null texts are empty; ids and other columns are not read, repeated
     rows count again.
     """
-    dealt = stage(shards(docs, shard_words))
+    dealt = stage(shards(docs, shard_words), ROW_BY_ROW)
     # A bucket sums what one shard or so asks, whatever their number.
     buckets = max(shuffle_partitions(docs.sparkSession), dealt.count())
     named = stage(dealt.mapInArrow(_ask_words(buckets), WORDS).groupBy("bucket")
@@ -443,11 +467,11 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
                      F.array().cast("array<bigint>").alias("begins"), F.array().cast("array<bigint>").alias("ends")))
     texts = stage_by(_by_shard(dealt.select("shard", "tokens"),
                                named.filter("shard IS NOT NULL").select("shard", "bucket", "ranks"), _text, TEXT),
-                     "shard", buckets)
+                     "shard", buckets, ROW_BY_ROW)
     unstage(dealt)
     answers = (texts.mapInArrow(_ask(buckets), ASKED).groupBy("bucket")
                .applyInArrow(_answer(min_count), ANSWER))
-    index = stage_by(_by_shard(texts, answers, _index(buckets), INDEX), "shard", buckets)
+    index = stage_by(_by_shard(texts, answers, _index(buckets), INDEX), "shard", buckets, ROW_BY_ROW)
     unstage(texts)
     state, levels = index, []
     for size in range(2, max_words + 1):
@@ -466,8 +490,8 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
         if size < max_words:
             here = state if size == 2 else state.join(index.select("shard", "forward", "backward"), "shard")
             here = here.select("shard", "low", "back", "n", "buckets", "forward", "backward")
-            state = stage_by(_by_shard(here, counted.filter("shard IS NOT NULL").select("shard", "bucket", "ids"),
-                                       _longer(buckets), STATE), "shard", buckets)
+            state = stage_by(_by_shard(here, counted.filter("shard IS NOT NULL").select("shard", "bucket", "ranks"),
+                                       _longer(buckets), STATE), "shard", buckets, ROW_BY_ROW)
         unstage(counted)
         if known is not index:
             unstage(known)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,12 @@ def shared_folder(spark: SparkSession) -> str:
     return configured or context.getCheckpointDir()
 
 
-def stage(df: DataFrame) -> DataFrame:
+#: For rows of megabytes: unless told so, Parquet's writer counts bytes from the 100th row on, and its reader takes a
+#: whole row group at once.
+ROW_BY_ROW = {"parquet.block.row.count.limit": 1}
+
+
+def stage(df: DataFrame, options: dict | None = None) -> DataFrame:
     """``df`` written to the shared folder as Parquet; what follows starts from the files.
 
     Unlike a checkpoint, the files also give the planner the true size.  They
@@ -35,7 +42,7 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.options(**options or {}).parquet(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     staged = spark.read.schema(df.schema).parquet(folder)
@@ -43,11 +50,12 @@ def stage(df: DataFrame) -> DataFrame:
     return staged
 
 
-def stage_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+def stage_by(df: DataFrame, key: str, buckets: int, options: dict | None = None) -> DataFrame:
     """Like ``stage``, in Spark's buckets of a key: joins and groups by the key move other rows only, not these."""
     spark, name = df.sparkSession, f"stage_{uuid.uuid4().hex}"
     folder = f"{shared_folder(spark)}/{name}"
-    df.write.option("path", folder).bucketBy(buckets, key).format("parquet").saveAsTable(name)
+    (df.write.options(**options or {}).option("path", folder).bucketBy(buckets, key).format("parquet")
+     .saveAsTable(name))
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     staged = spark.table(name)
@@ -63,6 +71,14 @@ def unstage(staged: DataFrame) -> None:
     path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Free memory goes back to the system: a worker goes on to other groups and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

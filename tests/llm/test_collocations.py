@@ -126,3 +126,25 @@ def test_only_answers_are_shuffled(spark):
     rows = named.filter("shard IS NULL").selectExpr("inline(frequent)").collect()
     assert {(r.lang, r.word): r.f for r in rows} == {k: n for k, n in f.items() if n >= 3}
     assert len({r.id for r in rows}) == len(rows)
+
+
+def test_a_task_has_one_shard_at_hand(spark, monkeypatch):
+    """Shards dealt by one task are rows of megabytes; each is a row group, and what it holds is compressed."""
+    import glob
+    import pyarrow.parquet as pq
+    seen, unstage = [], co.unstage
+
+    def looked_at(staged):
+        if staged.columns[0] == "shard" and "bucket" not in staged.columns:
+            for path in glob.glob(f"{staged.staged_in.removeprefix('file:')}/*.parquet"):
+                found = pq.ParquetFile(path)
+                seen.extend((found.metadata.row_group(i).num_rows, staged.columns) for i in range(found.num_row_groups))
+        unstage(staged)
+
+    monkeypatch.setattr(co, "unstage", looked_at)
+    rows = made(80, 8)
+    assert run(spark, rows, parts=1, min_count=3, shard_words=150) == brute(rows, 3, 5, 2000)
+    assert len({tuple(columns) for _, columns in seen}) == 4 and {n for n, _ in seen} == {1}
+    numbers = np.arange(1 << 16, dtype=np.int64)
+    assert len(co._closed(numbers)) < numbers.nbytes / 3
+    assert (co._opened(co._closed(numbers), np.int64) == numbers).all() and co._opened(co._closed(b"")) == b""

@@ -115,7 +115,8 @@ def _request_batches(requests: DataFrame, batch: int) -> DataFrame:
 def _held(text: pd.Series, vocabulary: pd.Series) -> pd.Series:
     """Which words of a vocabulary, joined by blanks, the text holds; Python's search is several times faster than Spark's."""
     words = {v: v.split(" ") for v in vocabulary.unique()}
-    return pd.Series([[w in t for w in words[v]] for t, v in zip(text, vocabulary)])
+    # A null text holds no word.
+    return pd.Series([[t is not None and w in t for w in words[v]] for t, v in zip(text, vocabulary)])
 
 
 def _scores(held: Column) -> Column:

@@ -143,18 +143,21 @@ def metrics_of(seen: Observation) -> dict:
 
 
 def write_table(df: DataFrame, path: str, key: str | None = None,
-                buckets: int = BUCKETS) -> None:
+                buckets: int = BUCKETS, rebalance: bool = True, options: dict | None = None) -> None:
     """Full refresh.  With a key the files are laid out by key bucket.
 
     The key and the number of buckets are kept with the table.  The rebalance
     hint lets Spark split a bucket that is too large for one task and merge
-    small ones, so a hot key does not write through a single task.
+    small ones, so a hot key does not write through a single task.  Rows made
+    from the files of such a table need no ``rebalance``: their tasks have the
+    rows of a bucket or a few already.
     """
     writer = df
     if key is not None:
-        writer = df.withColumn("bucket", bucket_of(F.col(key), buckets)) \
-            .hint("rebalance", "bucket")
-    writer = writer.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        writer = df.withColumn("bucket", bucket_of(F.col(key), buckets))
+        if rebalance:
+            writer = writer.hint("rebalance", "bucket")
+    writer = writer.write.mode("overwrite").options(**options or {}).option("partitionOverwriteMode", "static")
     if key is not None:
         writer = writer.partitionBy("bucket")
     writer.parquet(path)
